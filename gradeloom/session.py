@@ -5,12 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import gradeloom
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the label parser depends on: a repeated JSON key keeps its last value."""
+    """What the operators need of a session.
+
+    A repeated JSON key keeps its last value, and Python functions of this package travel
+    with the tasks, so that workers need not have it installed.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    cloudpickle.register_pickle_by_value(gradeloom)
     return spark
 
 

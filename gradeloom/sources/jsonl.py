@@ -17,10 +17,13 @@ RAW_SCHEMA = "id BIGINT, text STRING"
 
 
 def scan_folders(
-    spark: SparkSession, folders: Sequence[str], schema: str | StructType = RECORD_SCHEMA
+    spark: SparkSession,
+    folders: Sequence[str],
+    schema: str | StructType = RECORD_SCHEMA,
+    pattern: str = "*.jsonl",
 ) -> DataFrame:
-    """All ``*.jsonl`` files of the folders as one DataFrame, plus ``source_file``."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl")
+    """All files of the folders that match, as one DataFrame, plus ``source_file``."""
+    reader = spark.read.schema(schema).option("pathGlobFilter", pattern)
     df = reader.json(list(folders))
     return df.select("*", F.col("_metadata.file_path").alias("source_file"))
 
@@ -39,32 +42,31 @@ def scan_column_stripped(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(strip(F.col(column)).alias(column))
 
 
-def scan_lines_with_position(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``source_file, pos, value``: raw lines with their 0-based line number in the file.
+def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, value``: raw lines with their 0-based line number.
 
+    ``path`` is a file, or a folder of part files that are numbered through in name order.
     Within a file split rows come in file order, so a line number is the number of lines in
-    the earlier splits of its file plus the offset in its own split. Only one row per split
-    is aggregated; the lines are neither sorted nor gathered.
+    the earlier splits plus the offset in its own split. Only one row per split is
+    aggregated and ordered; the lines themselves are neither sorted nor gathered.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"),
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         "value",
         F.monotonically_increasing_id().alias("row"),
     )
-    splits = lines.groupBy("source_file", "block").agg(
+    splits = lines.groupBy("file", "block").agg(
         F.min("row").alias("first_row"), F.count("*").alias("n")
     )
-    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "source_file",
+        "file",
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
     )
-    return lines.join(offsets, ["source_file", "block"]).select(
-        "source_file", (F.col("row") + F.col("shift")).alias("pos"), "value"
+    return lines.join(offsets, ["file", "block"]).select(
+        (F.col("row") + F.col("shift")).alias("pos"), "value"
     )
 
 
@@ -103,6 +105,12 @@ def scan_systems(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return out
 
 
+def write_lines_in_order(lines: DataFrame, order_by: str, path: str) -> None:
+    """A column ``value`` as a folder of text files whose name order is the row order."""
+    ranged = lines.repartitionByRange(order_by).sortWithinPartitions(order_by)
+    ranged.select("value").write.mode("overwrite").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Replace whatever is at ``path``."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
