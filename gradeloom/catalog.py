@@ -243,9 +243,8 @@ def strip_code_fence(spark, sf_dir):
 @query
 def coerce_score(spark, sf_dir):
     df = O.parse_label(views.label_pred(spark, sf_dir), fix="extract")
-    v = F.col("parsed")
     names = [t.replace(" ", "_") for t in CRITERIA]
-    return df.select("system", "id", *[L.score(v, t).alias(n) for t, n in zip(CRITERIA, names)])
+    return df.select("system", "id", *[L.score("parsed", t).alias(n) for t, n in zip(CRITERIA, names)])
 
 
 @query

@@ -4,15 +4,15 @@ A parsed label is a VARIANT column (see ``operators.labels.parse_label``). Two r
 exist: *strict* accepts whole-number scores only; *lenient* accepts whatever converts to a
 whole number and names the first failing trait otherwise.
 
-The common case (a valid label) costs a few path lookups in generated code; the branch
-that words a reason runs for failing rows only.
+The rules are written as Spark SQL text, which costs one call per rule when a plan is built
+instead of hundreds. The common case, a label with just the expected keys and types, is
+recognised by its schema, so that generated code stays small; the rules proper are written
+once, over an array of traits, and run for the other rows only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,117 +21,102 @@ DECODE_ERROR = "Unrecoverable JSON decode error"
 NOT_AN_OBJECT = "Label is not an object"
 OUTER_ERROR = "Outer JSON error"
 
-_INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
-_GROUPED_INT = r"^\s*([+-]?[0-9]+(?:_[0-9]+)+)\s*$"
+_INT_TEXT = r"^\\s*[+-]?[0-9]+(_[0-9]+)*\\s*$"
+_GROUPED_INT = r"^\\s*([+-]?[0-9]+(?:_[0-9]+)+)\\s*$"
+
+
+def literal(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def path(*keys: str) -> str:
-    """A variant path; names may hold spaces."""
-    return "$" + "".join(f'["{k}"]' if "'" in k else f"['{k}']" for k in keys)
+    """A variant path as a SQL literal; names may hold spaces."""
+    return literal("$" + "".join(f'["{k}"]' if "'" in k else f"['{k}']" for k in keys))
 
 
-def _get(v: Column, keys: Sequence[str], kind: str = "variant") -> Column:
-    return F.try_variant_get(v, path(*keys), kind)
+def _get(v: str, *keys: str, kind: str = "variant") -> str:
+    return f"try_variant_get({v}, {path(*keys)}, '{kind}')"
 
 
-def _int_of(v: Column, keys: Sequence[str]) -> Column:
-    """Truncates numbers, reads digits in strings, maps booleans to 0/1; else NULL."""
-    # digits grouped by "_" are also a whole number
-    grouped = F.regexp_extract(_get(v, keys, "string"), _GROUPED_INT, 1)
-    return F.coalesce(
-        _get(v, keys, "bigint"), F.replace(grouped, F.lit("_"), F.lit("")).try_cast("bigint")
+def _int_of(v: str, *keys: str) -> str:
+    """Truncates numbers, reads digits in strings (also grouped by ``_``), maps booleans to
+    0/1; else NULL."""
+    grouped = f"regexp_extract({_get(v, *keys, kind='string')}, '{_GROUPED_INT}', 1)"
+    return (
+        f"coalesce({_get(v, *keys, kind='bigint')}, "
+        f"try_cast(replace({grouped}, '_', '') AS BIGINT))"
     )
 
 
-def score(v: Column, trait: str) -> Column:
+def score_sql(v: str, trait: str) -> str:
+    return _int_of(v, trait, "score")
+
+
+def score(v: str, trait: str) -> Column:
     """The score as a whole number (BIGINT), NULL if it is not one."""
-    return _int_of(v, (trait, "score"))
+    return F.expr(score_sql(v, trait))
 
 
-def feedback(v: Column, trait: str) -> Column:
-    return _get(v, (trait, "feedback"), "string")
+def feedback_sql(v: str, trait: str) -> str:
+    return _get(v, trait, "feedback", kind="string")
 
 
-def _feedback_is_text(v: Column, trait: str) -> Column:
-    return F.schema_of_variant(_get(v, (trait, "feedback"))) == "STRING"
+def _plain_schema(criteria: Sequence[str]) -> str:
+    """The schema of a label with just the expected keys and types (keys are sorted)."""
+    trait = "OBJECT<feedback: STRING, score: BIGINT>"
+    names = [c if c.replace("_", "").isalnum() else f"`{c}`" for c in sorted(criteria)]
+    return literal("OBJECT<" + ", ".join(f"{n}: {trait}" for n in names) + ">")
 
 
-def _all(conditions) -> Column:
-    return F.coalesce(reduce(and_, conditions), F.lit(False))
+def _traits(v: str, criteria: Sequence[str]) -> str:
+    items = [f"struct({literal(t)} AS name, {_get(v, t)} AS value)" for t in criteria]
+    return f"array({', '.join(items)})"
 
 
-def strict_ok(v: Column, criteria: Sequence[str]) -> Column:
+def strict_ok(v: str, criteria: Sequence[str]) -> Column:
     """True when every trait has a whole-number score in 1..10 and a text feedback."""
-    checks = []
-    for t in criteria:
-        kind = F.schema_of_variant(_get(v, (t, "score")))
-        checks += [
-            _get(v, (t, "score"), "bigint").between(1, 10),
-            kind.isin("BIGINT", "BOOLEAN"),
-            _feedback_is_text(v, t),
-        ]
-    return _all(checks)
-
-
-def lenient_ok(
-    v: Column, criteria: Sequence[str], scores: Sequence[Column] | None = None
-) -> Column:
-    """True when every score converts to 1..10 and every feedback is text. ``scores``: the
-    score columns, where they exist already."""
-    checks = []
-    for t, s in zip(criteria, scores or [score(v, t) for t in criteria]):
-        checks += [s.between(1, 10), _feedback_is_text(v, t)]
-    return _all(checks)
-
-
-def _trait_reason(x: Column) -> Column:
-    """Reason for one ``struct(name, value)``; NULL when the trait is fine."""
-    name, value = x["name"], x["value"]
-    sc, fb = _get(value, ("score",)), _get(value, ("feedback",))
-    kind, number = F.schema_of_variant(sc), _int_of(value, ("score",))
-    # A number too large for BIGINT is still a whole number: out of range, not "not int".
-    huge = (
-        kind.startswith("DECIMAL")
-        | ((kind == "DOUBLE") & (F.abs(_get(value, ("score",), "double")) < float("inf")))
-        | ((kind == "STRING") & _get(value, ("score",), "string").rlike(_INT_TEXT))
-    )
-    return (
-        F.when(value.isNull(), F.concat(F.lit("Missing field: "), name))
-        .when(
-            ~F.schema_of_variant(value).startswith("OBJECT"),
-            F.concat(F.lit("Field '"), name, F.lit("' is not a dict")),
-        )
-        .when(
-            sc.isNull() | fb.isNull(),
-            F.concat(F.lit("Field '"), name, F.lit("' missing 'score' or 'feedback'")),
-        )
-        .when(
-            (number.isNull() & huge) | ~number.between(1, 10),
-            F.concat(F.lit("Score in '"), name, F.lit("' outside range")),
-        )
-        .when(number.isNull(), F.concat(F.lit("Score in '"), name, F.lit("' is not int")))
-        .when(
-            F.schema_of_variant(fb) != "STRING",
-            F.concat(F.lit("Feedback in '"), name, F.lit("' is not str")),
-        )
+    in_range = " AND ".join(
+        f"coalesce({_get(v, t, 'score', kind='bigint')} BETWEEN 1 AND 10, false)" for t in criteria
     )
+    rule = f"""forall({_traits(v, criteria)}, x -> coalesce(
+        schema_of_variant({_get('x.value', 'score')}) IN ('BIGINT', 'BOOLEAN')
+        AND schema_of_variant({_get('x.value', 'feedback')}) = 'STRING', false))"""
+    plain = f"coalesce(schema_of_variant({v}) = {_plain_schema(criteria)}, false)"
+    return F.expr(f"{in_range} AND ({plain} OR {rule})")
 
 
-def lenient_reason(
-    v: Column, criteria: Sequence[str], scores: Sequence[Column] | None = None
-) -> Column:
-    """NULL for a valid label, else why it fails, for the first failing trait in order."""
-    traits = F.array(
-        *[F.struct(F.lit(t).alias("name"), _get(v, (t,)).alias("value")) for t in criteria]
-    )
-    first = F.get(F.filter(F.transform(traits, _trait_reason), lambda r: r.isNotNull()), 0)
-    kind = F.schema_of_variant(v)
-    scalar = kind.isin("BIGINT", "DOUBLE", "BOOLEAN", "VOID") | kind.startswith("DECIMAL")
-    return (
-        F.when(lenient_ok(v, criteria, scores), F.lit(None).cast("string"))
-        .when(v.isNull(), F.lit(DECODE_ERROR))
-        .when(scalar, F.lit(NOT_AN_OBJECT))
-        .otherwise(first)
+def lenient_reason(v: str, criteria: Sequence[str], scores: Sequence[str]) -> Column:
+    """NULL for a valid label, else why it fails, for the first failing trait in order.
+
+    ``scores``: names of the columns that hold ``score`` of each trait.
+    """
+    in_range = " AND ".join(f"coalesce({s} BETWEEN 1 AND 10, false)" for s in scores)
+    sc, fb = _get("x.value", "score"), _get("x.value", "feedback")
+    number, kind = _int_of("x.value", "score"), f"schema_of_variant({sc})"
+    # A number too large for BIGINT is still a whole number: out of range, not "not int".
+    huge = f"""(startswith({kind}, 'DECIMAL')
+        OR ({kind} = 'DOUBLE' AND abs({_get('x.value', 'score', kind='double')}) < double('Infinity'))
+        OR ({kind} = 'STRING' AND {_get('x.value', 'score', kind='string')} RLIKE '{_INT_TEXT}'))"""
+    rule = f"""CASE
+        WHEN x.value IS NULL THEN concat('Missing field: ', x.name)
+        WHEN NOT startswith(schema_of_variant(x.value), 'OBJECT')
+          THEN concat("Field '", x.name, "' is not a dict")
+        WHEN {sc} IS NULL OR {fb} IS NULL
+          THEN concat("Field '", x.name, "' missing 'score' or 'feedback'")
+        WHEN {number} IS NULL AND NOT {huge} THEN concat("Score in '", x.name, "' is not int")
+        WHEN NOT coalesce({number} BETWEEN 1 AND 10, false)
+          THEN concat("Score in '", x.name, "' outside range")
+        WHEN schema_of_variant({fb}) <> 'STRING'
+          THEN concat("Feedback in '", x.name, "' is not str")
+        END"""
+    failing = f"filter(transform({_traits(v, criteria)}, x -> {rule}), r -> r IS NOT NULL)"
+    return F.expr(
+        f"""CASE WHEN {in_range} AND schema_of_variant({v}) = {_plain_schema(criteria)} THEN NULL
+        WHEN {v} IS NULL THEN '{DECODE_ERROR}'
+        WHEN schema_of_variant({v}) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|VOID)'
+          THEN '{NOT_AN_OBJECT}'
+        ELSE get({failing}, 0) END"""
     )
 
 
@@ -140,16 +125,23 @@ def score_bin(value: Column, threshold: int) -> Column:
     return F.when(value > threshold, "high").when(value.isNotNull(), "low")
 
 
-def strat_key(v: Column, traits: Sequence[str], threshold: int) -> Column:
+def strat_key(v: str, traits: Sequence[str], threshold: int) -> Column:
     """Bins joined by ``_``. An absent trait is skipped; a label that cannot be read, or a
     trait whose score is not a number, gives ``unknown``."""
-    bins, bad, absent = [], [], []
-    for t in traits:
-        kind = F.schema_of_variant(_get(v, (t, "score")))
-        numeric = kind.isin("BIGINT", "DOUBLE", "BOOLEAN") | kind.startswith("DECIMAL")
-        bins.append(F.when(numeric, score_bin(_get(v, (t, "score"), "double"), threshold)))
-        absent.append(_get(v, (t,)).isNull())
-        bad.append(~absent[-1] & ~F.coalesce(numeric, F.lit(False)))
-    container = F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|STRING)")
-    bad.append(reduce(and_, absent) & ~F.coalesce(container, F.lit(False)))
-    return F.when(reduce(or_, bad), "unknown").otherwise(F.concat_ws("_", *bins))
+    number = _get("x.value", "score", kind="double")
+    numeric = (
+        f"coalesce(schema_of_variant({_get('x.value', 'score')}) "
+        "RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)', false)"
+    )
+    bins = f"""transform(filter({_traits(v, traits)}, x -> x.value IS NOT NULL),
+        x -> IF({numeric}, IF({number} > {threshold}, 'high', 'low'), NULL))"""
+    readable = f"schema_of_variant({v}) RLIKE '^(OBJECT|ARRAY|STRING)'"
+    plain = [f"schema_of_variant({_get(v, t, 'score')}) = 'BIGINT'" for t in traits]
+    fast = ", ".join(
+        f"IF({_get(v, t, 'score', kind='bigint')} > {threshold}, 'high', 'low')" for t in traits
+    )
+    return F.expr(
+        f"""CASE WHEN {' AND '.join(plain)} THEN concat_ws('_', {fast})
+        WHEN NOT coalesce({readable}, false) OR exists({bins}, b -> b IS NULL) THEN 'unknown'
+        ELSE concat_ws('_', {bins}) END"""
+    )

@@ -11,31 +11,28 @@ one row per input, so the second step, a window over the key, only ever holds
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import labels as L
-from gradeloom.operators.labels import evaluate_once, parse_label, with_reason
+from gradeloom.operators.labels import parse_label, with_reason
 from gradeloom.settings import CRITERIA
 
 
-def _feedback(v: Column, criteria: Sequence[str]) -> Column:
-    return F.array(*[L.feedback(v, t) for t in criteria])
+def _feedback(criteria: Sequence[str]) -> str:
+    return f"array({', '.join(L.feedback_sql('parsed', t) for t in criteria)})"
 
 
 def score_predictions(
     preds: DataFrame, key: Sequence[str], criteria: Sequence[str], with_feedback: bool
 ) -> DataFrame:
     """``*key, system, ok, s0.., [feedback]``; the repair is applied to every label."""
-    df = with_reason(preds, criteria, always=True)
-    ok = F.col("reason").isNull()
-    cols = [F.get("scores", F.lit(i)).alias(f"s{i}") for i in range(len(criteria))]
+    df = with_reason(preds, criteria, fix="extract", always=True)
+    cols = [f"scores[{i}] AS s{i}" for i in range(len(criteria))]
     if with_feedback:
-        cols.append(F.when(ok, _feedback(F.col("parsed"), criteria)).alias("feedback"))
-    return df.select(*key, "system", ok.alias("ok"), *cols)
+        cols.append(f"IF(reason IS NULL, {_feedback(criteria)}, NULL) AS feedback")
+    return df.selectExpr(*key, "system", "reason IS NULL AS ok", *cols)
 
 
 def score_truth(
@@ -43,17 +40,15 @@ def score_truth(
 ) -> DataFrame:
     """The same columns for the ground truth, with a NULL system. It must parse as it
     stands and have a score for every trait; a score outside 1..10 is used as it is."""
-    df = parse_label(truth)
-    v = F.col("parsed")
-    df = df.withColumns({f"s{i}": L.score(v, t).cast("int") for i, t in enumerate(criteria)})
     names = [f"s{i}" for i in range(len(criteria))]
-    ok = reduce(and_, [F.col(n).isNotNull() for n in names])
-    cols = [F.col(n) for n in names]
+    cols = [f"try_cast({L.score_sql('parsed', t)} AS INT) AS {n}" for n, t in zip(names, criteria)]
+    ok = " AND ".join(f"{n} IS NOT NULL" for n in names)
     if with_feedback:
-        fb = _feedback(v, criteria)
-        ok = ok & F.forall(fb, lambda x: x.isNotNull())
-        cols.append(fb.alias("feedback"))
-    return df.select(*key, F.lit(None).cast("string").alias("system"), ok.alias("ok"), *cols)
+        cols.append(f"{_feedback(criteria)} AS feedback")
+        ok += " AND forall(feedback, x -> x IS NOT NULL)"
+        names.append("feedback")
+    df = parse_label(truth).selectExpr(*key, *cols)
+    return df.selectExpr(*key, "string(NULL) AS system", f"{ok} AS ok", *names)
 
 
 def align(
@@ -81,24 +76,25 @@ def align(
     )
     names = [f"s{i}" for i in range(len(criteria))] + (["feedback"] if with_feedback else [])
     single = rows.groupBy(*key, "system").agg(
-        F.count("*").alias("copies"),
-        F.bool_and("ok").alias("ok"),
-        *[F.max(n).alias(n) for n in names],
+        F.expr("count(*) AS copies"),
+        F.expr("bool_and(ok) AS ok"),
+        *[F.expr(f"max({n}) AS {n}") for n in names],
     )
-    is_truth = F.col("system").isNull()
-    usable = F.col("ok") & (F.col("copies") == 1)
-    w = Window.partitionBy(*key)
+    over = f"OVER (PARTITION BY {', '.join(key)})"
     inputs = len(systems) + 1
-    flagged = single.select(
-        "*",
-        *[
-            F.max(F.when(is_truth, F.col(n))).over(w).alias("gt_feedback" if n == "feedback" else f"g{n[1:]}")
-            for n in names
-        ],
-        (F.count("*").over(w) == inputs).alias("complete"),
-        (F.count_if(usable).over(w) == inputs).alias("comparable"),
+    truth_values = [
+        f"max(IF(system IS NULL, {n}, NULL)) {over} AS {'gt_feedback' if n == 'feedback' else f'g{n[1:]}'}"
+        for n in names
+    ]
+    return single.selectExpr(
+        *key,
+        "system",
+        "ok",
+        *names,
+        *truth_values,
+        f"count(*) {over} = {inputs} AS complete",
+        f"count_if(ok AND copies = 1) {over} = {inputs} AS comparable",
     )
-    return flagged.drop("copies")
 
 
 def align_by_id(aligned: DataFrame) -> DataFrame:
@@ -127,19 +123,13 @@ def compare_coverage(aligned: DataFrame) -> DataFrame:
 
 def compared_traits(aligned: DataFrame, criteria: Sequence[str] = CRITERIA) -> DataFrame:
     """Comparable rows as one row per key, system and trait."""
-    rows = []
-    for i, t in enumerate(criteria):
-        fields = [
-            F.lit(t).alias("trait"),
-            F.col(f"s{i}").alias("score"),
-            F.col(f"g{i}").alias("gt_score"),
-        ]
-        if "feedback" in aligned.columns:
-            fields += [
-                F.get("feedback", F.lit(i)).alias("pred_text"),
-                F.get("gt_feedback", F.lit(i)).alias("gt_text"),
-            ]
-        rows.append(F.struct(*fields))
+    texts = ""
+    if "feedback" in aligned.columns:
+        texts = ", feedback[{0}] AS pred_text, gt_feedback[{0}] AS gt_text"
+    rows = ", ".join(
+        f"struct({L.literal(t)} AS trait, s{i} AS score, g{i} AS gt_score{texts.format(i)})"
+        for i, t in enumerate(criteria)
+    )
     drop = {f"{p}{i}" for p in "sg" for i in range(len(criteria))} | {"feedback", "gt_feedback"}
     keep = [c for c in aligned.columns if c not in drop]
-    return valid_in_all_systems(aligned).select(*keep, F.inline(F.array(*rows)))
+    return valid_in_all_systems(aligned).selectExpr(*keep, f"inline(array({rows}))")

@@ -11,11 +11,6 @@ from gradeloom.functions import jsontext
 from gradeloom.functions import labels as L
 from gradeloom.settings import CRITERIA
 
-def _candidate(fix: str, text: Column) -> Column:
-    """The part of the text that the fix works on."""
-    return {"simple": text, "extract": jsontext.extract_object(text)}[fix]
-
-
 def evaluate_once(df: DataFrame, *new: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
 
@@ -26,24 +21,17 @@ def evaluate_once(df: DataFrame, *new: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*new))))
 
 
-def _parsed(text: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+_CANDIDATE = {"simple": lambda text: text, "extract": jsontext.extract_object}
 
+# Text between [ and ] so that trailing words or a second value are rejected.
+_WRAPPED = "try_parse_json(concat('[', {0}, ']'))"
 
-def _single_value(wrapped: Column, text: Column) -> Column:
-    """The one JSON value in ``text``, NULL if there is anything else in it.
-
-    The parser ignores whatever follows a complete value. Inside ``[..]`` a second value
-    or trailing words are rejected; text that closes the bracket itself (``{..}] x``) is
-    not, so text holding ``]`` must also parse inside ``{"v":..}``.
-    """
-    closed = ~F.contains(text, F.lit("]")) | F.try_parse_json(
-        F.concat(F.lit('{"v":'), text, F.lit("}"))
-    ).isNotNull()
-    return F.when(
-        F.try_variant_get(wrapped, "$[1]", "variant").isNull() & closed,
-        F.try_variant_get(wrapped, "$[0]", "variant"),
-    )
+# The one JSON value of the text, NULL if there is anything else in it. Text that closes
+# the bracket itself ("{..}] x") would hide what follows, so text with a "]" must also
+# parse inside an object.
+_SINGLE = """CASE WHEN try_variant_get({0}, '$[1]', 'variant') IS NULL
+  AND (NOT contains({1}, ']') OR try_parse_json(concat('{{"v":', {1}, '}}')) IS NOT NULL)
+  THEN try_variant_get({0}, '$[0]', 'variant') END"""
 
 
 def parse_label(
@@ -58,34 +46,34 @@ def parse_label(
     ``fix``: None, ``simple`` or ``extract``. The fix is tried on text that does not parse;
     with ``always`` it is applied first, to every row.
     """
+    kept = df.columns
     if always:
-        df = df.withColumn("_e", _candidate(fix, F.col(label)))
-        df = df.withColumn("_t", jsontext.simple_fix(F.col("_e")))
+        df = df.select("*", _CANDIDATE[fix](F.col(label)).alias("_e"))
+        df = df.select("*", jsontext.simple_fix(F.col("_e")).alias("_t"))
         src, fix = "_t", None
     else:
         src = label
-    df = df.withColumn("_w", _parsed(F.col(src)))
-    df = df.withColumn("_p", _single_value(F.col("_w"), F.col(src)))
+    df = df.selectExpr("*", _WRAPPED.format(f"`{src}`") + " AS _w")
+    df = df.selectExpr("*", _SINGLE.format("_w", f"`{src}`") + " AS _p")
     value, text, repaired = F.col("_p"), F.col(src), F.lit(False)
     if fix:
-        df = df.withColumn("_e", F.when(F.col("_p").isNull(), _candidate(fix, F.col(label))))
-        df = df.withColumn("_f", jsontext.simple_fix(F.col("_e")))
-        df = df.withColumn("_fw", _parsed(F.col("_f")))
-        df = df.withColumn("_fp", _single_value(F.col("_fw"), F.col("_f")))
+        candidate = F.when(F.col("_p").isNull(), _CANDIDATE[fix](F.col(label)))
+        df = df.select("*", candidate.alias("_e"))
+        df = df.select("*", jsontext.simple_fix(F.col("_e")).alias("_f"))
+        df = df.selectExpr("*", _WRAPPED.format("_f") + " AS _fw")
+        df = df.selectExpr("*", _SINGLE.format("_fw", "_f") + " AS _fp")
         repaired = F.col("_fp").isNotNull()
         value = F.coalesce(value, F.col("_fp"))
         text = F.when(repaired, F.col("_f")).otherwise(text)
-    df = evaluate_once(
-        df, value.alias(out), text.alias(f"{out}_text"), repaired.alias("repaired")
-    )
-    return df.drop("_e", "_t", "_w", "_p", "_f", "_fw", "_fp")
+    new = F.struct(value.alias(out), text.alias(f"{out}_text"), repaired.alias("repaired"))
+    return df.select(*kept, F.inline(F.array(new)))
 
 
 def filter_valid_strict(
     df: DataFrame, criteria: Sequence[str] = CRITERIA, label: str = "label"
 ) -> DataFrame:
     """Rows whose label parses as it stands and passes the strict rules."""
-    keep = parse_label(df, label).where(L.strict_ok(F.col("parsed"), criteria))
+    keep = parse_label(df, label).where(L.strict_ok("parsed", criteria))
     return keep.select(*df.columns)
 
 
@@ -97,7 +85,7 @@ def clean_labels(
     The key is kept: inference and evaluation need it later. Rows without one are rejected.
     """
     keep = parse_label(df.where(F.col(key).isNotNull()), label, fix="simple").where(
-        L.strict_ok(F.col("parsed"), criteria)
+        L.strict_ok("parsed", criteria)
     )
     return keep.withColumn(label, F.col("parsed_text")).select(*df.columns)
 
@@ -112,16 +100,13 @@ def with_reason(
     """Add ``parsed``, ``repaired``, ``reason`` (NULL for a valid label) and ``scores``
     (whole numbers in criteria order, NULL unless valid)."""
     df = parse_label(df, label, fix=fix, always=always)
-    v = F.col("parsed")
-    names = [f"_s{i}" for i in range(len(criteria))]
-    df = df.withColumns({n: L.score(v, t) for n, t in zip(names, criteria)})
-    scores = [F.col(n) for n in names]
-    df = df.withColumn("_r", L.lenient_reason(v, criteria, scores))
-    ints = F.array(*[s.cast("int") for s in scores])
-    df = evaluate_once(
-        df, F.col("_r").alias("reason"), F.when(F.col("_r").isNull(), ints).alias("scores")
-    )
-    return df.drop("_r", *names)
+    kept, names = df.columns, [f"_s{i}" for i in range(len(criteria))]
+    scores = [f"{L.score_sql('parsed', t)} AS {n}" for n, t in zip(names, criteria)]
+    df = df.selectExpr("*", *scores)
+    df = df.select("*", L.lenient_reason("parsed", criteria, names).alias("_r"))
+    ints = ", ".join(f"int({n})" for n in names)
+    new = f"struct(_r AS reason, IF(_r IS NULL, array({ints}), NULL) AS scores)"
+    return df.selectExpr(*[f"`{c}`" for c in kept], f"inline(array({new}))")
 
 
 def validate_lenient(
@@ -142,19 +127,13 @@ def traits_to_long(
     df: DataFrame, criteria: Sequence[str] = CRITERIA, label: str = "label"
 ) -> DataFrame:
     """One row per valid label and trait: ``trait``, ``score``, ``feedback``."""
-    valid = with_reason(df, criteria, label).where("reason is null")
-    v = F.col("parsed")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("trait"),
-                F.get("scores", F.lit(i)).alias("score"),
-                L.feedback(v, t).alias("feedback"),
-            )
-            for i, t in enumerate(criteria)
-        ]
+    valid = with_reason(df, criteria, label).where("reason IS NULL")
+    rows = ", ".join(
+        f"struct({L.literal(t)} AS trait, scores[{i}] AS score, "
+        f"{L.feedback_sql('parsed', t)} AS feedback)"
+        for i, t in enumerate(criteria)
     )
-    return valid.select(*df.columns, F.inline(rows))
+    return valid.selectExpr(*[f"`{c}`" for c in df.columns], f"inline(array({rows}))")
 
 
 def project_labeled(df: DataFrame) -> DataFrame:

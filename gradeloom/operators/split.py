@@ -28,7 +28,7 @@ def with_strat_key(
     out: str = "strat_key",
 ) -> DataFrame:
     parsed = parse_label(df, label)
-    return parsed.select(*df.columns, L.strat_key(F.col("parsed"), traits, threshold).alias(out))
+    return parsed.select(*df.columns, L.strat_key("parsed", traits, threshold).alias(out))
 
 
 def strat_key_histogram(keyed: DataFrame, stratum: str = "strat_key") -> DataFrame:
@@ -230,7 +230,7 @@ def split_balance(
         *[
             F.struct(
                 F.lit(t).alias("trait"),
-                L.score_bin(L.score(F.col("parsed"), t), threshold).alias("bin"),
+                L.score_bin(L.score("parsed", t), threshold).alias("bin"),
             )
             for t in traits
         ]

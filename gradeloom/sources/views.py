@@ -2,7 +2,8 @@
 
 The given tables hold no model output, so labels are derived from each document with
 integer arithmetic and string functions: a clean ground truth, and three systems whose
-output is damaged in the ways real model output is.
+output is damaged in the ways real model output is. Like the files of a real evaluation
+they are stored once (per application and input folder) and then read by every query.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import materialize
 from gradeloom.settings import CRITERIA
 
 
@@ -37,6 +39,22 @@ def _object(parts: list[Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(build):
+    """Write the view on first use and read it back after that."""
+
+    def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = materialize(build(spark, sf_dir), build.__name__)
+        return _STORED[key]
+
+    return view
+
+
+@_stored
 def label_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text, n_chars, label: always valid."""
     parts = [
@@ -48,6 +66,7 @@ def label_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_stored
 def label_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, id, text, label: three systems, two of them with damaged rows."""
     k, d = F.col("k"), F.col("doc_id")
