@@ -532,20 +532,22 @@ def augment_minority(spark, sf_dir):
 
 @query
 def judge_label_rows(spark, sf_dir):
-    df = infer.judge_label_rows(_docs(spark, sf_dir), stubs.judge_client, pause=0.0)
+    docs = views.spread(_docs(spark, sf_dir))
+    df = infer.judge_label_rows(docs, stubs.judge_client, pause=0.0)
     return df.select("id", "label", "error", _long("attempts"))
 
 
 @query
 def batch_infer(spark, sf_dir):
-    df = infer.batch_infer(_docs(spark, sf_dir), stubs.LengthModel())
+    df = infer.batch_infer(views.spread(_docs(spark, sf_dir)), stubs.LengthModel())
     return df.select("id", F.length("text").cast("bigint").alias("n_text"), "label", "error")
 
 
 @query
 def infer_many_systems(spark, sf_dir):
     systems = {s: stubs.LengthModel(s) for s in ("epoch1", "epoch2", "epoch3")}
-    return infer.infer_many_systems(_docs(spark, sf_dir), systems).select("system", "id", "label")
+    docs = views.spread(_docs(spark, sf_dir))
+    return infer.infer_many_systems(docs, systems).select("system", "id", "label")
 
 
 # --- fine-tuning examples -----------------------------------------------------------------

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import SPACE_CLASS, drop_prefix, drop_suffix, strip
+from gradeloom.functions.text import SPACE, UNICODE, drop_prefix, drop_suffix, strip
 
 # What counts as a fenced block and as a dangling comma.
-FENCED_OBJECT = rf"(?s)```json[{SPACE_CLASS}]*(\{{.*?\}})[{SPACE_CLASS}]*```"
-DANGLING_COMMA = rf",[{SPACE_CLASS}]*([}}\]])"
+FENCED_OBJECT = rf"{UNICODE}(?s)```json[{SPACE}]*(\{{.*?\}})[{SPACE}]*```"
+DANGLING_COMMA = rf"{UNICODE},[{SPACE}]*([}}\]])"
 
 
 def _occurrences(c: Column, ch: str) -> Column:

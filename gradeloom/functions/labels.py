@@ -99,6 +99,8 @@ def lenient_reason(v: str, criteria: Sequence[str], scores: Sequence[str]) -> Co
         OR ({kind} = 'DOUBLE' AND abs({_get('x.value', 'score', kind='double')}) < double('Infinity'))
         OR ({kind} = 'STRING' AND {_get('x.value', 'score', kind='string')} RLIKE '{_INT_TEXT}'))"""
     rule = f"""CASE
+        WHEN schema_of_variant(x.value) = 'OBJECT<feedback: STRING, score: BIGINT>'
+          AND {_get('x.value', 'score', kind='bigint')} BETWEEN 1 AND 10 THEN NULL
         WHEN x.value IS NULL THEN concat('Missing field: ', x.name)
         WHEN NOT startswith(schema_of_variant(x.value), 'OBJECT')
           THEN concat("Field '", x.name, "' is not a dict")

@@ -11,25 +11,30 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set inside a regex character class, written so that Java and RE2 both read it.
-SPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The same set as a Java pattern: with (?U), \\s covers all but four of these code points, in
+# one test per character. Prefix UNICODE; use SPACE inside a character class.
+UNICODE = "(?U)"
+SPACE = r"\s\x1c-\x1f"
+_GAP = rf"{UNICODE}[{SPACE}]+"
 
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def _split(c: Column, empty: Column, use=lambda parts: parts) -> Column:
+    text = strip(c)
+    return F.when(text == "", empty).otherwise(use(F.split(text, _GAP)))
+
+
 def word_count(c: Column) -> Column:
     """Number of white-space separated words."""
-    return F.regexp_count(c, F.lit(f"[^{SPACE_CLASS}]+"))
+    return _split(c, F.lit(0), F.size)
 
 
 def words(c: Column) -> Column:
     """Lower-cased words in order, repeats kept; an empty text gives an empty array."""
-    return F.regexp_extract_all(F.lower(c), F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0))
+    return _split(F.lower(c), F.array().cast("array<string>"))
 
 
 def drop_prefix(c: Column, prefix: str) -> Column:

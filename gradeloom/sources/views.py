@@ -23,6 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is read in fewer tasks than there are cores.
+    A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _seeds() -> list[Column]:
     d, n = F.col("doc_id"), F.col("n_chars")
     return [n, d * 7 + n, d * 3 + 1, d + n * 3, n * 13 + 2, d * d]
@@ -48,7 +55,7 @@ def _stored(build):
     def view(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
         if key not in _STORED:
-            _STORED[key] = materialize(build(spark, sf_dir), build.__name__)
+            _STORED[key] = materialize(spread(build(spark, sf_dir)), build.__name__)
         return _STORED[key]
 
     return view
