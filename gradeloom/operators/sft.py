@@ -48,15 +48,27 @@ def conversation_sft(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", messages.alias("messages"), "output")
 
 
-def encode(text: Column, tokenizer_factory: Callable[[], Encode]) -> Column:
-    """Token ids of a text; the tokenizer is loaded once per task."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def encode_pair(
+    prompt: Column, output: Column, tokenizer_factory: Callable[[], Encode], max_length: int
+) -> Column:
+    """``struct(n_prompt, n_full, ids)``: token counts of the prompt and of prompt + output,
+    and the first ``max_length`` ids of the latter. Whole texts are tokenized, each on its
+    own, since tokens may span the border; the tokenizer is loaded once per task."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         tokenize = tokenizer_factory()
-        for texts in batches:
-            yield pd.Series([list(ids) for ids in tokenize(texts.tolist())])
+        for prompts, outputs in batches:
+            short = tokenize(prompts.tolist())
+            full = tokenize((prompts + outputs).tolist())
+            yield pd.DataFrame(
+                {
+                    "n_prompt": [len(p) for p in short],
+                    "n_full": [len(f) for f in full],
+                    "ids": [list(f[:max_length]) for f in full],
+                }
+            )
 
-    return F.pandas_udf(run, "array<int>")(text)
+    return F.pandas_udf(run, "n_prompt int, n_full int, ids array<int>")(prompt, output)
 
 
 def sft_tokenize_mask(
@@ -69,25 +81,22 @@ def sft_tokenize_mask(
 
     Prompt + output is cut or padded (on the right) to ``max_length``; labels repeat the ids
     with the prompt's positions set to -100. ``n_prompt`` and ``n_full`` are counts before
-    the cut. Only the encoding runs in Python.
+    the cut. Only the encoding runs in Python. Examples without an output are left out.
     """
     prompt = P.chat_text(F.col("messages"))
-    df = examples.select(
-        "id",
-        encode(prompt, tokenizer_factory).alias("_p"),
-        encode(F.concat(prompt, F.col("output")), tokenizer_factory).alias("_f"),
+    df = examples.where("output IS NOT NULL").select(
+        "id", encode_pair(prompt, F.col("output"), tokenizer_factory, max_length).alias("_t")
     )
     size = F.lit(max_length)
-    used, masked = F.least(F.size("_f"), size), F.least(F.size("_p"), size)
-    ids = F.concat(F.slice("_f", 1, max_length), F.array_repeat(F.lit(pad_id), size - used))
+    used, masked = F.size("_t.ids"), F.least(F.col("_t.n_prompt"), size)
     df = df.select(
         "id",
-        F.size("_p").alias("n_prompt"),
-        F.size("_f").alias("n_full"),
-        ids.alias("input_ids"),
-        F.concat(
-            F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), size - used)
-        ).alias("attention_mask"),
+        "_t.n_prompt",
+        "_t.n_full",
+        F.concat(F.col("_t.ids"), F.array_repeat(F.lit(pad_id), size - used)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), size - used)).alias(
+            "attention_mask"
+        ),
         masked.alias("_masked"),
     )
     labels = F.concat(

@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 from gradeloom.functions.labels import NOT_AN_OBJECT, OUTER_ERROR
 from gradeloom.functions.text import strip
 from gradeloom.operators.labels import evaluate_once, parse_label
+from gradeloom.session import materialize
+from gradeloom.settings import MAX_BROADCAST_ROWS
 
 RECORD_SCHEMA = "id BIGINT, text STRING, label STRING, trait STRING"
 RAW_SCHEMA = "id BIGINT, text STRING"
@@ -48,7 +50,9 @@ def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     ``path`` is a file, or a folder of part files that are numbered through in name order.
     Within a file split rows come in file order, so a line number is the number of lines in
     the earlier splits plus the offset in its own split. Only one row per split is
-    aggregated and ordered; the lines themselves are neither sorted nor gathered.
+    aggregated and ordered; the lines themselves are neither sorted nor gathered. That
+    small table is written first, so that its size is known: up to ``MAX_BROADCAST_ROWS``
+    splits it is broadcast, beyond that it is joined by split.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -65,6 +69,9 @@ def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
     )
+    offsets = materialize(offsets, "line-offsets")
+    if offsets.count() <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return lines.join(offsets, ["file", "block"]).select(
         (F.col("row") + F.col("shift")).alias("pos"), "value"
     )
