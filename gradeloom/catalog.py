@@ -16,7 +16,7 @@ from gradeloom.operators import align as A
 from gradeloom.operators import augment, infer, match, metrics, sample, sft
 from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
-from gradeloom.session import prepare, scratch_path
+from gradeloom.session import materialize, prepare, scratch_path
 from gradeloom.settings import CRITERIA, SEED, THRESHOLD
 from gradeloom.sources import jsonl, report, views
 from gradeloom.streaming.clean import append_clean_incremental as run_stream
@@ -157,13 +157,13 @@ def write_splits(spark, sf_dir):
 
 @query
 def metrics_report(spark, sf_dir):
-    validated = _validated(spark, sf_dir).withColumnRenamed("id", "pos").drop("text", "label")
-    aligned = _aligned(spark, sf_dir)
+    verdicts = _validated(spark, sf_dir).withColumnRenamed("id", "pos")
+    verdicts = materialize(verdicts.select("system", "pos", "reason", "scores"), "verdicts")
+    aligned = materialize(_aligned(spark, sf_dir), "aligned")
+    per_trait = materialize(metrics.trait_mse(A.compared_traits(aligned)), "traits")
     lines = O.union_sources(
-        report.validity_report(validated, THRESHOLD),
-        report.comparison_report(
-            metrics.trait_mse(A.compared_traits(aligned)), A.compare_coverage(aligned)
-        ),
+        report.validity_report(verdicts, THRESHOLD),
+        report.comparison_report(per_trait, A.compare_coverage(aligned)),
     )
     return lines.select(
         F.coalesce("system", F.lit("")).alias("system"),
@@ -302,13 +302,11 @@ def rewrite_prompt(spark, sf_dir):
 
 @query
 def completion_strip(spark, sf_dir):
-    words = TX.words(F.col("text"))
-    tokens = F.transform(words, lambda w: F.length(w))
+    tokens = F.transform(TX.words(F.col("text")), lambda w: F.length(w))
     df = _docs(spark, sf_dir).select("id", tokens.alias("ids"))
     out = P.completion(F.col("ids"), (F.size("ids") / 3).cast("int"))
-    total = F.aggregate(out, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return df.select(
-        "id", F.size(out).cast("bigint").alias("n_generated"), total.alias("id_sum")
+        "id", F.size(out).cast("bigint").alias("n_generated"), _array_md5(out).alias("ids")
     )
 
 
@@ -564,8 +562,8 @@ def _tokenized(spark, sf_dir) -> DataFrame:
     return sft.sft_tokenize_mask(examples, stubs.word_length_tokenizer)
 
 
-def _array_sum(name: str) -> Column:
-    return F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def _array_md5(c: str | Column) -> Column:
+    return F.md5(F.array_join(c, ",").cast("binary"))
 
 
 @query
@@ -575,9 +573,9 @@ def sft_tokenize_mask(spark, sf_dir):
         _long("n_prompt"),
         _long("n_full"),
         F.size("input_ids").cast("bigint").alias("length"),
-        _array_sum("input_ids").alias("id_sum"),
-        _array_sum("attention_mask").alias("n_attended"),
-        _array_sum("labels").alias("label_sum"),
+        _array_md5("input_ids").alias("input_ids"),
+        _array_md5("attention_mask").alias("attention_mask"),
+        _array_md5("labels").alias("labels"),
     )
 
 

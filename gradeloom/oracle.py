@@ -362,7 +362,7 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
           md5(chr(10) || '    Transcript:' || chr(10) || '    ' || text || chr(10) || '    ') AS judge_user FROM {docs}""",
         "rewrite_prompt": f"""SELECT id, trait, md5({_rewrite("trait", "text")}) AS prompt_md5
           FROM {docs} CROSS JOIN (SELECT unnest([{", ".join(_q(t) for t in P.PERSONAS)}]) AS trait)""",
-        "completion_strip": f"""SELECT id, len(g)::BIGINT AS n_generated, coalesce(list_sum(g), 0)::BIGINT AS id_sum FROM (
+        "completion_strip": f"""SELECT id, len(g)::BIGINT AS n_generated, md5(array_to_string(g, ',')) AS ids FROM (
           SELECT id, ids[len(ids) // 3 + 1 :] AS g FROM (
             SELECT id, list_transform({_tokens("text")}, lambda w: length(w)) AS ids FROM {docs}))""",
         "align_systems_positional": _with(gt, pred, _LENIENT)
@@ -435,10 +435,14 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
         + f"""SELECT id, 'system' AS role_0, md5({_q(_SYSTEM)}) AS content_0, 'user' AS role_1,
           md5('Transcript:' || chr(10) || text) AS content_1, label AS output FROM label_gt""",
         "sft_tokenize_mask": _with(gt, _TOKENIZED)
-        + f"""SELECT id, len(p)::BIGINT AS n_prompt, len(f)::BIGINT AS n_full, {MAX_TOKENS}::BIGINT AS length,
-          list_sum(f[:{MAX_TOKENS}])::BIGINT AS id_sum, least(len(f), {MAX_TOKENS})::BIGINT AS n_attended,
-          (-100 * least(len(p), {MAX_TOKENS}) + coalesce(list_sum(f[least(len(p), {MAX_TOKENS}) + 1 : {MAX_TOKENS}]), 0))::BIGINT AS label_sum
-          FROM toks""",
+        + f""", padded AS (
+            SELECT id, len(p) AS np, len(f) AS nf, least(len(p), {MAX_TOKENS}) AS cut, least(len(f), {MAX_TOKENS}) AS used,
+              list_resize(f[:{MAX_TOKENS}], {MAX_TOKENS}, 0) AS ids FROM toks)
+          SELECT id, np::BIGINT AS n_prompt, nf::BIGINT AS n_full, len(ids)::BIGINT AS length,
+            md5(array_to_string(ids, ',')) AS input_ids,
+            md5(array_to_string(list_transform(range({MAX_TOKENS}), lambda i: CASE WHEN i < used THEN 1 ELSE 0 END), ',')) AS attention_mask,
+            md5(array_to_string(list_transform(range({MAX_TOKENS}), lambda i: CASE WHEN i < cut THEN -100 ELSE ids[i + 1] END), ',')) AS labels
+          FROM padded""",
         "sft_token_budget": _with(gt, _TOKENIZED)
         + f"""SELECT count(*) AS n, count(*) FILTER (len(f) > {MAX_TOKENS}) AS n_truncated,
           count(*) FILTER (len(p) >= {MAX_TOKENS}) AS n_fully_masked,

@@ -18,7 +18,8 @@ from gradeloom.sources import jsonl, report
 
 @dataclass
 class Evaluation:
-    """Results as small tables, and the rendered report lines."""
+    """Results as small tables, and the rendered report lines. ``match`` and
+    ``overall_match`` are None unless feedback was compared."""
 
     validity: DataFrame
     summary: DataFrame
@@ -26,6 +27,8 @@ class Evaluation:
     traits: DataFrame
     overall: DataFrame
     coverage: DataFrame
+    match: DataFrame | None
+    overall_match: DataFrame | None
     lines: DataFrame
 
 
@@ -44,38 +47,54 @@ def evaluate_files(
     predictions: Mapping[str, str],
     truth: str,
     criteria: Sequence[str] = CRITERIA,
-    threshold: int = THRESHOLD,
+    thresholds: Sequence[int] = (THRESHOLD,),
     by: str = "id",
+    with_feedback: bool = False,
 ) -> Evaluation:
     """``predictions``: system -> path. ``by``: ``id``, or ``pos`` to pair lines by number.
 
-    Records are numbered and opened once and written to the scratch folder, because two
-    different readings of the label (repair on failure; repair always) follow.
+    Files are scanned once. What later steps share is stored narrow: opened records (labels
+    only), verdicts (no text), and aligned scores; all tables and the report come from those.
+    ``with_feedback`` adds the word match of feedback texts.
     """
     prepare(spark)
     records = materialize(
         jsonl.records_of_lines(jsonl.scan_systems(spark, predictions)).drop("value", "text"),
         "records",
     )
-    truth_records = jsonl.records_of_lines(
-        jsonl.scan_lines_with_position(spark, truth)
-    ).select("pos", "id", "label")
-    validated = validate_records(records, criteria)
-    systems = list(predictions)
+    truth_records = jsonl.records_of_lines(jsonl.scan_lines_with_position(spark, truth))
+    verdicts = validate_records(records, criteria).select("system", "pos", "reason", "scores")
+    verdicts = materialize(verdicts, "verdicts")
     aligned = A.align(
-        records.select("system", by, "label"), truth_records.select(by, "label"), systems, [by], criteria
+        records.select("system", by, "label"),
+        truth_records.select(by, "label"),
+        list(predictions),
+        [by],
+        criteria,
+        with_feedback,
     )
-    traits = M.trait_mse(A.compared_traits(aligned, criteria))
+    aligned = materialize(aligned, "aligned")
+    compared = A.compared_traits(aligned, criteria)
+    traits = materialize(M.trait_mse(compared), "traits")
     coverage = A.compare_coverage(aligned)
+    match = None
+    if with_feedback:
+        match = materialize(M.feedback_match(M.lexical_match(compared)), "match")
+    blocks = [report.validity_report(verdicts, t, criteria) for t in thresholds]
+    lines = union_sources(
+        *[b.withColumn("block", F.lit(i)) for i, b in enumerate(blocks)],
+        report.comparison_report(traits, coverage, criteria, match).withColumn(
+            "block", F.lit(len(blocks))
+        ),
+    )
     return Evaluation(
-        validity=M.validity_rate(validated),
-        summary=M.trait_summary(validated, threshold, criteria),
-        errors=M.first_k_errors(validated),
+        validity=M.validity_rate(verdicts),
+        summary=M.trait_summary_sweep(verdicts, thresholds, criteria),
+        errors=M.first_k_errors(verdicts),
         traits=traits,
         overall=M.overall_mse(traits),
         coverage=coverage,
-        lines=union_sources(
-            report.validity_report(validated, threshold, criteria),
-            report.comparison_report(traits, coverage, criteria),
-        ),
+        match=match,
+        overall_match=M.overall_match_f1(match) if match is not None else None,
+        lines=materialize(lines, "report"),
     )

@@ -27,11 +27,20 @@ def _index(column: str, names: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)).cast("int")
 
 
-def _lines(df: DataFrame, part: int, order: Column, *texts: Column) -> DataFrame:
-    """Turn each row into report lines placed by (system, part, order, line)."""
-    return df.select(
-        "system", F.lit(part).alias("part"), order.alias("item"), F.posexplode(F.array(*texts))
-    ).select("system", "part", "item", F.col("pos").alias("line_no"), F.col("col").alias("line"))
+def _line(part: int, item: Column | int, line_no: int, text: Column | str) -> Column:
+    item = item if isinstance(item, Column) else F.lit(item)
+    text = text if isinstance(text, Column) else F.lit(text)
+    return F.struct(
+        F.lit(part).alias("part"),
+        item.alias("item"),
+        F.lit(line_no).alias("line_no"),
+        text.alias("line"),
+    )
+
+
+def _lines(df: DataFrame, *lines: Column) -> DataFrame:
+    """Each row becomes report lines placed by (system, part, item, line_no)."""
+    return df.select("system", F.inline(F.array(*lines)))
 
 
 def validity_report(
@@ -41,76 +50,124 @@ def validity_report(
     shown_errors: int = 10,
 ) -> DataFrame:
     """``system, part, item, line_no, line``: counts, first errors and score summary of each
-    system. ``validated`` needs ``system, pos, reason, scores``."""
-    rate, lit = M.validity_rate(validated), F.lit
-    s = F.col("system")
+    system. ``validated`` needs ``system, pos, reason, scores`` and is read three times:
+    store it first."""
     head = _lines(
-        rate,
-        0,
-        lit(0),
-        F.concat(s, lit(f" check with score threshold {threshold}:")),
-        F.format_string("Valid samples: %d/%d", F.col("valid"), F.col("total")),
-        F.format_string("Invalid samples: %d", F.col("invalid")),
-        lit(""),
-        lit(f"Sample errors (up to {shown_errors} shown):"),
+        M.validity_rate(validated),
+        _line(0, 0, 0, F.concat("system", F.lit(f" check with score threshold {threshold}:"))),
+        _line(0, 0, 1, F.format_string("Valid samples: %d/%d", "valid", "total")),
+        _line(0, 0, 2, F.format_string("Invalid samples: %d", "invalid")),
+        _line(0, 0, 3, ""),
+        _line(0, 0, 4, f"Sample errors (up to {shown_errors} shown):"),
+        _line(2, 0, 0, ""),
+        _line(2, 0, 1, "Scoring summary:"),
     )
-    first = M.first_k_errors(validated, shown_errors)
     errors = _lines(
-        first,
-        1,
-        F.col("rank"),
-        F.format_string("  Line %d: %s", F.col("pos") + 1, F.col("reason")),
+        M.first_k_errors(validated, shown_errors),
+        _line(1, F.col("rank"), 0, F.format_string("  Line %d: %s", F.col("pos") + 1, "reason")),
     )
-    title = _lines(rate, 2, lit(0), lit(""), lit("Scoring summary:"))
-    summary = M.trait_summary(validated, threshold, criteria)
+    at = _index("trait", criteria)
     traits = _lines(
-        summary,
-        3,
-        _index("trait", criteria),
-        lit(""),
-        F.concat(lit("Trait: "), F.col("trait")),
-        F.concat(lit("  Avg Score: "), fixed(F.col("avg_score"), 2)),
-        F.format_string(
-            f"  >{threshold}: %d | <={threshold}: %d", F.col("n_above"), F.col("n_at_or_below")
+        M.trait_summary(validated, threshold, criteria).withColumn(
+            "avg_text", fixed(F.col("avg_score"), 2)
         ),
-        F.format_string("  Min: %d, Max: %d", F.col("min_score"), F.col("max_score")),
+        _line(3, at, 0, ""),
+        _line(3, at, 1, F.concat(F.lit("Trait: "), "trait")),
+        _line(3, at, 2, F.concat(F.lit("  Avg Score: "), "avg_text")),
+        _line(
+            3,
+            at,
+            3,
+            F.format_string(f"  >{threshold}: %d | <={threshold}: %d", "n_above", "n_at_or_below"),
+        ),
+        _line(3, at, 4, F.format_string("  Min: %d, Max: %d", "min_score", "max_score")),
+    )
+    return union_sources(head, errors, traits)
+
+
+def _values(df: DataFrame, item: Column, **named: Column) -> DataFrame:
+    """One ``  name: value`` line per named number, four decimals; NULLs are left out."""
+    rows = [
+        F.struct(F.lit(i).alias("_no"), F.lit(name).alias("_name"), c.alias("_value"))
+        for i, (name, c) in enumerate(named.items())
+    ]
+    prefix = F.concat(F.col("trait"), F.lit("_")) if "trait" in df.columns else F.lit("")
+    name = F.when(F.col("_name") == "", F.col("trait") if "trait" in df.columns else F.lit(""))
+    long = df.select("*", F.inline(F.array(*rows))).where("_value IS NOT NULL")
+    text = F.concat(
+        F.lit("  "),
+        F.coalesce(name, F.concat(prefix, "_name")),
+        F.lit(": "),
+        fixed(F.col("_value"), 4),
+    )
+    return long.select(
+        "system",
+        F.lit(4).alias("part"),
+        item.alias("item"),
+        F.col("_no").alias("line_no"),
+        text.alias("line"),
     )
-    return union_sources(head, errors, title, traits)
 
 
 def comparison_report(
-    per_trait: DataFrame, coverage: DataFrame, criteria: Sequence[str] = CRITERIA
+    per_trait: DataFrame,
+    coverage: DataFrame,
+    criteria: Sequence[str] = CRITERIA,
+    match: DataFrame | None = None,
 ) -> DataFrame:
-    """The same columns for the MSE block; the coverage line has a NULL system."""
+    """The same columns for the comparison block; the coverage line has a NULL system.
+    ``match``: precision, recall and F1 per trait, to be listed beside the MSE."""
+    at, last = _index("trait", criteria), F.lit(len(criteria) + 1)
     head = _lines(
-        per_trait.select("system").distinct(), 4, F.lit(0), F.concat(F.lit("Generated File: "), F.col("system"))
-    )
-    values = _lines(
-        per_trait,
-        4,
-        _index("trait", criteria),
-        F.concat(F.lit("  "), F.col("trait"), F.lit(": "), fixed(F.col("mse"), 4)),
-    )
-    overall = _lines(
-        M.overall_mse(per_trait),
-        4,
-        F.lit(len(criteria) + 1),
-        F.concat(F.lit("  overall_avg_mse: "), fixed(F.col("overall_mse"), 4)),
+        per_trait.select("system").distinct(),
+        _line(4, 0, 0, F.concat(F.lit("Generated File: "), "system")),
     )
+    if match is None:
+        values = [
+            _values(per_trait, at, **{"": F.col("mse")}),
+            _values(M.overall_mse(per_trait), last, overall_avg_mse=F.col("overall_mse")),
+        ]
+    else:
+        both = per_trait.join(match, ["system", "trait"])
+        overall = M.overall_mse(per_trait).join(M.overall_match_f1(match), "system")
+        values = [
+            _values(
+                both,
+                at,
+                **{"": F.col("mse")},
+                match_precision=F.col("precision"),
+                match_recall=F.col("recall"),
+                match_f1=F.col("f1"),
+            ),
+            _values(
+                overall,
+                last,
+                overall_avg_mse=F.col("overall_mse"),
+                overall_avg_match_f1=F.col("overall_f1"),
+            ),
+        ]
     foot = _lines(
         coverage.withColumn("system", F.lit(None).cast("string")),
-        5,
-        F.lit(0),
-        F.format_string(
-            "Compared %d/%d lines successfully (only counting lines valid in all files).",
-            F.col("compared"),
-            F.col("total"),
+        _line(
+            5,
+            0,
+            0,
+            F.format_string(
+                "Compared %d/%d lines successfully (only counting lines valid in all files).",
+                "compared",
+                "total",
+            ),
         ),
     )
-    return union_sources(head, values, overall, foot)
+    return union_sources(head, *values, foot)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """One text file in report order: systems by name, then parts; a few lines each."""
-    order = [F.col("system").asc_nulls_last(), "part", "item", "line_no"]
-    lines.coalesce(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+    """One text file in report order: validity by system, then the comparison. The report is
+    a few lines per system and trait; pass it stored, so that only these meet in one task."""
+    order = ["part", "item", "line_no"]
+    if "block" in lines.columns:  # several thresholds: a block per system and threshold
+        order = ["block", *order]
+    validity = F.col("part") >= 4
+    rank = [validity, F.col("system").asc_nulls_last(), *order]
+    lines.coalesce(1).sortWithinPartitions(*rank).select("line").write.mode("overwrite").text(path)

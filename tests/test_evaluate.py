@@ -228,6 +228,28 @@ def test_evaluate_files_by_id_and_position(spark, tmp_path):
     assert text[-1].startswith("Compared 5/5 lines successfully")
 
 
+def test_evaluate_files_with_feedback(spark, tmp_path):
+    truth = [{"id": i, "text": "t", "label": lab(5, 5, "good work", "fine")} for i in (1, 2)]
+    pred = [{"id": i, "text": "t", "label": lab(5, 4, "good", "fine")} for i in (2, 1)]
+    files = {"s": write_file(tmp_path / "s.jsonl", pred)}
+    ev = evaluate_files(
+        spark, files, write_file(tmp_path / "g.jsonl", truth), T, thresholds=(3, 6), with_feedback=True
+    )
+    got = {r.trait: (r.precision, r.recall) for r in ev.match.collect()}
+    assert got == {"p": (1.0, 0.5), "q": (1.0, 1.0)}
+    assert ev.overall_match.first().overall_f1 == pytest.approx((2 / 3 + 1) / 2)
+    report.write_report(ev.lines, str(tmp_path / "r"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert text.index("s check with score threshold 3:") < text.index("s check with score threshold 6:")
+    assert text[-12:-1] == [
+        "Generated File: s",
+        "  p: 0.0000", "  p_match_precision: 1.0000", "  p_match_recall: 0.5000", "  p_match_f1: 0.6667",
+        "  q: 1.0000", "  q_match_precision: 1.0000", "  q_match_recall: 1.0000", "  q_match_f1: 1.0000",
+        "  overall_avg_mse: 0.5000", "  overall_avg_match_f1: 0.8333",
+    ]
+    assert text[-1].startswith("Compared 2/2")
+
+
 def test_fixed_rounds_like_python(spark):
     values = [0.125, 2.675, 1.005, 4.766666, 8.81355, 0.0, 10.0, 34.97455]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", report.fixed(F.col("v"), 2).alias("t"))
