@@ -127,16 +127,18 @@ def score_bin(value: Column, threshold: int) -> Column:
     return F.when(value > threshold, "high").when(value.isNotNull(), "low")
 
 
+def bin_sql(v: str, *keys: str, threshold: int) -> str:
+    """The bin of a score as it stands: fractions count, text does not (NULL)."""
+    numeric = f"schema_of_variant({_get(v, *keys)}) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)'"
+    high = f"{_get(v, *keys, kind='double')} > {threshold}"
+    return f"IF({numeric}, IF({high}, 'high', 'low'), NULL)"
+
+
 def strat_key(v: str, traits: Sequence[str], threshold: int) -> Column:
     """Bins joined by ``_``. An absent trait is skipped; a label that cannot be read, or a
     trait whose score is not a number, gives ``unknown``."""
-    number = _get("x.value", "score", kind="double")
-    numeric = (
-        f"coalesce(schema_of_variant({_get('x.value', 'score')}) "
-        "RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)', false)"
-    )
     bins = f"""transform(filter({_traits(v, traits)}, x -> x.value IS NOT NULL),
-        x -> IF({numeric}, IF({number} > {threshold}, 'high', 'low'), NULL))"""
+        x -> {bin_sql('x.value', 'score', threshold=threshold)})"""
     readable = f"schema_of_variant({v}) RLIKE '^(OBJECT|ARRAY|STRING)'"
     plain = [f"schema_of_variant({_get(v, t, 'score')}) = 'BIGINT'" for t in traits]
     fast = ", ".join(

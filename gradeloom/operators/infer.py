@@ -5,6 +5,8 @@ Python and only the answer comes back; id, text and the rest of the row stay in
 Calls are marked non-deterministic, so Spark neither repeats nor moves them within a plan.
 A lost executor still means its calls are made again: write the result with
 ``session.materialize`` before reading it more than once, and leave speculation off.
+Rows reach Python in Arrow batches of ``spark.sql.execution.arrow.maxRecordsPerBatch``;
+lower it where texts are very long. The batch a model sees is ``batch_size``.
 """
 
 from __future__ import annotations

@@ -226,20 +226,15 @@ def split_balance(
 ) -> DataFrame:
     """Per split and trait: ``low`` and ``high`` counts and their shares in percent."""
     parsed = parse_label(split, label)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("trait"),
-                L.score_bin(L.score("parsed", t), threshold).alias("bin"),
-            )
-            for t in traits
-        ]
+    rows = ", ".join(
+        f"struct({L.literal(t)} AS trait, {L.bin_sql('parsed', t, 'score', threshold=threshold)} AS bin)"
+        for t in traits
     )
     counts = (
-        parsed.select("split", F.inline(rows))
-        .where("bin is not null")
+        parsed.selectExpr("split", f"inline(array({rows}))")
+        .where("bin IS NOT NULL")
         .groupBy("split", "trait")
-        .agg(F.count_if(F.col("bin") == "low").alias("low"), F.count_if(F.col("bin") == "high").alias("high"))
+        .agg(F.expr("count_if(bin = 'low') AS low"), F.expr("count_if(bin = 'high') AS high"))
     )
     total = F.col("low") + F.col("high")
     return counts.withColumns(

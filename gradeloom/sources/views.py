@@ -8,8 +8,7 @@ they are stored once (per application and input folder) and then read by every q
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.session import materialize
 from gradeloom.settings import CRITERIA
@@ -30,20 +29,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _seeds() -> list[Column]:
-    d, n = F.col("doc_id"), F.col("n_chars")
-    return [n, d * 7 + n, d * 3 + 1, d + n * 3, n * 13 + 2, d * d]
+# Score seeds, one per trait.
+_SEEDS = (
+    "n_chars",
+    "doc_id * 7 + n_chars",
+    "doc_id * 3 + 1",
+    "doc_id + n_chars * 3",
+    "n_chars * 13 + 2",
+    "doc_id * doc_id",
+)
 
 
-def _trait_json(trait: str, score: Column, offset: int) -> Column:
-    piece = F.trim(F.regexp_replace(F.substring("text", offset, 40), "[^A-Za-z ]", " "))
-    return F.concat(
-        F.lit(f'"{trait}": {{"score": '), score, F.lit(', "feedback": "'), piece, F.lit('"}')
-    )
+def _trait_json(trait: str, score: str, offset: int) -> str:
+    piece = f"trim(regexp_replace(substring(text, {offset}, 40), '[^A-Za-z ]', ' '))"
+    return f"""concat('"{trait}": {{"score": ', {score}, ', "feedback": "', {piece}, '"}}')"""
 
 
-def _object(parts: list[Column]) -> Column:
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+def _object(parts: list[str]) -> str:
+    return f"concat('{{', concat_ws(', ', {', '.join(parts)}), '}}')"
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -65,53 +68,42 @@ def _stored(build):
 def label_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text, n_chars, label: always valid."""
     parts = [
-        _trait_json(t, (m % 10 + 1).cast("string"), 1 + i)
-        for i, (t, m) in enumerate(zip(CRITERIA, _seeds()))
+        _trait_json(t, f"string(({m}) % 10 + 1)", 1 + i)
+        for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS))
     ]
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("id"), "text", "n_chars", _object(parts).alias("label")
+    return documents(spark, sf_dir).selectExpr(
+        "doc_id AS id", "text", "n_chars", f"{_object(parts)} AS label"
     )
 
 
 @_stored
 def label_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, id, text, label: three systems, two of them with damaged rows."""
-    k, d = F.col("k"), F.col("doc_id")
-    df = documents(spark, sf_dir).select(
-        "doc_id", "text", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
-    )
-    df = df.withColumn("c", F.when(k < 2, (d + k * 5) % 16).otherwise(15))
-    parts, short = [], []
-    c = F.col("c")
-    for i, (t, m) in enumerate(zip(CRITERIA, _seeds())):
-        n = ((m + (d + i) % (F.lit(4) - k)) % 10 + 1).cast("string")
-        if t == "persuasiveness":
-            n = F.when(c == 4, "11").otherwise(n)
-        elif t == "enthusiasm":
-            n = F.when(c == 5, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n)
-        elif t == "empathy":
-            n = F.when(c == 6, F.concat(n, F.lit(".9"))).otherwise(n)
-        elif t == "formality":
-            n = F.when(c == 10, "null").otherwise(n)
+    parts = []
+    for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS)):
+        n = f"string(({m} + (doc_id + {i}) % (4 - k)) % 10 + 1)"
+        n = {
+            "formality": f"IF(c = 10, 'null', {n})",
+            "persuasiveness": f"IF(c = 4, '11', {n})",
+            "enthusiasm": f"""IF(c = 5, concat('"', {n}, '"'), {n})""",
+            "empathy": f"IF(c = 6, concat({n}, '.9'), {n})",
+        }.get(t, n)
         part = _trait_json(t, n, 3 + i)
-        parts.append(part if t != "filler words" else F.when(c != 3, part))
-    df = df.withColumn("j", _object(parts))
-    j = F.col("j")
-    cut = F.left(j, F.length(j) - 1)
-    label = (
-        F.when(c == 0, F.concat(cut, F.lit(",}")))
-        .when(c == 1, cut)
-        .when(c == 2, F.concat(F.lit("Here is my rating:\n```json\n"), j, F.lit("\n```\nDone.")))
-        .when(c == 7, F.left(j, F.lit(120)))
-        .when(c == 8, "I cannot rate this.")
-        .when(c == 9, F.concat(j, F.lit(" Hope this helps")))
-        .otherwise(j)
-    )
-    return df.select(
-        F.concat(F.lit("sys"), k.cast("string")).alias("system"),
-        d.alias("id"),
-        "text",
-        label.alias("label"),
+        parts.append(f"IF(c <> 3, {part}, NULL)" if t == "filler words" else part)
+    label = r"""CASE c
+        WHEN 0 THEN concat(left(j, length(j) - 1), ',}')
+        WHEN 1 THEN left(j, length(j) - 1)
+        WHEN 2 THEN concat('Here is my rating:\n```json\n', j, '\n```\nDone.')
+        WHEN 7 THEN left(j, 120)
+        WHEN 8 THEN 'I cannot rate this.'
+        WHEN 9 THEN concat(j, ' Hope this helps')
+        ELSE j END AS label"""
+    return (
+        documents(spark, sf_dir)
+        .selectExpr("doc_id", "text", "n_chars", "explode(sequence(0, 2)) AS k")
+        .selectExpr("*", "IF(k < 2, (doc_id + k * 5) % 16, 15) AS c")
+        .selectExpr("*", f"{_object(parts)} AS j")
+        .selectExpr("concat('sys', string(k)) AS system", "doc_id AS id", "text", label)
     )
 
 

@@ -88,6 +88,16 @@ def test_copies_of_a_key_stay_together(spark):
     assert out.count() == 900
 
 
+def test_balance_takes_scores_as_they_stand(spark):
+    import json
+
+    scores = [7, 6, 6.5, True, "9", None]
+    rows = [("train", json.dumps({"p": {"score": x, "feedback": "f"}})) for x in scores]
+    df = spark.createDataFrame(rows + [("test", "oops")], "split string, label string")
+    out = [r.asDict() for r in S.split_balance(df, ["p"], 6).collect()]
+    assert out == [{"split": "train", "trait": "p", "low": 2, "high": 2, "low_pct": 50.0, "high_pct": 50.0}]
+
+
 def test_null_stratum_and_composite_key(spark):
     rows = [(i % 50, t, None if i % 3 else "x") for i, t in enumerate(["p", "q"] * 50)]
     df = spark.createDataFrame(rows, "id bigint, trait string, strat_key string")
