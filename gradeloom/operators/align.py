@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import labels as L
-from gradeloom.operators.labels import parse_label, with_reason
+from gradeloom.operators.labels import parse_label, quoted, with_reason
 from gradeloom.settings import CRITERIA
 
 
@@ -32,7 +32,7 @@ def score_predictions(
     cols = [f"scores[{i}] AS s{i}" for i in range(len(criteria))]
     if with_feedback:
         cols.append(f"IF(reason IS NULL, {_feedback(criteria)}, NULL) AS feedback")
-    return df.selectExpr(*key, "system", "reason IS NULL AS ok", *cols)
+    return df.selectExpr(*quoted(key), "system", "reason IS NULL AS ok", *cols)
 
 
 def score_truth(
@@ -47,8 +47,8 @@ def score_truth(
         cols.append(f"{_feedback(criteria)} AS feedback")
         ok += " AND forall(feedback, x -> x IS NOT NULL)"
         names.append("feedback")
-    df = parse_label(truth).selectExpr(*key, *cols)
-    return df.selectExpr(*key, "string(NULL) AS system", f"{ok} AS ok", *names)
+    df = parse_label(truth).selectExpr(*quoted(key), *cols)
+    return df.selectExpr(*quoted(key), "string(NULL) AS system", f"{ok} AS ok", *names)
 
 
 def align(
@@ -80,14 +80,14 @@ def align(
         F.expr("bool_and(ok) AS ok"),
         *[F.expr(f"max({n}) AS {n}") for n in names],
     )
-    over = f"OVER (PARTITION BY {', '.join(key)})"
+    over = f"OVER (PARTITION BY {', '.join(quoted(key))})"
     inputs = len(systems) + 1
     truth_values = [
         f"max(IF(system IS NULL, {n}, NULL)) {over} AS {'gt_feedback' if n == 'feedback' else f'g{n[1:]}'}"
         for n in names
     ]
     return single.selectExpr(
-        *key,
+        *quoted(key),
         "system",
         "ok",
         *names,
@@ -132,4 +132,4 @@ def compared_traits(aligned: DataFrame, criteria: Sequence[str] = CRITERIA) -> D
     )
     drop = {f"{p}{i}" for p in "sg" for i in range(len(criteria))} | {"feedback", "gt_feedback"}
     keep = [c for c in aligned.columns if c not in drop]
-    return valid_in_all_systems(aligned).selectExpr(*keep, f"inline(array({rows}))")
+    return valid_in_all_systems(aligned).selectExpr(*quoted(keep), f"inline(array({rows}))")

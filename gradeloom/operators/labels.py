@@ -21,6 +21,11 @@ def evaluate_once(df: DataFrame, *new: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*new))))
 
 
+def quoted(names: Sequence[str]) -> list[str]:
+    """Column names for use in SQL text."""
+    return [f"`{n}`" for n in names]
+
+
 _CANDIDATE = {"simple": lambda text: text, "extract": jsontext.extract_object}
 
 # Text between [ and ] so that trailing words or a second value are rejected.
@@ -106,7 +111,7 @@ def with_reason(
     df = df.select("*", L.lenient_reason("parsed", criteria, names).alias("_r"))
     ints = ", ".join(f"int({n})" for n in names)
     new = f"struct(_r AS reason, IF(_r IS NULL, array({ints}), NULL) AS scores)"
-    return df.selectExpr(*[f"`{c}`" for c in kept], f"inline(array({new}))")
+    return df.selectExpr(*quoted(kept), f"inline(array({new}))")
 
 
 def validate_lenient(
@@ -133,7 +138,7 @@ def traits_to_long(
         f"{L.feedback_sql('parsed', t)} AS feedback)"
         for i, t in enumerate(criteria)
     )
-    return valid.selectExpr(*[f"`{c}`" for c in df.columns], f"inline(array({rows}))")
+    return valid.selectExpr(*quoted(df.columns), f"inline(array({rows}))")
 
 
 def project_labeled(df: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ they are stored once (per application and input folder) and then read by every q
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from gradeloom.session import materialize
+from gradeloom.session import scratch_path
 from gradeloom.settings import CRITERIA
 
 
@@ -49,7 +51,7 @@ def _object(parts: list[str]) -> str:
     return f"concat('{{', concat_ws(', ', {', '.join(parts)}), '}}')"
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def _stored(build):
@@ -57,9 +59,17 @@ def _stored(build):
 
     def view(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-        if key not in _STORED:
-            _STORED[key] = materialize(spread(build(spark, sf_dir)), build.__name__)
-        return _STORED[key]
+        if key in _STORED:
+            path, schema = _STORED[key]
+            try:
+                return spark.read.schema(schema).parquet(path)
+            except AnalysisException:  # the shared folder was emptied meanwhile
+                pass
+        df = spread(build(spark, sf_dir))
+        path = scratch_path(spark, build.__name__)
+        df.write.parquet(path)
+        _STORED[key] = path, df.schema
+        return spark.read.schema(df.schema).parquet(path)
 
     return view
 

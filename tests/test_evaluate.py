@@ -129,6 +129,18 @@ def test_embedding_match(spark):
     rows = {r.i: r for r in match.embedding_match(df, stubs.hashed_encoder, batch=2).collect()}
     assert rows[1].precision < 1 and rows[1].recall == pytest.approx(1.0)
     assert rows[2].f1 == 0.0 and rows[3].f1 == 0.0
+    encode = stubs.hashed_encoder()
+
+    def unit(text):
+        return [v / (v @ v) ** 0.5 for v in encode([text])[0]]
+
+    for i, (p, g) in enumerate(PAIRS):
+        a, b = unit(p), unit(g)
+        pr = sum(max(x @ y for y in b) for x in a) / len(a) if a and b else 0.0
+        re_ = sum(max(x @ y for x in a) for y in b) / len(b) if a and b else 0.0
+        f1 = 2 * pr * re_ / (pr + re_) if pr + re_ > 0 else 0.0
+        got = (rows[i].precision, rows[i].recall, rows[i].f1)
+        assert got == pytest.approx((pr, re_, f1))
     same = spark.createDataFrame([("one two", "two one")], "pred_text string, gt_text string")
     assert match.embedding_match(same, stubs.hashed_encoder).first().f1 == pytest.approx(1.0)
 
