@@ -68,6 +68,11 @@ def _docs(spark, sf_dir) -> DataFrame:
     return views.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
+def _spread_docs(spark, sf_dir) -> DataFrame:
+    """For work that is heavy per text: a small file is shared out over the cores."""
+    return views.spread(_docs(spark, sf_dir))
+
+
 # --- sources and sinks -------------------------------------------------------------------
 
 
@@ -266,7 +271,7 @@ def traits_to_long(spark, sf_dir):
 
 @query
 def word_count(spark, sf_dir):
-    df = _docs(spark, sf_dir)
+    df = _spread_docs(spark, sf_dir)
     return df.select("id", TX.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
@@ -282,7 +287,7 @@ def _message_columns(messages: Column) -> list[Column]:
 
 @query
 def judge_prompt(spark, sf_dir):
-    df = _docs(spark, sf_dir)
+    df = _spread_docs(spark, sf_dir)
     text = F.col("text")
     judge = F.get(P.judge_messages(text), F.lit(1))["content"]
     return df.select(
@@ -295,7 +300,7 @@ def judge_prompt(spark, sf_dir):
 @query
 def rewrite_prompt(spark, sf_dir):
     traits = F.array(*[F.lit(t) for t in TRAITS_TO_AUGMENT])
-    df = _docs(spark, sf_dir).withColumn("trait", F.explode(traits))
+    df = _spread_docs(spark, sf_dir).withColumn("trait", F.explode(traits))
     prompt = P.rewrite_prompt(F.col("trait"), F.col("text"))
     return df.select("id", "trait", F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
@@ -303,7 +308,7 @@ def rewrite_prompt(spark, sf_dir):
 @query
 def completion_strip(spark, sf_dir):
     tokens = F.transform(TX.words(F.col("text")), lambda w: F.length(w))
-    df = _docs(spark, sf_dir).select("id", tokens.alias("ids"))
+    df = _spread_docs(spark, sf_dir).select("id", tokens.alias("ids"))
     out = P.completion(F.col("ids"), (F.size("ids") / 3).cast("int"))
     return df.select(
         "id", F.size(out).cast("bigint").alias("n_generated"), _array_md5(out).alias("ids")
@@ -444,7 +449,7 @@ def split_balance(spark, sf_dir):
 
 @query
 def avg_transcript_words(spark, sf_dir):
-    df = metrics.avg_transcript_words(_docs(spark, sf_dir))
+    df = metrics.avg_transcript_words(_spread_docs(spark, sf_dir))
     return df.select(F.round("avg_words", 6).alias("avg_words"), "n")
 
 
@@ -530,21 +535,21 @@ def augment_minority(spark, sf_dir):
 
 @query
 def judge_label_rows(spark, sf_dir):
-    docs = views.spread(_docs(spark, sf_dir))
+    docs = _spread_docs(spark, sf_dir)
     df = infer.judge_label_rows(docs, stubs.judge_client, pause=0.0)
     return df.select("id", "label", "error", _long("attempts"))
 
 
 @query
 def batch_infer(spark, sf_dir):
-    df = infer.batch_infer(views.spread(_docs(spark, sf_dir)), stubs.LengthModel())
+    df = infer.batch_infer(_spread_docs(spark, sf_dir), stubs.LengthModel())
     return df.select("id", F.length("text").cast("bigint").alias("n_text"), "label", "error")
 
 
 @query
 def infer_many_systems(spark, sf_dir):
     systems = {s: stubs.LengthModel(s) for s in ("epoch1", "epoch2", "epoch3")}
-    docs = views.spread(_docs(spark, sf_dir))
+    docs = _spread_docs(spark, sf_dir)
     return infer.infer_many_systems(docs, systems).select("system", "id", "label")
 
 

@@ -107,16 +107,19 @@ def split_quotas(
     )
 
 
-def _cuts(rows: DataFrame, quotas: DataFrame, hist: DataFrame, hint) -> DataFrame:
+def _running(hist: DataFrame) -> DataFrame:
+    """Bucket counts with ``through`` (rows of the stratum up to the bucket) and ``total``."""
+    w = Window.partitionBy("stratum")
+    upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return hist.select("*", F.sum("n").over(upto).alias("through"), F.sum("n").over(w).alias("total"))
+
+
+def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame, hint) -> DataFrame:
     """Per stratum, the hash of the last row of ``test`` and of ``val`` in hash order.
 
     The bucket histogram says in which bucket each cut falls; only rows of those buckets
     (two in 4096 per stratum) are ranked. Copies of one key are counted, not listed.
     """
-    upto = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = hist.withColumn("through", F.sum("n").over(upto))
     targets = quotas.select(
         "stratum",
         F.inline(
@@ -175,13 +178,12 @@ def stratified_split(
     rows = df.select(strat.alias("stratum"), h.alias("hash")).withColumn(
         "bucket", H.bucket(F.col("hash"))
     )
-    hist = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-    quotas = split_quotas(
-        hist.groupBy("stratum").agg(F.sum("n").alias("n")), train_ratio, val_ratio, on_single
-    )
+    running = _running(rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
+    counts = running.where("through = total").select("stratum", F.col("total").alias("n"))
+    quotas = split_quotas(counts, train_ratio, val_ratio, on_single)
     bounded = max_strata is not None and 2 * max_strata <= MAX_BROADCAST_ROWS
     hint = F.broadcast if bounded else (lambda d: d)
-    cuts = hint(_cuts(rows, quotas, hist, hint).withColumnRenamed("stratum", "_stratum"))
+    cuts = hint(_cuts(rows, quotas, running, hint).withColumnRenamed("stratum", "_stratum"))
     out = df.withColumns({"_hash": h, "_st": strat})
     out = out.join(cuts, F.col("_st") == F.col("_stratum"), "left")
     split = (
