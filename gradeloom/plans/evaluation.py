@@ -62,7 +62,9 @@ def evaluate_files(
         jsonl.records_of_lines(jsonl.scan_systems(spark, predictions)).drop("value", "text"),
         "records",
     )
-    truth_records = jsonl.records_of_lines(jsonl.scan_lines_with_position(spark, truth))
+    by_line = by == "pos"  # otherwise the ground truth needs no line numbers
+    lines = jsonl.scan_lines_with_position(spark, truth) if by_line else spark.read.text(truth)
+    truth_records = jsonl.records_of_lines(lines)
     verdicts = validate_records(records, criteria).select("system", "pos", "reason", "scores")
     verdicts = materialize(verdicts, "verdicts")
     aligned = A.align(

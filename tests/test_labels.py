@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions import jsontext as J
-from gradeloom.functions import labels as L
 from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
 from gradeloom.settings import CRITERIA
