@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import mixing, urls
+from gradeloom.llm import html, mixing, urls, warc
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,7 +31,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_extract_html": op1_extract_html,
+    "op3_warc": op3_warc,
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
 }
-SQL: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op7_url_filter": urls.SQL}
+SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+    "op5_mix_sources": mixing.SQL,
+    "op7_url_filter": urls.SQL,
+}
