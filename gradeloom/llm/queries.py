@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import html, mixing, urls, warc
+from gradeloom.llm import decontaminate, html, mixing, quality, urls, warc
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,14 +30,27 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_extract_html": op1_extract_html,
     "op3_warc": op3_warc,
     "op5_mix_sources": op5_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_url_filter": urls.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
