@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from gradeloom.llm import wordhash as W
 
 DIMENSIONS = 1 << 18
-MAX_TRAIN_ROWS = 12_000  # bound of the labelled sample that is gathered for the fit
+MAX_TRAIN_ROWS = 8_000  # bound of the labelled sample that is gathered for the fit
 THRESHOLD = 0.3
 HOLD_OUT = 5  # rows whose crc32(doc_id) is divisible by this are never learned from
-PENALTY, EPOCHS, FOLDS, SMOOTH = 0.1, 12, 3, 1.0
+PENALTY, EPOCHS, FOLDS, SMOOTH = 0.1, 8, 3, 1.0
+REPEATS = 8  # a word said 2 .. REPEATS times in a row is a feature, whichever word it is
 
 
 def _raw_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,11 +45,15 @@ def _raw_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         owner = np.repeat(np.arange(n), np.diff(first))
         parts.append((words & mask).astype(np.int64))
         owners.append(owner)
-        pair = W.gram_hashes(words, 2)
-        pair[words[1:] == words[:-1]] = np.uint64(12345)  # a word said twice, whichever it is
-        same = owner[1:] == owner[:-1]
-        parts.append((pair[same] & mask).astype(np.int64))
-        owners.append(owner[1:][same])
+        pair, inside = W.gram_hashes(words, 2), owner[1:] == owner[:-1]
+        parts.append((pair[inside] & mask).astype(np.int64))
+        owners.append(owner[1:][inside])
+        same = again = inside & (words[1:] == words[:-1])
+        for times in range(2, REPEATS + 1):
+            at = np.flatnonzero(same)
+            parts.append(np.full(len(at), times, np.int64))
+            owners.append(owner[1:][at])
+            same = same[: len(same) - 1] & again[times - 1 :]
     if not parts:
         return np.empty(0, np.int64), np.zeros(n + 1, np.int64)
     owner = np.concatenate(owners)
