@@ -64,3 +64,29 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys & np.uint64(len(words) * 64 - 1)
     word = words[(slot >> np.uint64(6)).astype(np.int64)]
     return ((word >> (keys & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def native_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """The same filter as one row ``words``, for use inside a plan through ``maybe_in``."""
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = keys.where(F.col(column).isNotNull()).select(
+        F.shiftright(slot, 6).cast("bigint").alias("w"),
+        F.expr(f"shiftleft(1L, int({column} & 63))").alias("b"),
+    )
+    return save(dense_words(words, bits // 64), "bitmap")
+
+
+def dense_words(words: DataFrame, n: int) -> DataFrame:
+    """One row ``words``: the n longs that OR together the ``b`` of every word number ``w``."""
+    none = words.sparkSession.range(n).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    each = words.unionByName(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return each.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x")).select(
+        F.col("x.b").alias("words")
+    )
+
+
+def maybe_in(words: DataFrame, column: str, bits: int = BITMAP_BITS) -> Column:
+    """Whether a key may be in a ``native_bitmap``; a null key is not."""
+    word = F.get(words.scalar(), F.expr(f"int(shiftrightunsigned({column} & {bits - 1}L, 6))"))
+    hit = word.bitwiseAND(F.expr(f"shiftleft(1L, int({column} & 63))")) != 0
+    return F.coalesce(hit, F.lit(False))

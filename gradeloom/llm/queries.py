@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, html, minhash, mixing, quality, urls, warc
+from gradeloom.llm import decontaminate, html, minhash, mixing, quality, repeats, urls, warc
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = urls.rule_table(spark, urls.RULES)
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash": op2_minhash,
     "op3_warc": op3_warc,
     "op5_mix_sources": op5_mix_sources,
+    "op6_suffix_array": op6_suffix_array,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op10_decontaminate": op10_decontaminate,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import lower_ascii, save
+from gradeloom.llm.common import dense_words, lower_ascii, save
 
 BLOCK_WORDS = 8  # a block is eight 64-bit words, one cache line; a key sets one bit in each
 MAX_BLOCKS = 1 << 18  # 16 MB: the filter's size bound; a longer list only passes more
@@ -47,12 +47,8 @@ def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
         ).alias("i", "bit"),
         "block",
     )
-    words = words.select((F.col("block") * BLOCK_WORDS + F.col("i")).alias("w"), "bit")
-    words = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    filled = F.map_from_entries(F.collect_list(F.struct("w", "bits")))
-    return words.agg(filled.alias("m")).selectExpr(
-        f"transform(sequence(0, {blocks * BLOCK_WORDS - 1}), i -> coalesce(m[i], 0L)) AS words"
-    )
+    words = words.select((F.col("block") * BLOCK_WORDS + F.col("i")).cast("bigint").alias("w"), F.col("bit").alias("b"))
+    return dense_words(words, blocks * BLOCK_WORDS)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
