@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, html, minhash, mixing, quality, repeats, urls, warc
+from gradeloom.llm import decontaminate, embeddings, html, minhash, mixing, quality, repeats, urls, warc
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_array": op6_suffix_array,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
