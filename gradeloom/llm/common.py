@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gradeloom.session import materialize, prepare
+from gradeloom.session import prepare, scratch_path
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,10 +21,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """The saved tables of one piece of work. Leaving the block removes their files, so what
+    is to outlive it is saved outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write to the shared folder and read back: later stages neither repeat the work nor
+        depend on the executors that did it."""
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+_RECORDED: list[list[str]] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: later stages neither repeat the work nor
-    depend on the executors that did it."""
-    return materialize(df, name)
+    """A table that outlives the operator, because its lazy result reads it."""
+    own = Scratch(df.sparkSession)
+    out = own.save(df, name)
+    for paths in _RECORDED[-1:]:
+        paths.extend(own.paths)
+    return out
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` what is saved meanwhile."""
+    _RECORDED.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDED.pop()
+
+
+def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Remove recorded tables, but for those whose files ``needed`` reads."""
+    files = [f.split(":", 1)[-1].lstrip("/") for f in needed.inputFiles()]
+    for path in list(paths):
+        if not any(f.startswith(path.split(":", 1)[-1].lstrip("/")) for f in files):
+            paths.remove(path)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def with_columns(df: DataFrame, names, extra: str) -> StructType:
+    """The schema of some columns of ``df`` followed by the columns of ``extra`` (DDL)."""
+    return StructType([*[df.schema[n] for n in names], *StructType.fromDDL(extra).fields])
 
 
 def lower_ascii(c: Column) -> Column:

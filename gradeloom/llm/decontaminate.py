@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
-from gradeloom.llm.common import bitmap, in_bitmap, save
+from gradeloom.llm.common import bitmap, in_bitmap, save, with_columns
 
 WINDOW, GRAM = 10, 5
 
@@ -86,7 +86,6 @@ def possible_hits(docs: DataFrame, keep: tuple[str, ...], lengths: list[int], bi
     """``*keep, row, n_words, hits`` per document, in one pass over the whole texts; ``hits``
     are the windows whose fingerprint may be one of the benchmark's."""
     frame = docs.select(*keep, "text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in keep]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +132,7 @@ def possible_hits(docs: DataFrame, keep: tuple[str, ...], lengths: list[int], bi
             row += n
 
     hit = "array<struct<start: bigint, length: bigint, window: string>>"
-    return frame.mapInArrow(run, ", ".join([*kinds, "row bigint", "n_words bigint", f"hits {hit}"]))
+    return frame.mapInArrow(run, with_columns(docs, keep, f"row bigint, n_words bigint, hits {hit}"))
 
 
 def find(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import bucket_count, save
+from gradeloom.llm.common import Scratch, bucket_count, save
 from gradeloom.llm.components import components
 from gradeloom.llm.hnsw import build, dump, load
 from gradeloom.llm.minhash import Forest
@@ -165,46 +165,7 @@ def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
     among themselves, and looked up once. A null vec_id takes part but is never the
     smallest unless all of a component are null. Other columns are not read.
     """
-    rows = save(_classes(vectors), "emb-rows")
-    classes = save(
-        rows.where("key IS NOT NULL").groupBy("key").agg(
-            F.min("vec_id").alias("vec_id"), F.count("*").alias("size"),
-            F.first("dim").alias("dim"), F.first("vector").alias("vector"),
-        ),
-        "emb-classes",
-    )
-    n = classes.count()
-    shards = max(SHARDS, bucket_count(n, SHARD_ROWS))
-    shard = F.expr(f"concat(dim, '/', pmod(xxhash64(key), {shards}))").alias("shard")
-    indexes = save(
-        classes.select(shard, "key", "size", "vector").groupBy("shard").applyInArrow(
-            _build(link), "shard string, index binary"
-        ),
-        "emb-index",
-    )
-    blocks = bucket_count(n, BLOCK)
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    asked = classes.select(
-        "key", "vector", "dim", F.expr(f"int(pmod(xxhash64(key, 5), {blocks}))").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"),
-    ).select(F.expr("concat(dim, '/', s)").alias("shard"), "block", "key", "vector")
-    found = save(
-        indexes.select("shard", spread, "index").groupBy("shard", "block")
-        .cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(_ask(link), "u binary, v binary, n bigint"),
-        "emb-found",
-    )
-    degree = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
-    joined = save(components(found.where("v IS NOT NULL").select("u", "v"), "emb-joined"), "emb-joined")
-    rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
-        "key", "vec_id", "size", F.coalesce("root", "key").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    known = rooted.join(smallest, "root").join(degree, rooted["key"] == degree["u"], "left")
-    known = save(
-        known.select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")),
-        "emb-known",
-    )
+    rows, known = _joined(vectors, link)
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", "key").join(known, "key", "left").select(
         "vec_id",
@@ -212,3 +173,50 @@ def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
         component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def _joined(vectors: DataFrame, link: float) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, key`` of every row, and ``key, component_id, n_links`` of every class."""
+    with Scratch(vectors.sparkSession) as scratch:
+        every = scratch.save(_classes(vectors), "emb-every")
+        rows = save(every.select("vec_id", "key"), "emb-rows")
+        classes = scratch.save(
+            every.where("key IS NOT NULL").groupBy("key").agg(
+                F.min("vec_id").alias("vec_id"), F.count("*").alias("size"),
+                F.first("dim").alias("dim"), F.first("vector").alias("vector"),
+            ),
+            "emb-classes",
+        )
+        n = classes.count()
+        shards = max(SHARDS, bucket_count(n, SHARD_ROWS))
+        shard = F.expr(f"concat(dim, '/', pmod(xxhash64(key), {shards}))").alias("shard")
+        indexes = scratch.save(
+            classes.select(shard, "key", "size", "vector").groupBy("shard").applyInArrow(
+                _build(link), "shard string, index binary"
+            ),
+            "emb-index",
+        )
+        blocks = bucket_count(n, BLOCK)
+        spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        asked = classes.select(
+            "key", "vector", "dim", F.expr(f"int(pmod(xxhash64(key, 5), {blocks}))").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"),
+        ).select(F.expr("concat(dim, '/', s)").alias("shard"), "block", "key", "vector")
+        found = scratch.save(
+            indexes.select("shard", spread, "index").groupBy("shard", "block")
+            .cogroup(asked.groupBy("shard", "block"))
+            .applyInArrow(_ask(link), "u binary, v binary, n bigint"),
+            "emb-found",
+        )
+        degree = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
+        joined = components(found.where("v IS NOT NULL").select("u", "v"), scratch, "emb-joined")
+        rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
+            "key", "vec_id", "size", F.coalesce("root", "key").alias("root")
+        )
+        smallest = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+        known = rooted.join(smallest, "root").join(degree, rooted["key"] == degree["u"], "left")
+        known = save(
+            known.select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")),
+            "emb-known",
+        )
+        return rows, known

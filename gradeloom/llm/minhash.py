@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
-from gradeloom.llm.common import bitmap, bucket_count, in_bitmap, save
+from gradeloom.llm.common import (
+    Scratch, bitmap, bucket_count, in_bitmap, maybe_in, native_bitmap, save,
+)
 from gradeloom.llm.components import components
 
 SHINGLE = 5
@@ -227,10 +229,10 @@ def _confirmed(placed: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("tile").applyInArrow(run, "u binary, v binary")
 
 
-def _tiles(members: DataFrame, tile: int = TILE) -> DataFrame:
+def _tiles(members: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
     """Deal blocks out: small ones share a tile; a large one is cut into parts by hash, and
     every two of its parts meet in one tile."""
-    sizes = save(members.groupBy("root").agg(F.count("*").alias("size")), "near-sizes")
+    sizes = scratch.save(members.groupBy("root").agg(F.count("*").alias("size")), "near-sizes")
     n = sizes.agg(F.sum("size")).first()[0] or 0
     shared = bucket_count(n, 4 * tile)
     placed = members.join(sizes, "root").withColumn("parts", F.expr(f"int(ceil(size / {tile}))"))
@@ -250,49 +252,72 @@ def _tiles(members: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, place, root`` per row of ``docs(doc_id, text)``.
 
     Two texts are linked if ``100 * intersection >= percent * union`` of their shingle sets.
     A text of fewer than five words is one shingle. Null, empty and blank texts have an
-    empty set, no ``key``, and are components of their own. Equal texts, repeated rows among
+    empty set, no ``root``, and are components of their own. Equal texts, repeated rows among
     them, are linked; ``kept`` marks the rows with the smallest doc_id of a component, so
     a repeated row of that document is marked too. A row without doc_id takes part; it is
     never the smallest unless all are null, and is kept only then. Other columns are not
-    read.
+    read. ``place`` is the hash of doc_id and text, ``root`` names the component.
     """
-    rows = save(_scan(docs), "near-rows")
-    classes = save(
-        rows.where("key IS NOT NULL")
-        .groupBy("key")
-        .agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "place", "sig", "bands")).alias("r")
-        )
-        .select("key", "r.doc_id", "r.place", "r.sig", "r.bands"),
-        "near-classes",
-    )
-    banded = classes.select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n"))
-    chained = banded.join(save(buckets.where("n > 1").drop("n"), "near-buckets"), "band").select(
-        F.col("key").alias("u"), F.col("pivot").alias("v")
-    )
-    blocks = save(components(chained, "near-blocks"), "near-blocks")
-    nodes = blocks.join(classes, blocks["node"] == classes["key"]).select("key", "place", "sig")
-    nodes = save(nodes, "near-nodes")
-    full = save(nodes.join(_sets_of(docs, nodes), "key").drop("place"), "near-sets")
-    links = _confirmed(_tiles(blocks).join(full, "key"), percent)
-    joined = save(components(save(links, "near-links"), "near-joined"), "near-joined")
-    rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
-        "key", "doc_id", F.coalesce("root", "key").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_key = save(rooted.select("key", "root").join(smallest, "root").drop("root"), "near-of-key")
-    result = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(of_key, "key", "left")
+    rows, known = _joined(docs, percent)
+    result = rows.select("doc_id", "place", "key", F.col("n").alias("n_shingles")).join(known, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select(
         "doc_id",
-        "key",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "place",
+        "root",
     )
 
+
+def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, place, n, key`` of every row, and ``key, root, component_id`` of every set."""
+    with Scratch(docs.sparkSession) as scratch:
+        scan = scratch.save(_scan(docs), "near-scan")
+        rows = save(scan.select("doc_id", "place", "n", "key"), "near-rows")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "place", "sig", "bands"))
+        classes = scratch.save(
+            scan.where("key IS NOT NULL").groupBy("key").agg(first.alias("r"))
+            .select("key", "r.doc_id", "r.place", "r.sig", "r.bands"),
+            "near-classes",
+        )
+        banded = classes.select("key", F.explode("bands").alias("band"))
+        buckets = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n"))
+        buckets = scratch.save(buckets.where("n > 1").drop("n"), "near-buckets")
+        chained = banded.join(buckets, "band").select(F.col("key").alias("u"), F.col("pivot").alias("v"))
+        blocks = components(chained, scratch, "near-blocks")
+        nodes = blocks.join(classes, blocks["node"] == classes["key"]).select("key", "place", "sig")
+        nodes = scratch.save(nodes, "near-nodes")
+        full = scratch.save(nodes.join(_sets_of(docs, nodes), "key").drop("place"), "near-sets")
+        links = _confirmed(_tiles(blocks, scratch).join(full, "key"), percent)
+        joined = components(scratch.save(links, "near-links"), scratch, "near-joined")
+        rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
+            "key", "doc_id", F.coalesce("root", "key").alias("root")
+        )
+        smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        known = rooted.select("key", "root").join(smallest, "root")
+        return rows, save(known, "near-known")
+
+
+def deduplicate(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each group stays: the one
+    with the smallest doc_id, and one only if its row is repeated. Rows with an empty set
+    all stay. Only rows that may have to go are shuffled."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("place"))
+    found = near_duplicates(docs, percent).where("root IS NOT NULL").select("place", "root", "kept")
+    found = save(found.groupBy("place", "root", "kept").agg(F.count("*").alias("n")), "near-places")
+    best = found.where("kept").groupBy("root").agg(F.min("place").alias("best"))
+    doubtful = found.join(best, "root").select("place", "n", (F.col("place") == F.col("best")).alias("stays"))
+    doubtful = save(doubtful.where("n > 1 OR NOT stays").groupBy("place").agg(F.max("stays").alias("stays")), "near-doubtful")
+    possible = maybe_in(native_bitmap(doubtful, "place"), "place")
+    sure = packed.where(~possible).select("_row.*")
+    rest = packed.where(possible).join(doubtful, "place", "left").where("stays IS NULL OR stays")
+    # Of rows that are repeats of one another, one stays.
+    number = F.row_number().over(Window.partitionBy("place").orderBy(F.lit(0)))
+    rest = rest.withColumn("_n", number).where("stays IS NULL OR _n = 1").select("_row.*")
+    return sure.unionByName(rest)

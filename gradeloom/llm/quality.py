@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
+from gradeloom.llm.common import with_columns
 
 DIMENSIONS = 1 << 18
 MAX_TRAIN_ROWS = 8_000  # bound of the labelled sample that is gathered for the fit
@@ -204,7 +205,6 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     shared = spark.sparkContext.broadcast(model)
     names = list(keep)
     frame = docs.select(*keep, "text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in keep]
 
     def run(batches):
         model = shared.value
@@ -224,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
                 [*names, "score"],
             )
 
-    scored = frame.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    scored = frame.mapInArrow(run, with_columns(docs, keep, "score double"))
     return scored.select(
         *names,
         held_out(F.col("doc_id")).alias("held_out"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, embeddings, html, minhash, mixing, quality, repeats, urls, warc
+from gradeloom.llm import decontaminate, embeddings, html, lm, minhash, mixing, quality, repeats, urls, warc
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,13 +18,17 @@ def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("place", "root")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,16 +61,19 @@ QUERIES: dict[str, Query] = {
     "op1_extract_html": op1_extract_html,
     "op2_minhash": op2_minhash,
     "op3_warc": op3_warc,
+    "op4_lm_score": op4_lm_score,
     "op5_mix_sources": op5_mix_sources,
     "op6_suffix_array": op6_suffix_array,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_url_filter": urls.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

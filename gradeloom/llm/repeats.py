@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
 from gradeloom.llm.common import (
-    bitmap, bucket_count, in_bitmap, maybe_in, native_bitmap, save,
+    Scratch, bitmap, bucket_count, in_bitmap, maybe_in, native_bitmap, save, with_columns,
 )
 from gradeloom.llm.lyndon import suffix_array
 
@@ -205,13 +205,14 @@ def _sorted_runs(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("task").applyInArrow(run, "a bigint, p bigint, first bigint, last bigint")
 
 
-def _tasks(pieces: DataFrame) -> DataFrame:
-    """Deal pieces with content out to suffix arrays of about ``TASK_BYTES`` of text. All
-    pieces of a hash meet in one. A hash with very many is dealt out start by start instead,
+def _tasks(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """Deal pieces with content out to tasks of about ``TASK_BYTES`` of text. All pieces of
+    a hash meet in one. A hash with very many is dealt out start by start instead,
     each start with its own string, by the string's hash; equal strings still meet."""
     size = pieces.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     tasks = bucket_count(size, TASK_BYTES)
-    counts = save(pieces.groupBy("a").agg(F.count("*").alias("n")).where(f"n > {HOT_PIECES}"), "rep-hot")
+    counts = pieces.groupBy("a").agg(F.count("*").alias("n")).where(f"n > {HOT_PIECES}")
+    counts = scratch.save(counts, "rep-hot")
     marked = pieces.join(counts, "a", "left")
     cool = marked.where("n IS NULL").select(
         F.expr(f"concat('c', pmod(xxhash64(a), {tasks}))").alias("task"),
@@ -234,49 +235,50 @@ def _tasks(pieces: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """``doc, place, spans``: the merged byte ranges to remove, for documents that have any.
     Spans are arrays of ``start, stop``."""
-    hashes = _hashes(docs).repartition("a").groupBy("a").agg(
-        F.count("*").alias("n"), (F.min("p") != F.max("p")).alias("several")
-    )
-    live = save(hashes.where("n > 1").select("a", "several"), "rep-live")
-    found = save(
-        _occurrences(docs, bitmap(live, "a"), bitmap(live.where("several"), "a")), "rep-places"
-    )
-    pieces = save(
-        found.groupBy("a", "p").agg(
-            F.min(F.struct("doc", "low")).alias("at"),
-            F.first("content").alias("content"),
-            F.first("starts").alias("starts"),
-        ).select("a", "p", "at.doc", "at.low", "content", "starts"),
-        "rep-pieces",
-    )
-    runs = _sorted_runs(_tasks(pieces.where("content IS NOT NULL")))
-    runs = runs.groupBy("a", "p").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    known = save(
-        pieces.select("a", "p", "doc", "low").join(runs, ["a", "p"], "left")
-        .withColumnsRenamed({"doc": "doc0", "low": "low0"}),
-        "rep-known",
-    )
-    each = found.drop("content").join(known, ["a", "p"])
-    each = each.where("doc <> doc0 OR low <> low0 OR runs IS NOT NULL")
-    ranges = each.select(
-        "doc",
-        "place",
-        F.explode(
-            F.expr(
-                f"""IF(doc <> doc0 OR low <> low0,
-                array(struct(low AS start, low + starts + {LENGTH - 1} AS stop)),
-                transform(runs, r -> struct(low + r.first AS start, low + r.last + {LENGTH} AS stop)))"""
-            )
-        ).alias("r"),
-    )
-    merged = F.expr(
-        """aggregate(array_sort(collect_list(r)), CAST(array() AS array<struct<start: bigint, stop: bigint>>),
-        (acc, x) -> IF(size(acc) > 0 AND element_at(acc, -1).stop >= x.start,
-          concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start,
-            greatest(element_at(acc, -1).stop, x.stop) AS stop))),
-          concat(acc, array(x))))"""
-    )
-    return save(ranges.groupBy("doc", "place").agg(merged.alias("spans")), "rep-cover")
+    with Scratch(docs.sparkSession) as scratch:
+        hashes = _hashes(docs).repartition("a").groupBy("a").agg(
+            F.count("*").alias("n"), (F.min("p") != F.max("p")).alias("several")
+        )
+        live = scratch.save(hashes.where("n > 1").select("a", "several"), "rep-live")
+        found = scratch.save(
+            _occurrences(docs, bitmap(live, "a"), bitmap(live.where("several"), "a")), "rep-places"
+        )
+        pieces = scratch.save(
+            found.groupBy("a", "p").agg(
+                F.min(F.struct("doc", "low")).alias("at"),
+                F.first("content").alias("content"),
+                F.first("starts").alias("starts"),
+            ).select("a", "p", "at.doc", "at.low", "content", "starts"),
+            "rep-pieces",
+        )
+        runs = _sorted_runs(_tasks(pieces.where("content IS NOT NULL"), scratch))
+        runs = runs.groupBy("a", "p").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        known = scratch.save(
+            pieces.select("a", "p", "doc", "low").join(runs, ["a", "p"], "left")
+            .withColumnsRenamed({"doc": "doc0", "low": "low0"}),
+            "rep-known",
+        )
+        each = found.drop("content").join(known, ["a", "p"])
+        each = each.where("doc <> doc0 OR low <> low0 OR runs IS NOT NULL")
+        ranges = each.select(
+            "doc",
+            "place",
+            F.explode(
+                F.expr(
+                    f"""IF(doc <> doc0 OR low <> low0,
+                    array(struct(low AS start, low + starts + {LENGTH - 1} AS stop)),
+                    transform(runs, r -> struct(low + r.first AS start, low + r.last + {LENGTH} AS stop)))"""
+                )
+            ).alias("r"),
+        )
+        merged = F.expr(
+            """aggregate(array_sort(collect_list(r)), CAST(array() AS array<struct<start: bigint, stop: bigint>>),
+            (acc, x) -> IF(size(acc) > 0 AND element_at(acc, -1).stop >= x.start,
+              concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start,
+                greatest(element_at(acc, -1).stop, x.stop) AS stop))),
+              concat(acc, array(x))))"""
+        )
+        return save(ranges.groupBy("doc", "place").agg(merged.alias("spans")), "rep-cover")
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,3 +339,26 @@ def repeats(docs: DataFrame) -> DataFrame:
         run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
     return whole.unionByName(cut)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of ``text``, and ``n_chars``, where
+    there is one, made to fit. A character of which a byte goes, goes. A text that is all
+    repeats becomes empty; its row stays. Other columns stay as they are."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    rest, other = with_spans(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                None if t is None else keep(t.encode(), s).decode("utf-8", "ignore")
+                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "text"])
+
+    cut = other.select("_row", "text", "spans").mapInArrow(run, with_columns(other, ["_row"], "text string"))
+    new = cut.withColumn("_row", F.col("_row").withField("text", F.col("text")))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new = new.withColumn("_row", F.col("_row").withField("n_chars", F.coalesce(size, F.col("_row.n_chars"))))
+    return rest.select("_row.*").unionByName(new.select("_row.*"))
