@@ -138,6 +138,8 @@ class Layer:
         source = np.repeat(new, DEGREE)
         target = links.ravel()
         source, target = source[target >= 0], target[target >= 0]
+        if not len(target):
+            return
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         touched, start, count = np.unique(target, return_index=True, return_counts=True)

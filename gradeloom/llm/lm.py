@@ -24,7 +24,7 @@ CLASSES, PER_CLASS, OTHERS = 32, 32, 64
 WORDS = CLASSES * PER_CLASS  # known words, and OTHERS hashed places for all the rest
 EDGE = WORDS  # what stands beyond the ends of a text
 REACH, WIDTH = (-2, -1, 1, 2), 16
-STEP, RATE, ROUNDS = 16_384, 0.15, 1
+STEP, LEARN_STEP, RATE, ROUNDS = 16_384, 4_096, 0.15, 1
 SPREAD = 1 << 20  # distinct words that a task holds before it passes counts on
 _SHAPES = {
     "embed": (len(REACH), WORDS + 1, WIDTH),
@@ -185,8 +185,8 @@ def learn(p: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray
     had = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     seen = 0
     for around, ids in parts:
-        for i in range(0, len(ids), STEP):
-            _, grad = forward(p, around[:, i : i + STEP], ids[i : i + STEP], learn=True)
+        for i in range(0, len(ids), LEARN_STEP):
+            _, grad = forward(p, around[:, i : i + LEARN_STEP], ids[i : i + LEARN_STEP], learn=True)
             for k, g in grad.items():
                 had[k] += g * g
                 p[k] -= rate * g / np.sqrt(had[k])
@@ -286,6 +286,6 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 [*keep, "n_words", "log_prob"],
             )
 
-    scored = frame.mapInArrow(run, ", ".join([*kinds, "n_words bigint", "log_prob double"]))
+    scored = frame.mapInArrow(run, with_columns(docs, keep, "n_words bigint, log_prob double"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return scored.select("*", mean.alias("mean_log_prob"))
