@@ -33,8 +33,9 @@ from gradeloom.llm.lyndon import suffix_array
 
 LENGTH, GRAM = 100, 40
 RUN = 4096  # a longer run of starts under one hash is cut into several pieces
-TASK_BYTES = 1 << 18  # text of one suffix array
-HOT_PIECES = 1536  # more pieces under one hash are dealt out again, start by start
+TASK_BYTES = 1 << 20  # text of a task
+TEXT_BYTES = 1 << 14  # text of one suffix array, unless pieces of one hash have more
+HOT_PIECES = 4096  # more pieces under one hash are dealt out again, start by start
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
 
@@ -146,19 +147,33 @@ def _placed(docs: DataFrame) -> DataFrame:
     )
 
 
-def covered_starts(
+def _offsets(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and offset of every start, piece after piece."""
+    owner = np.repeat(np.arange(len(starts)), starts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+
+
+def _runs(owner: np.ndarray, offset: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring starts that are ``on``."""
+    at = np.flatnonzero(on)
+    if not len(at):
+        return at, at
+    cut = (np.diff(at) != 1) | (np.diff(owner[at]) != 0)
+    return at[np.append(True, cut)], at[np.append(cut, True)]
+
+
+def earlier_starts(
     pieces: list[bytes], starts: np.ndarray, doc: np.ndarray, low: np.ndarray, length: int = LENGTH
-) -> Iterator[tuple[int, int, int]]:
-    """``piece, first, last`` start, for runs of starts whose string stands earlier in these
-    pieces. A piece's place in the corpus is ``doc, low``."""
+) -> np.ndarray:
+    """Which starts (piece after piece) have a string that stands earlier in these pieces, by
+    a suffix array over them. A piece's place in the corpus is ``doc, low``."""
     raw = b"\0".join(pieces) + b"\0"
     text: list[int] = []
     for p in pieces:
         text += p
         text.append(-1)
     base = np.append(0, np.cumsum([len(p) + 1 for p in pieces]))[:-1]
-    owner = np.repeat(np.arange(len(pieces)), starts)
-    offset = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(starts)[:-1]), starts)
+    owner, offset = _offsets(starts)
     start_at = np.full(len(text), -1, np.int64)
     start_at[base[owner] + offset] = np.arange(len(owner))
     order = np.array(suffix_array(text))
@@ -176,24 +191,76 @@ def covered_starts(
     g, d, s, k = group[by], d[by], s[by], k[by]
     first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     of = np.repeat(first, np.diff(np.append(first, len(g))))
-    covered = np.sort(k[(d != d[of]) | (s != s[of])])
-    if not len(covered):
-        return
-    breaks = np.flatnonzero((np.diff(covered) != 1) | (np.diff(owner[covered]) != 0))
-    begin = covered[np.append(0, breaks + 1)]
-    stop = covered[np.append(breaks, len(covered) - 1)]
-    yield from zip(owner[begin].tolist(), offset[begin].tolist(), offset[stop].tolist())
+    out = np.zeros(len(owner), bool)
+    out[k] = (d != d[of]) | (s != s[of])
+    return out
+
+
+def covered_starts(
+    pieces: list[bytes], hashes: np.ndarray, starts: np.ndarray, doc: np.ndarray, low: np.ndarray,
+    length: int = LENGTH, text_bytes: int = TEXT_BYTES,
+) -> Iterator[tuple[int, int, int]]:
+    """``piece, first, last`` start, for runs of starts whose string stands earlier.
+
+    Starts whose string has a hash of its own are left out. What remains of the pieces is
+    collapsed where it is the same, the first place standing for all, and goes to suffix
+    arrays of about ``text_bytes``, all pieces of a hash to the same.
+    """
+    starts = starts.astype(np.int64)
+    owner, offset = _offsets(starts)
+    size = np.array([len(p) for p in pieces])
+    base = np.cumsum(size) - size
+    total, down = W.prefix_hash(np.frombuffer(b"".join(pieces), np.uint8))
+    at = base[owner] + offset
+    string = W.mix((total[at + length] - total[at]) * down[at])
+    _, number, count = np.unique(string, return_inverse=True, return_counts=True)
+    begin, end = _runs(owner, offset, count[number] > 1)
+    out = np.zeros(len(owner), bool)
+    # What remains, by hash and then by text.
+    rest: dict[tuple[int, bytes], list[int]] = {}
+    for r, (i, j) in enumerate(zip(begin.tolist(), end.tolist())):
+        p = owner[i]
+        text = pieces[p][offset[i] : offset[j] + length]
+        rest.setdefault((int(hashes[p]), text), []).append(r)
+    batch: list[tuple[bytes, int]] = []
+
+    def settle() -> None:
+        if len(batch):
+            rep = np.array([r for _, r in batch])
+            own = owner[begin[rep]]
+            n = end[rep] - begin[rep] + 1
+            hit = earlier_starts([t for t, _ in batch], n, doc[own], low[own] + offset[begin[rep]], length)
+            where, k = _offsets(n)
+            out[begin[rep][where] + k] |= hit
+            batch.clear()
+
+    last, held = None, 0
+    for (h, text), runs in sorted(rest.items(), key=lambda x: x[0][0]):
+        if h != last and held >= text_bytes:
+            settle()
+            held = 0
+        last = h
+        place = [(doc[owner[begin[r]]], low[owner[begin[r]]] + offset[begin[r]]) for r in runs]
+        first = min(range(len(runs)), key=place.__getitem__)
+        for r, x in zip(runs, place):
+            if x != place[first]:
+                out[begin[r] : end[r] + 1] = True
+        batch.append((text, runs[first]))
+        held += len(text)
+    settle()
+    begin, end = _runs(owner, offset, out)
+    yield from zip(owner[begin].tolist(), offset[begin].tolist(), offset[end].tolist())
 
 
 def _sorted_runs(pieces: DataFrame) -> DataFrame:
-    """``a, p, low, high``: covered starts of pieces ``(task, a, p, doc, low, skip, content,
-    starts)``, one suffix array per task. ``skip`` starts were cut off before."""
+    """``a, p, first, last``: covered starts of pieces ``(task, a, p, doc, low, skip, content,
+    starts)``. ``skip`` starts were cut off before."""
 
     def run(table: pa.Table) -> pa.Table:
         a, p = table["a"].to_numpy(), table["p"].to_numpy()
         skip, starts = table["skip"].to_numpy(), table["starts"].to_numpy()
         got = covered_starts(
-            table["content"].to_pylist(), starts, table["doc"].to_numpy(),
+            table["content"].to_pylist(), a, starts, table["doc"].to_numpy(),
             table["low"].to_numpy() + skip,
         )
         got = np.array(list(got), np.int64).reshape(-1, 3)
