@@ -68,9 +68,8 @@ def _docs(spark, sf_dir) -> DataFrame:
     return views.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
-def _spread_docs(spark, sf_dir) -> DataFrame:
-    """For work that is heavy per text: a small file is shared out over the cores."""
-    return views.spread(_docs(spark, sf_dir))
+def _texts(labels: DataFrame, spark, sf_dir) -> DataFrame:
+    return views.with_text(labels, spark, sf_dir)
 
 
 # --- sources and sinks -------------------------------------------------------------------
@@ -78,7 +77,7 @@ def _spread_docs(spark, sf_dir) -> DataFrame:
 
 @query
 def scan_jsonl_folder(spark, sf_dir):
-    preds = views.label_pred(spark, sf_dir).withColumnRenamed("system", "trait")
+    preds = _texts(views.label_pred(spark, sf_dir), spark, sf_dir).withColumnRenamed("system", "trait")
     root = scratch_path(spark, "folders")
     jsonl.write_jsonl(preds.where("trait = 'sys0'"), f"{root}/a")
     jsonl.write_jsonl(preds.where("trait <> 'sys0'"), f"{root}/b")
@@ -108,7 +107,7 @@ def _line_of(df: DataFrame) -> Column:
 
 @query
 def scan_lines_with_position(spark, sf_dir):
-    gt = views.label_gt(spark, sf_dir)
+    gt = _texts(views.label_gt(spark, sf_dir), spark, sf_dir)
     path = scratch_path(spark, "lines")
     jsonl.write_lines_in_order(gt.select("id", _line_of(gt).alias("value")), "id", path)
     df = jsonl.records_of_lines(jsonl.scan_lines_with_position(spark, path))
@@ -132,7 +131,7 @@ def head_n_with_id(spark, sf_dir):
 @query
 def write_jsonl(spark, sf_dir):
     path = scratch_path(spark, "jsonl")
-    jsonl.write_jsonl(views.label_gt(spark, sf_dir).select("id", "text", "label"), path)
+    jsonl.write_jsonl(_texts(views.label_gt(spark, sf_dir), spark, sf_dir).select("id", "text", "label"), path)
     df = jsonl.scan_folders(spark, [path], pattern="*.json")
     return df.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label")
 
@@ -146,7 +145,7 @@ def append_clean_incremental(spark, sf_dir):
     for part in (preds.where(first), preds.where(~first), None):
         if part is not None:
             part.write.mode("append").json(f"{root}/in")
-        run_stream(*args).awaitTermination()
+        run_stream(*args, pattern="*.json").awaitTermination()
     df = jsonl.scan_folders(spark, [f"{root}/out"], pattern="*.json")
     return df.select(F.col("trait").alias("system"), "id", "label")
 
@@ -154,7 +153,7 @@ def append_clean_incremental(spark, sf_dir):
 @query
 def write_splits(spark, sf_dir):
     path = scratch_path(spark, "splits")
-    split = _split(spark, sf_dir).select("id", "text", "label", "split")
+    split = _texts(_split(spark, sf_dir), spark, sf_dir).select("id", "text", "label", "split")
     jsonl.write_partitioned(split, path, "split")
     df = spark.read.schema(f"{jsonl.RECORD_SCHEMA}, split STRING").json(path)
     return df.select("id", "label", "split")
@@ -185,8 +184,8 @@ def metrics_report(spark, sf_dir):
 @query
 def project_labeled(spark, sf_dir):
     with_trait = views.label_pred(spark, sf_dir).withColumnRenamed("system", "trait")
-    rows = O.project_labeled(with_trait).unionByName(
-        O.project_labeled(views.label_gt(spark, sf_dir))
+    rows = O.project_labeled(_texts(with_trait, spark, sf_dir)).unionByName(
+        O.project_labeled(_texts(views.label_gt(spark, sf_dir), spark, sf_dir))
     )
     return rows.select("id", F.length("text").cast("bigint").alias("n_text"), "label", "trait")
 
@@ -271,7 +270,7 @@ def traits_to_long(spark, sf_dir):
 
 @query
 def word_count(spark, sf_dir):
-    df = _spread_docs(spark, sf_dir)
+    df = _docs(spark, sf_dir)
     return df.select("id", TX.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
@@ -287,20 +286,22 @@ def _message_columns(messages: Column) -> list[Column]:
 
 @query
 def judge_prompt(spark, sf_dir):
-    df = _spread_docs(spark, sf_dir)
+    df = _docs(spark, sf_dir)
     text = F.col("text")
-    judge = F.get(P.judge_messages(text), F.lit(1))["content"]
+    judge = P.judge_messages(text)
+    system, user = (F.get(judge, F.lit(i))["content"] for i in (0, 1))
     return df.select(
         "id",
         *_message_columns(P.prompt_messages(text)),
-        F.md5(judge.cast("binary")).alias("judge_user"),
+        F.md5(system.cast("binary")).alias("judge_system"),
+        F.md5(user.cast("binary")).alias("judge_user"),
     )
 
 
 @query
 def rewrite_prompt(spark, sf_dir):
     traits = F.array(*[F.lit(t) for t in TRAITS_TO_AUGMENT])
-    df = _spread_docs(spark, sf_dir).withColumn("trait", F.explode(traits))
+    df = _docs(spark, sf_dir).withColumn("trait", F.explode(traits))
     prompt = P.rewrite_prompt(F.col("trait"), F.col("text"))
     return df.select("id", "trait", F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
@@ -308,7 +309,7 @@ def rewrite_prompt(spark, sf_dir):
 @query
 def completion_strip(spark, sf_dir):
     tokens = F.transform(TX.words(F.col("text")), lambda w: F.length(w))
-    df = _spread_docs(spark, sf_dir).select("id", tokens.alias("ids"))
+    df = _docs(spark, sf_dir).select("id", tokens.alias("ids"))
     out = P.completion(F.col("ids"), (F.size("ids") / 3).cast("int"))
     return df.select(
         "id", F.size(out).cast("bigint").alias("n_generated"), _array_md5(out).alias("ids")
@@ -321,7 +322,7 @@ def completion_strip(spark, sf_dir):
 @query
 def align_systems_positional(spark, sf_dir):
     preds, root = views.label_pred(spark, sf_dir), scratch_path(spark, "systems")
-    record = F.to_json(F.struct("id", "text", "label")).alias("value")
+    record = F.to_json(F.struct("id", "label")).alias("value")
     paths = {}
     for system in views.SYSTEMS:
         rows = preds.where(F.col("system") == system)
@@ -422,7 +423,7 @@ def feedback_match_prf(spark, sf_dir):
 @query
 def feedback_match_embedding(spark, sf_dir):
     traits = A.compared_traits(_aligned(spark, sf_dir, with_feedback=True))
-    matched = match.embedding_match(traits, stubs.hashed_encoder)
+    matched = match.embedding_match(traits, stubs.letter_encoder)
     return metrics.feedback_match(matched).select(
         "system", "trait", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
     )
@@ -449,7 +450,7 @@ def split_balance(spark, sf_dir):
 
 @query
 def avg_transcript_words(spark, sf_dir):
-    df = metrics.avg_transcript_words(_spread_docs(spark, sf_dir))
+    df = metrics.avg_transcript_words(_docs(spark, sf_dir))
     return df.select(F.round("avg_words", 6).alias("avg_words"), "n")
 
 
@@ -535,21 +536,21 @@ def augment_minority(spark, sf_dir):
 
 @query
 def judge_label_rows(spark, sf_dir):
-    docs = _spread_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     df = infer.judge_label_rows(docs, stubs.judge_client, pause=0.0)
     return df.select("id", "label", "error", _long("attempts"))
 
 
 @query
 def batch_infer(spark, sf_dir):
-    df = infer.batch_infer(_spread_docs(spark, sf_dir), stubs.LengthModel())
+    df = infer.batch_infer(_docs(spark, sf_dir), stubs.LengthModel())
     return df.select("id", F.length("text").cast("bigint").alias("n_text"), "label", "error")
 
 
 @query
 def infer_many_systems(spark, sf_dir):
     systems = {s: stubs.LengthModel(s) for s in ("epoch1", "epoch2", "epoch3")}
-    docs = _spread_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     return infer.infer_many_systems(docs, systems).select("system", "id", "label")
 
 
@@ -558,12 +559,12 @@ def infer_many_systems(spark, sf_dir):
 
 @query
 def sft_examples(spark, sf_dir):
-    df = sft.sft_examples(views.label_gt(spark, sf_dir))
+    df = sft.sft_examples(_texts(views.label_gt(spark, sf_dir), spark, sf_dir))
     return df.select("id", *_message_columns(F.col("messages")), "output")
 
 
 def _tokenized(spark, sf_dir) -> DataFrame:
-    examples = sft.sft_examples(views.label_gt(spark, sf_dir))
+    examples = sft.sft_examples(_texts(views.label_gt(spark, sf_dir), spark, sf_dir))
     return sft.sft_tokenize_mask(examples, stubs.word_length_tokenizer)
 
 
@@ -592,10 +593,5 @@ def sft_token_budget(spark, sf_dir):
 @query
 def conversation_sft(spark, sf_dir):
     df = sft.conversation_sft(views.table(spark, sf_dir, "conversations"))
-    return df.select(
-        "conv_id",
-        "turn",
-        F.size("messages").cast("bigint").alias("n_messages"),
-        F.md5(P.chat_text(F.col("messages")).cast("binary")).alias("prompt_md5"),
-        "output",
-    )
+    content = F.md5(F.col("content").cast("binary")).alias("content_md5")
+    return df.select("conv_id", "turn", "role", content, "target", "unanswered", "duplicate")

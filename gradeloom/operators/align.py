@@ -1,11 +1,12 @@
 """Lining up several systems with the ground truth.
 
 A row can be compared only if every system and the ground truth have it, exactly once, and
-all of them are usable. Rows of all inputs are put in one stream and brought together by
-key in two steps. The first groups by (key, system) with map-side combining: a key that a
-faulty input repeats millions of times becomes one row per task. After it a key has at most
-one row per input, so the second step, a window over the key, only ever holds
-``number of systems + 1`` rows. No join, so repeated keys never multiply.
+all of them are usable. Rows of all inputs are put in one stream and grouped once by key, with
+map-side combining: a key that a faulty input repeats millions of times becomes one row per
+task. The group's row holds a count and the scores of every system, packed into whole
+numbers, so aggregation buffers have a fixed width and nothing is sorted. No join of
+labels, so repeated keys never multiply. Feedback texts stay out of it; they are joined to the
+comparable keys afterwards.
 """
 
 from __future__ import annotations
@@ -20,33 +21,41 @@ from gradeloom.operators.labels import parse_label, quoted, with_reason
 from gradeloom.settings import CRITERIA
 
 
+# A valid score needs four bits; this many fit a BIGINT.
+_PER_PACK = 15
+
+
 def _feedback(criteria: Sequence[str]) -> str:
     return f"array({', '.join(L.feedback_sql('parsed', t) for t in criteria)})"
 
 
-def score_predictions(
-    preds: DataFrame, key: Sequence[str], criteria: Sequence[str], with_feedback: bool
-) -> DataFrame:
-    """``*key, system, ok, s0.., [feedback]``; the repair is applied to every label."""
+def _packs(criteria: Sequence[str]) -> list[range]:
+    n = len(criteria)
+    return [range(i, min(i + _PER_PACK, n)) for i in range(0, n, _PER_PACK)]
+
+
+def score_predictions(preds: DataFrame, key: Sequence[str], criteria: Sequence[str]) -> DataFrame:
+    """``*key, system, ok, p0..``: scores packed; the repair is applied to every label."""
     df = with_reason(preds, criteria, fix="extract", always=True)
-    cols = [f"scores[{i}] AS s{i}" for i in range(len(criteria))]
-    if with_feedback:
-        cols.append(f"IF(reason IS NULL, {_feedback(criteria)}, NULL) AS feedback")
-    return df.selectExpr(*quoted(key), "system", "reason IS NULL AS ok", *cols)
+    packs = [
+        " + ".join(f"shiftleft(bigint(scores[{i}]), {4 * k})" for k, i in enumerate(own)) + f" AS p{m}"
+        for m, own in enumerate(_packs(criteria))
+    ]
+    return df.selectExpr(*quoted(key), "system", "reason IS NULL AS ok", *packs)
 
 
 def score_truth(
     truth: DataFrame, key: Sequence[str], criteria: Sequence[str], with_feedback: bool
 ) -> DataFrame:
-    """The same columns for the ground truth, with a NULL system. It must parse as it
-    stands and have a score for every trait; a score outside 1..10 is used as it is."""
-    names = [f"s{i}" for i in range(len(criteria))]
+    """``*key, system, ok, g0..`` of the ground truth, with a NULL system. It must parse as it
+    stands and have a score for every trait; a score outside 1..10 is used as it is. With
+    feedback it must also have a text for every trait."""
+    names = [f"g{i}" for i in range(len(criteria))]
     cols = [f"try_cast({L.score_sql('parsed', t)} AS INT) AS {n}" for n, t in zip(names, criteria)]
     ok = " AND ".join(f"{n} IS NOT NULL" for n in names)
     if with_feedback:
-        cols.append(f"{_feedback(criteria)} AS feedback")
-        ok += " AND forall(feedback, x -> x IS NOT NULL)"
-        names.append("feedback")
+        cols.append(f"forall({_feedback(criteria)}, x -> x IS NOT NULL) AS told")
+        ok += " AND told"
     df = parse_label(truth).selectExpr(*quoted(key), *cols)
     return df.selectExpr(*quoted(key), "string(NULL) AS system", f"{ok} AS ok", *names)
 
@@ -58,43 +67,75 @@ def align(
     key: Sequence[str] = ("id",),
     criteria: Sequence[str] = CRITERIA,
     with_feedback: bool = False,
+    nullable: Sequence[str] = ("trait",),
 ) -> DataFrame:
     """One row per key and input, with flags.
 
     ``preds``: key columns, ``system``, ``label``. ``truth``: key columns, ``label``. A key
-    may be several columns and may hold NULLs (ids restart for each augmented trait, so
-    augmented data needs ``("trait", "id")``).
+    may be several columns (ids restart for each augmented trait, so augmented data needs
+    ``("trait", "id")``). A key column that is NULL makes a row unusable: it is never
+    complete. Only in the columns named by ``nullable`` is NULL a value like any other.
 
     Columns: key, ``system`` (NULL for the ground truth's own row), ``ok``, ``s0..`` and
     ``g0..`` (ground truth), ``complete`` (the key is in every input) and ``comparable``
-    (complete, once in each, all usable). With ``with_feedback`` also the two feedback arrays.
+    (complete, once in each, all usable). With ``with_feedback`` also the two feedback
+    arrays, ``feedback`` and ``gt_feedback``, for comparable rows.
     """
-    key = list(key)
+    key, n = list(key), len(criteria)
     preds = preds.where(F.col("system").isin(*systems))
-    rows = score_predictions(preds, key, criteria, with_feedback).unionByName(
-        score_truth(truth, key, criteria, with_feedback)
+    packs = _packs(criteria)
+    rows = score_predictions(preds, key, criteria).unionByName(
+        score_truth(truth, key, criteria, with_feedback), allowMissingColumns=True
     )
-    names = [f"s{i}" for i in range(len(criteria))] + (["feedback"] if with_feedback else [])
-    single = rows.groupBy(*key, "system").agg(
-        F.expr("count(*) AS copies"),
-        F.expr("bool_and(ok) AS ok"),
-        *[F.expr(f"max({n}) AS {n}") for n in names],
+    truths = [f"g{i}" for i in range(n)]
+    aggregates, parts = [], []
+    for j, name in enumerate(systems):
+        own = f"system = {L.literal(name)}"
+        aggregates += [f"count_if({own}) AS n{j}", f"count_if({own} AND ok) AS ok{j}"]
+        aggregates += [f"max(IF({own}, p{m}, NULL)) AS p{j}_{m}" for m in range(len(packs))]
+        scores = [
+            f"int(shiftright(p{j}_{i // _PER_PACK}, {4 * (i % _PER_PACK)}) & 15) AS s{i}" for i in range(n)
+        ]
+        parts.append(
+            f"struct({L.literal(name)} AS system, n{j} > 0 AS present, n{j} = ok{j} AS ok, {', '.join(scores)})"
+        )
+    aggregates += ["count_if(system IS NULL) AS nt", "count_if(system IS NULL AND ok) AS okt"]
+    aggregates += [f"max({g}) AS {g}" for g in truths]
+    own = ", ".join(f"{g} AS s{i}" for i, g in enumerate(truths))
+    parts.append(f"struct(string(NULL) AS system, nt > 0 AS present, nt = okt AS ok, {own})")
+    single = rows.groupBy(*key).agg(*[F.expr(x) for x in aggregates])
+
+    counts = [(f"n{j}", f"ok{j}") for j in range(len(systems))] + [("nt", "okt")]
+    usable = [f"{k} IS NOT NULL" for k, raw in zip(quoted(key), key) if raw not in nullable]
+    complete = " AND ".join([*usable, *[f"{c} > 0" for c, _ in counts]])
+    once = " AND ".join(f"{c} = 1 AND {ok} = 1" for c, ok in counts)
+    flagged = single.selectExpr(
+        *quoted(key), *truths, f"filter(array({', '.join(parts)}), x -> x.present) AS _rows",
+        f"{complete} AS complete", f"{complete} AND {once} AS comparable",
     )
-    over = f"OVER (PARTITION BY {', '.join(quoted(key))})"
-    inputs = len(systems) + 1
-    truth_values = [
-        f"max(IF(system IS NULL, {n}, NULL)) {over} AS {'gt_feedback' if n == 'feedback' else f'g{n[1:]}'}"
-        for n in names
-    ]
-    return single.selectExpr(
-        *quoted(key),
-        "system",
-        "ok",
-        *names,
-        *truth_values,
-        f"count(*) {over} = {inputs} AS complete",
-        f"count_if(ok AND copies = 1) {over} = {inputs} AS comparable",
+    names = [f"s{i}" for i in range(n)]
+    aligned = flagged.selectExpr(*quoted(key), *truths, "complete", "comparable", "inline(_rows)").selectExpr(
+        *quoted(key), "system", "ok", *names, *truths, "complete", "comparable"
     )
+    if with_feedback:
+        return _join_feedback(aligned, preds, truth, key, criteria)
+    return aligned
+
+
+def _join_feedback(
+    aligned: DataFrame, preds: DataFrame, truth: DataFrame, key: list[str], criteria: Sequence[str]
+) -> DataFrame:
+    """Bring the texts to the comparable rows. Their keys are unique in every input."""
+    own = with_reason(preds, criteria, fix="extract", always=True).where("reason IS NULL")
+    own = own.selectExpr(*quoted(key), "system", f"{_feedback(criteria)} AS feedback").alias("p")
+    told = parse_label(truth).selectExpr(*quoted(key), f"{_feedback(criteria)} AS gt_feedback").alias("t")
+
+    def same(side: str) -> str:
+        return " AND ".join(f"a.{k} <=> {side}.{k}" for k in quoted(key)) + " AND a.comparable"
+
+    joined = aligned.alias("a").join(own, F.expr(f"{same('p')} AND a.system = p.system"), "left")
+    joined = joined.join(told, F.expr(same("t")), "left")
+    return joined.select("a.*", "p.feedback", "t.gt_feedback")
 
 
 def align_by_id(aligned: DataFrame) -> DataFrame:

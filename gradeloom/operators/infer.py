@@ -47,6 +47,8 @@ def call_with_retry(
                     tried += 1
                     try:
                         answer, error = client(s, u), None
+                        if answer is None:
+                            raise ValueError("no answer")
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
                         time.sleep(pause)
@@ -96,7 +98,8 @@ def generate(
     prompt: Column, model_factory: Callable[[], Model], batch_size: int = 20
 ) -> Column:
     """``struct(answer, error)``: prompts go to the model ``batch_size`` at a time; if the
-    model raises, every row of that batch gets the error."""
+    model raises, or gives more or fewer answers than prompts, every row of that batch gets
+    the error."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = model_factory()
@@ -105,7 +108,10 @@ def generate(
             for i in range(0, len(prompts), batch_size):
                 part = prompts.iloc[i : i + batch_size].tolist()
                 try:
-                    out += [(a, None) for a in model(part)]
+                    answers = list(model(part))
+                    if len(answers) != len(part):
+                        raise ValueError(f"{len(answers)} answers for {len(part)} prompts")
+                    out += [(a, None) for a in answers]
                 except Exception as e:
                     out += [(None, f"{type(e).__name__}: {e}")] * len(part)
             yield pd.DataFrame(out, columns=["answer", "error"])

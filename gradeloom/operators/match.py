@@ -37,8 +37,11 @@ def embedding_match(
         for pred, gt in pairs:
             out = []
             for i in range(0, len(pred), batch):
-                ps = encode(pred.iloc[i : i + batch].tolist())
-                gs = encode(gt.iloc[i : i + batch].tolist())
+                ps = list(encode(pred.iloc[i : i + batch].tolist()))
+                gs = list(encode(gt.iloc[i : i + batch].tolist()))
+                n = len(pred.iloc[i : i + batch])
+                if len(ps) != n or len(gs) != n:
+                    raise ValueError(f"the encoder gave {len(ps)} and {len(gs)} results for {n} texts")
                 out += [(_best(p, g), _best(g, p)) for p, g in zip(ps, gs)]
             yield pd.DataFrame(out, columns=["precision", "recall"], dtype="float64")
 

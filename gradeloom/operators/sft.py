@@ -25,27 +25,35 @@ def sft_examples(df: DataFrame, criteria: Sequence[str] = CRITERIA) -> DataFrame
 
 
 def conversation_sft(turns: DataFrame) -> DataFrame:
-    """The same shape from chat turns: each user turn that an assistant turn follows.
+    """Every turn, in order: ``conv_id, turn, role, content, target, unanswered, duplicate``.
 
-    Neighbours are found by an equi-join on (conversation, turn), which spreads a long
-    conversation over all tasks; no conversation is gathered. A conversation's system turn,
-    if any, leads the messages.
+    ``target``: an assistant turn that answers the user turn before it, which a model should
+    learn. ``unanswered``: a user turn without an answer right after it. ``duplicate``:
+    another row has the same conversation and turn. Rows are range-partitioned and sorted by
+    (conversation, turn); neighbours are found by one join on both, so a long conversation
+    is spread over many tasks and never gathered.
     """
-    def role(name: str) -> DataFrame:
-        return turns.where(F.col("role") == name)
-
-    answer = role("assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output")
+    def seen(shift: int, flag: str, rows: DataFrame) -> DataFrame:
+        return rows.select("conv_id", (F.col("turn") + shift).alias("turn"), F.lit(flag).alias("flag"))
+
+    role = F.col("role")
+    marks = (
+        seen(0, "own", turns)
+        .unionByName(seen(1, "asked", turns.where(role == "user")))
+        .unionByName(seen(-1, "answered", turns.where(role == "assistant")))
+        .groupBy("conv_id", "turn")
+        .agg(*[F.count_if(F.col("flag") == f).alias(f"_{f}") for f in ("own", "asked", "answered")])
     )
-    pairs = role("user").select("conv_id", "turn", F.col("text").alias("_user")).join(
-        answer, ["conv_id", "turn"]
+    out = turns.join(marks, ["conv_id", "turn"], "left").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.col("text").alias("content"),
+        F.coalesce((role == "assistant") & (F.col("_asked") > 0), F.lit(False)).alias("target"),
+        F.coalesce((role == "user") & (F.col("_answered") == 0), F.lit(False)).alias("unanswered"),
+        F.coalesce(F.col("_own") > 1, F.lit(False)).alias("duplicate"),
     )
-    system = role("system").where("turn = 0").select("conv_id", F.col("text").alias("_system"))
-    out = pairs.join(system, "conv_id", "left")
-    user = F.struct(F.lit("user").alias("role"), F.col("_user").alias("content"))
-    lead = F.struct(F.lit("system").alias("role"), F.col("_system").alias("content"))
-    messages = F.when(F.col("_system").isNull(), F.array(user)).otherwise(F.array(lead, user))
-    return out.select("conv_id", "turn", messages.alias("messages"), "output")
+    return out.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
 
 
 def encode_pair(
@@ -58,8 +66,10 @@ def encode_pair(
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         tokenize = tokenizer_factory()
         for prompts, outputs in batches:
-            short = tokenize(prompts.tolist())
-            full = tokenize((prompts + outputs).tolist())
+            short = list(tokenize(prompts.tolist()))
+            full = list(tokenize((prompts + outputs).tolist()))
+            if len(short) != len(prompts) or len(full) != len(prompts):
+                raise ValueError(f"the tokenizer gave {len(short)} and {len(full)} results for {len(prompts)} texts")
             yield pd.DataFrame(
                 {
                     "n_prompt": [len(p) for p in short],

@@ -5,7 +5,6 @@ Plain text building only; nothing here is used by the Spark jobs.
 
 from __future__ import annotations
 
-from gradeloom.functions import prompts as P
 from gradeloom.settings import CRITERIA, MAX_TOKENS, SEED, STRATIFY_BY, THRESHOLD
 
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -20,6 +19,45 @@ _SEEDS = (
 _SYSTEMS = ("sys0", "sys1", "sys2")
 
 
+# The wording that prompts must have.
+_SYSTEM = (
+    "You are an expert speech evaluator. Given a transcript of a speaker's message, assess the communication quality in terms of the following traits:\n"
+    "    ['formality', 'persuasiveness', 'enthusiasm', 'empathy', 'filler words', 'transition logic']\n"
+    '\n'
+    '    For each trait, assign a score from 1 (poor) to 10 (excellent). Be honest and critical in your assessment without bias toward high scores. \n'
+    '    Then provide a short explanation (1–2 sentences) justifying your score for that trait.\n'
+    '\n'
+    '    The final output must be a JSON string with the exact format below:\n'
+    "    {'formality': {'score': '<int>', 'feedback': '<string>'}, 'persuasiveness': {'score': '<int>', 'feedback': '<string>'}, 'enthusiasm': {'score': '<int>', 'feedback': '<string>'}, 'empathy': {'score': '<int>', 'feedback': '<string>'}, 'filler words': {'score': '<int>', 'feedback': '<string>'}, 'transition logic': {'score': '<int>', 'feedback': '<string>'}}"
+)
+_JUDGE_SYSTEM = (
+    '\n'
+    "    You are an expert speech evaluator. Given a transcript of a speaker's message, assess the communication quality in terms of the following traits:\n"
+    "    ['formality', 'persuasiveness', 'enthusiasm', 'empathy', 'filler words', 'transition logic']\n"
+    '\n'
+    '    For each trait, assign a score from 1 (poor) to 10 (excellent). Be honest and critical in your assessment without bias toward high scores. \n'
+    '    Then provide a short explanation (1–2 sentences) justifying your score for that trait.\n'
+    '    \n'
+    '    The final output must be a JSON string with the exact format below:\n'
+    "    {'formality': {'score': '<int>', 'feedback': '<string>'}, 'persuasiveness': {'score': '<int>', 'feedback': '<string>'}, 'enthusiasm': {'score': '<int>', 'feedback': '<string>'}, 'empathy': {'score': '<int>', 'feedback': '<string>'}, 'filler words': {'score': '<int>', 'feedback': '<string>'}, 'transition logic': {'score': '<int>', 'feedback': '<string>'}}\n"
+    '    '
+)
+_PERSONAS = {
+    'formality': (
+        'Imitate a casual blogger who uses informal language, contractions, or slang inappropriately in a serious context, rewrite the sample in a way that **lacks formality**.'
+    ),
+    'persuasiveness': (
+        'Imitate a passive commentator who avoids strong arguments and fails to support claims with logic or evidence, rewrite the sample in a way that **lacks persuasiveness**.'
+    ),
+    'transition logic': (
+        'Imitate a disorganized writer who jumps between ideas without smooth transitions or coherent flow, rewrite the sample in a way that **lacks clear transition logic**.'
+    ),
+    'filler words': (
+        'Imitate a writer who uses redundant connectors, rewrite the sample in a way that **includes filler words rarely but surely**.'
+    ),
+}
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -32,14 +70,16 @@ def _strip(x: str) -> str:
 # --- the derived label views ---------------------------------------------------------------
 
 
-def _part(trait: str, score: str, offset: int) -> str:
-    fb = f"trim(regexp_replace(substr(text, {offset}, 40), '[^A-Za-z ]', ' ', 'g'))"
+def _part(trait: str, score: str, i: int, shift: int) -> str:
+    start, stop = f"(length(text) * {i} // 6)", f"(length(text) * {i + 1} // 6)"
+    piece = f"substr(text, {start} + {1 + shift}, {stop} - {start})"
+    fb = f"trim(regexp_replace({piece}, '[^A-Za-z ]', ' ', 'g'))"
     return f"""'"{trait}": {{"score": ' || {score} || ', "feedback": "' || {fb} || '"}}'"""
 
 
 def _gt() -> str:
     parts = " || ', ' || ".join(
-        _part(t, f"(1 + ({m}) % 10)::VARCHAR", 1 + i) for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS))
+        _part(t, f"(1 + ({m}) % 10)::VARCHAR", i, 0) for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS))
     )
     return f"label_gt AS (SELECT doc_id AS id, text, n_chars, '{{' || {parts} || '}}' AS label FROM documents)"
 
@@ -54,7 +94,7 @@ def _pred() -> str:
             "enthusiasm": f"""CASE WHEN c = 5 THEN '"' || {n} || '"' ELSE {n} END""",
             "empathy": f"CASE WHEN c = 6 THEN {n} || '.9' ELSE {n} END",
         }.get(t, n)
-        part = _part(t, f"({n})", 3 + i)
+        part = _part(t, f"({n})", i, 2)
         parts.append(f"CASE WHEN c <> 3 THEN {part} END" if t == "filler words" else part)
     return f"""
 damage AS (
@@ -197,6 +237,30 @@ matched AS (
 )"""
 
 
+def _mean_best(own: str, other: str) -> str:
+    """Mean over the words of ``own`` of the best cosine with a word of ``other``; words are
+    given as counts per first character."""
+    vec = "[1.0, ({0} % 5)::DOUBLE, ({0} % 7)::DOUBLE]"
+    best = (
+        f"list_max(list_transform(map_keys({other}), lambda y: "
+        f"list_cosine_similarity({vec.format('x')}, {vec.format('y')})))"
+    )
+    total = f"list_sum(list_transform(map_keys({own}), lambda x: {own}[x] * {best}))"
+    return (
+        f"CASE WHEN cardinality({own}) > 0 AND cardinality({other}) > 0 "
+        f"THEN {total} / list_sum(map_values({own})) ELSE 0 END"
+    )
+
+
+def _firsts(x: str) -> str:
+    return f"list_histogram(list_transform({_tokens(x)}, lambda w: unicode(w)))"
+
+
+_EMBEDDING = f"""
+firsts AS (SELECT system, trait, {_firsts("feedback")} AS a, {_firsts("gt_feedback")} AS b FROM pairs),
+best AS (SELECT system, trait, {_mean_best("a", "b")} AS p, {_mean_best("b", "a")} AS r FROM firsts)"""
+
+
 def _summary(thresholds) -> str:
     levels = ", ".join(map(str, thresholds))
     return f"""SELECT system, trait, t AS threshold, round(avg(score), 6) AS avg_score, min(score) AS min_score,
@@ -261,7 +325,7 @@ def _hex(x: str, digits: int) -> str:
 
 
 def _draws(n: int) -> str:
-    traits = ", ".join(_q(t) for t in P.PERSONAS)
+    traits = ", ".join(_q(t) for t in _PERSONAS)
     return f"""
 ranked AS (SELECT doc_id AS id, text, row_number() OVER (ORDER BY md5(doc_id || '|{SEED}'), doc_id) - 1 AS pos FROM documents),
 draws AS (
@@ -276,7 +340,7 @@ drawn AS (SELECT trait, draw, id, text FROM draws JOIN ranked USING (pos))"""
 
 def _rewrite(trait: str, text: str) -> str:
     arms = []
-    for name, persona in P.PERSONAS.items():
+    for name, persona in _PERSONAS.items():
         pad, blank = " " * 16, " " if name == "transition logic" else ""
         lines = [
             "You are given a reference article-style sample.",
@@ -292,7 +356,6 @@ def _rewrite(trait: str, text: str) -> str:
     return _strip(f"(CASE {trait} {' '.join(arms)} END || {_strip(text)})")
 
 
-_SYSTEM = P.instruction()
 _CHAT_HEAD = f"<|im_start|>system\n{_SYSTEM}<|im_end|>\n<|im_start|>user\nTranscript:\n"
 _CHAT_TAIL = "<|im_end|>\n<|im_start|>assistant\n"
 _CHAT = f"{_q(_CHAT_HEAD)} || text || {_q(_CHAT_TAIL)}"
@@ -358,10 +421,10 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
         "traits_to_long": long + "SELECT system, id, trait, score, feedback FROM long",
         "word_count": f"SELECT id, len(regexp_extract_all(text, '[^{_WS}]+'))::BIGINT AS words FROM {docs}",
         "judge_prompt": f"""SELECT id, 'system' AS role_0, md5({_q(_SYSTEM)}) AS content_0, 'user' AS role_1,
-          md5('Transcript:' || chr(10) || text) AS content_1,
+          md5('Transcript:' || chr(10) || text) AS content_1, md5({_q(_JUDGE_SYSTEM)}) AS judge_system,
           md5(chr(10) || '    Transcript:' || chr(10) || '    ' || text || chr(10) || '    ') AS judge_user FROM {docs}""",
         "rewrite_prompt": f"""SELECT id, trait, md5({_rewrite("trait", "text")}) AS prompt_md5
-          FROM {docs} CROSS JOIN (SELECT unnest([{", ".join(_q(t) for t in P.PERSONAS)}]) AS trait)""",
+          FROM {docs} CROSS JOIN (SELECT unnest([{", ".join(_q(t) for t in _PERSONAS)}]) AS trait)""",
         "completion_strip": f"""SELECT id, len(g)::BIGINT AS n_generated, md5(array_to_string(g, ',')) AS ids FROM (
           SELECT id, ids[len(ids) // 3 + 1 :] AS g FROM (
             SELECT id, list_transform({_tokens("text")}, lambda w: length(w)) AS ids FROM {docs}))""",
@@ -447,13 +510,18 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
         + f"""SELECT count(*) AS n, count(*) FILTER (len(f) > {MAX_TOKENS}) AS n_truncated,
           count(*) FILTER (len(p) >= {MAX_TOKENS}) AS n_fully_masked,
           sum(least(len(f), {MAX_TOKENS}))::BIGINT AS tokens_kept, sum(len(f))::BIGINT AS tokens_total FROM toks""",
-        "conversation_sft": """SELECT u.conv_id, u.turn, CASE WHEN s.text IS NULL THEN 1 ELSE 2 END::BIGINT AS n_messages,
-          md5(CASE WHEN s.text IS NULL THEN '' ELSE '<|im_start|>system' || chr(10) || s.text || '<|im_end|>' || chr(10) END
-            || '<|im_start|>user' || chr(10) || u.text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt_md5,
-          a.text AS output
-          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-          LEFT JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = 0 AND s.role = 'system'
-          WHERE u.role = 'user'""",
+        "conversation_sft": """SELECT conv_id, turn, role, md5(text) AS content_md5,
+            role = 'assistant' AND EXISTS (SELECT 1 FROM conversations b
+              WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.role = 'user') AS target,
+            role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations b
+              WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant') AS unanswered,
+            count(*) OVER (PARTITION BY conv_id, turn) > 1 AS duplicate
+          FROM conversations a""",
+        "feedback_match_embedding": compare.rstrip()
+        + ","
+        + _EMBEDDING
+        + """ SELECT system, trait, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+          round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM best GROUP BY ALL""",
         "metrics_report": compare + _report(),
     }
     return sql

@@ -6,13 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, VariantType
 
 from gradeloom.functions.labels import NOT_AN_OBJECT, OUTER_ERROR
 from gradeloom.functions.text import strip
 from gradeloom.operators.labels import evaluate_once, parse_label
 from gradeloom.session import materialize
-from gradeloom.settings import MAX_BROADCAST_ROWS
 
 RECORD_SCHEMA = "id BIGINT, text STRING, label STRING, trait STRING"
 RAW_SCHEMA = "id BIGINT, text STRING"
@@ -25,9 +24,33 @@ def scan_folders(
     pattern: str = "*.jsonl",
 ) -> DataFrame:
     """All files of the folders that match, as one DataFrame, plus ``source_file``."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", pattern)
-    df = reader.json(list(folders))
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"))
+    reader = spark.read.schema(open_schema(schema)).option("pathGlobFilter", pattern)
+    df = reader.json(list(folders)).select("*", F.col("_metadata.file_path").alias("source_file"))
+    return typed(df, schema)
+
+
+def _kinds(schema: str | StructType) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def open_schema(schema: str | StructType) -> StructType:
+    """``schema`` with ``id`` and ``label`` read as they are, whatever their JSON type."""
+    free = ("id", "label")
+    fields = [StructField(f.name, VariantType()) if f.name in free else f for f in _kinds(schema)]
+    return StructType(fields)
+
+
+def typed(df: DataFrame, schema: str | StructType) -> DataFrame:
+    """A label that is not a JSON string is NULL, so it is never taken for valid text. An id
+    is converted to its declared type; declared as STRING it may be text or a number."""
+    new = {}
+    for f in _kinds(schema):
+        if f.name == "label":
+            text = F.schema_of_variant("label") == "STRING"
+            new["label"] = F.when(text, F.try_variant_get("label", "$", "string"))
+        elif f.name == "id":
+            new["id"] = F.try_variant_get("id", "$", f.dataType.simpleString())
+    return df.withColumns(new)
 
 
 def scan_skip_blank(
@@ -47,34 +70,35 @@ def scan_column_stripped(df: DataFrame, column: str = "text") -> DataFrame:
 def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """``pos, value``: raw lines with their 0-based line number.
 
-    ``path`` is a file, or a folder of part files that are numbered through in name order.
-    Within a file split rows come in file order, so a line number is the number of lines in
-    the earlier splits plus the offset in its own split. Only one row per split is
-    aggregated and ordered; the lines themselves are neither sorted nor gathered. That
-    small table is written first, so that its size is known: up to ``MAX_BROADCAST_ROWS``
-    splits it is broadcast, beyond that it is joined by split.
+    ``path`` is a file, or a folder of part files that are numbered through in the order of
+    the number in their names, then of the names. Within a file split rows come in file
+    order, so a line number is the number of lines in the earlier splits plus the offset in
+    its own split. The lines are read once and stored with their split, since another scan
+    could cut files elsewhere. One row per split is aggregated and ordered; the lines
+    themselves are neither sorted nor gathered. A line of an unknown split is an error.
     """
-    lines = spark.read.text(path).select(
+    scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         "value",
         F.monotonically_increasing_id().alias("row"),
     )
+    lines = materialize(scan, "lines")
     splits = lines.groupBy("file", "block").agg(
         F.min("row").alias("first_row"), F.count("*").alias("n")
     )
-    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[^/]*$', 1) AS DECIMAL(38))")
+    earlier = Window.orderBy(number, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "file",
         "block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
     )
     offsets = materialize(offsets, "line-offsets")
-    if offsets.count() <= MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    return lines.join(offsets, ["file", "block"]).select(
-        (F.col("row") + F.col("shift")).alias("pos"), "value"
-    )
+    known = F.when(
+        F.col("shift").isNull(), F.raise_error(F.lit("a line's file split is unknown"))
+    ).otherwise(F.col("row") + F.col("shift"))
+    return lines.join(offsets, ["file", "block"], "left").select(known.alias("pos"), "value")
 
 
 def records_of_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gradeloom.session import scratch_path
@@ -24,13 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is read in fewer tasks than there are cores.
-    A large table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # Score seeds, one per trait.
 _SEEDS = (
     "n_chars",
@@ -42,8 +36,13 @@ _SEEDS = (
 )
 
 
-def _trait_json(trait: str, score: str, offset: int) -> str:
-    piece = f"trim(regexp_replace(substring(text, {offset}, 40), '[^A-Za-z ]', ' '))"
+def _trait_json(trait: str, score: str, i: int, shift: int) -> str:
+    """Trait i gets the i-th of as many equal slices of the text as there are traits, so
+    that the feedbacks together hold the whole text; ``shift`` moves the slices."""
+    k = len(CRITERIA)
+    start, stop = f"length(text) * {i} div {k}", f"length(text) * {i + 1} div {k}"
+    piece = f"substring(text, int({start}) + {1 + shift}, int({stop}) - int({start}))"
+    piece = f"trim(regexp_replace({piece}, '[^A-Za-z ]', ' '))"
     return f"""concat('"{trait}": {{"score": ', {score}, ', "feedback": "', {piece}, '"}}')"""
 
 
@@ -65,7 +64,7 @@ def _stored(build):
                 return spark.read.schema(schema).parquet(path)
             except AnalysisException:  # the shared folder was emptied meanwhile
                 pass
-        df = spread(build(spark, sf_dir))
+        df = build(spark, sf_dir)
         path = scratch_path(spark, build.__name__)
         df.write.parquet(path)
         _STORED[key] = path, df.schema
@@ -76,19 +75,17 @@ def _stored(build):
 
 @_stored
 def label_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text, n_chars, label: always valid."""
+    """id, label: always valid. Its text is that of the document."""
     parts = [
-        _trait_json(t, f"string(({m}) % 10 + 1)", 1 + i)
+        _trait_json(t, f"string(({m}) % 10 + 1)", i, 0)
         for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS))
     ]
-    return documents(spark, sf_dir).selectExpr(
-        "doc_id AS id", "text", "n_chars", f"{_object(parts)} AS label"
-    )
+    return documents(spark, sf_dir).selectExpr("doc_id AS id", f"{_object(parts)} AS label")
 
 
 @_stored
 def label_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """system, id, text, label: three systems, two of them with damaged rows."""
+    """system, id, label: three systems, two of them with damaged rows."""
     parts = []
     for i, (t, m) in enumerate(zip(CRITERIA, _SEEDS)):
         n = f"string(({m} + (doc_id + {i}) % (4 - k)) % 10 + 1)"
@@ -98,7 +95,7 @@ def label_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
             "enthusiasm": f"""IF(c = 5, concat('"', {n}, '"'), {n})""",
             "empathy": f"IF(c = 6, concat({n}, '.9'), {n})",
         }.get(t, n)
-        part = _trait_json(t, n, 3 + i)
+        part = _trait_json(t, n, i, 2)
         parts.append(f"IF(c <> 3, {part}, NULL)" if t == "filler words" else part)
     label = r"""CASE c
         WHEN 0 THEN concat(left(j, length(j) - 1), ',}')
@@ -113,8 +110,14 @@ def label_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr("doc_id", "text", "n_chars", "explode(sequence(0, 2)) AS k")
         .selectExpr("*", "IF(k < 2, (doc_id + k * 5) % 16, 15) AS c")
         .selectExpr("*", f"{_object(parts)} AS j")
-        .selectExpr("concat('sys', string(k)) AS system", "doc_id AS id", "text", label)
+        .selectExpr("concat('sys', string(k)) AS system", "doc_id AS id", label)
     )
 
 
 SYSTEMS = ("sys0", "sys1", "sys2")
+
+
+def with_text(labels: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` with the ``text`` of their documents; the views do not store it again."""
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return labels.join(texts, "id")

@@ -6,18 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from gradeloom.operators.labels import clean_labels
 from gradeloom.settings import CRITERIA
-from gradeloom.sources.jsonl import RECORD_SCHEMA
+from gradeloom.sources.jsonl import RECORD_SCHEMA, open_schema, typed
 
 
 def clean_stream(
-    spark: SparkSession, folder: str, criteria: Sequence[str] = CRITERIA
+    spark: SparkSession,
+    folder: str,
+    criteria: Sequence[str] = CRITERIA,
+    schema: str | StructType = RECORD_SCHEMA,
+    pattern: str = "*.jsonl",
 ) -> DataFrame:
-    """Valid, repaired rows of the JSONL files that appear in ``folder``."""
-    files = spark.readStream.schema(RECORD_SCHEMA).option("pathGlobFilter", "*.json*")
-    return clean_labels(files.json(folder), criteria)
+    """Valid, repaired rows of the JSONL files that appear in ``folder``, opened as the batch
+    scan of a folder opens them."""
+    files = spark.readStream.schema(open_schema(schema)).option("pathGlobFilter", pattern)
+    return clean_labels(typed(files.json(folder), schema), criteria)
 
 
 def append_clean_incremental(
@@ -26,11 +32,12 @@ def append_clean_incremental(
     output: str,
     checkpoint: str,
     criteria: Sequence[str] = CRITERIA,
+    pattern: str = "*.jsonl",
 ) -> StreamingQuery:
     """Clean the files not yet seen, append to ``output`` and stop. Running it again adds
     nothing; the checkpoint makes each file count once, also after a failure."""
     return (
-        clean_stream(spark, folder, criteria)
+        clean_stream(spark, folder, criteria, pattern=pattern)
         .writeStream.format("json")
         .option("checkpointLocation", checkpoint)
         .option("ignoreNullFields", "false")

@@ -4,6 +4,8 @@ import json
 from collections import Counter
 
 import pytest
+
+from gradeloom.settings import CRITERIA
 from pyspark.sql import functions as F
 
 from gradeloom import stubs
@@ -105,7 +107,66 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     assert A.compare_coverage(out).first().asDict() == {"compared": 0, "total": 1}
     assert out.count() == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and plan.index("Window") < plan.index("partial_max")
+    assert "Join" not in plan and "Window" not in plan and "SortAggregate" not in plan
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
+
+
+def test_null_keys_are_never_paired(spark):
+    p = spark.createDataFrame([("s1", None, lab(5, 5)), ("s1", 1, lab(5, 5))], "system string, id bigint, label string")
+    g = spark.createDataFrame([(None, lab(5, 5)), (1, lab(5, 5))], "id bigint, label string")
+    out = A.align(p, g, ["s1"], criteria=T)
+    assert A.compare_coverage(out).first().asDict() == {"compared": 1, "total": 1}
+
+
+def test_feedback_is_joined_to_comparable_rows_only(small):
+    rows = {(r.id, r.system): r for r in small.collect()}
+    assert rows[1, "s1"].feedback is not None and rows[1, "s1"].gt_feedback is not None
+    assert rows[2, "s1"].feedback is None
+
+
+def test_lexical_match_of_long_texts_is_not_quadratic(spark):
+    import time
+
+    def seconds(n):
+        words = " ".join(f"w{i % (n // 3)}" for i in range(n))
+        df = spark.createDataFrame([(words, words + " more")], "pred_text string, gt_text string")
+        start = time.perf_counter()
+        r = M.lexical_match(df).first()
+        assert r.precision == 1.0 and r.recall == pytest.approx(n / (n + 1))
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 4 * seconds(20_000) + 1
+
+
+def test_line_numbers_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    path.write_text("".join(f"{i}\n" for i in range(60_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        df = jsonl.scan_lines_with_position(spark, str(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150k")
+        assert df.where("pos = bigint(value)").count() == 60_000 == df.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_parts_are_numbered_by_number(spark, tmp_path):
+    for n in (20000, 99999, 100000, 100001):
+        (tmp_path / f"part-{n}-x9.txt").write_text(f"{n}\n")
+    got = jsonl.scan_lines_with_position(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [int(r.value) for r in got] == [20000, 99999, 100000, 100001]
+
+
+def test_an_object_is_no_label_and_an_id_may_be_text(spark, tmp_path):
+    good = {t: {"score": 5, "feedback": "x"} for t in CRITERIA}
+    rows = [{"id": 1, "label": json.dumps(good)}, {"id": 2, "label": good}, {"id": "a7", "label": json.dumps(good)}]
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    df = jsonl.scan_folders(spark, [str(tmp_path)])
+    assert [r.id for r in O.clean_labels(df).collect()] == [1]
+    df = jsonl.scan_folders(spark, [str(tmp_path)], "id STRING, label STRING")
+    assert sorted(r.id for r in O.clean_labels(df).collect()) == ["1", "a7"]
 
 
 def brute(p, g):
@@ -126,10 +187,10 @@ def test_lexical_match(spark):
 
 def test_embedding_match(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, pred_text string, gt_text string")
-    rows = {r.i: r for r in match.embedding_match(df, stubs.hashed_encoder, batch=2).collect()}
+    rows = {r.i: r for r in match.embedding_match(df, stubs.letter_encoder, batch=2).collect()}
     assert rows[1].precision < 1 and rows[1].recall == pytest.approx(1.0)
     assert rows[2].f1 == 0.0 and rows[3].f1 == 0.0
-    encode = stubs.hashed_encoder()
+    encode = stubs.letter_encoder()
 
     def unit(text):
         return [v / (v @ v) ** 0.5 for v in encode([text])[0]]
@@ -142,7 +203,7 @@ def test_embedding_match(spark):
         got = (rows[i].precision, rows[i].recall, rows[i].f1)
         assert got == pytest.approx((pr, re_, f1))
     same = spark.createDataFrame([("one two", "two one")], "pred_text string, gt_text string")
-    assert match.embedding_match(same, stubs.hashed_encoder).first().f1 == pytest.approx(1.0)
+    assert match.embedding_match(same, stubs.letter_encoder).first().f1 == pytest.approx(1.0)
 
 
 def test_summary_from_histogram(spark, sf_dir):

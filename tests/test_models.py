@@ -163,19 +163,42 @@ def test_token_masks(spark, size):
     assert budget.tokens_kept == sum(min(n, size) for n in full)
 
 
-def test_conversation_pairs(spark):
+def test_conversations_are_kept_whole(spark):
     turns = [
         (1, 0, "system", "be kind"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"),
         (1, 3, "user", "u2"), (1, 4, "assistant", "a2"),
-        (2, 0, "user", "v1"), (2, 1, "user", "v2"), (2, 2, "assistant", "b2"), (2, 3, "user", "v3"),
+        (2, 0, "user", "v1"), (2, 1, "user", "v2"), (2, 2, "assistant", "b2"), (2, 2, "assistant", "b3"),
+        (2, 3, "user", "v3"), (3, 5, "assistant", "c"), (None, 1, "user", "n"), (4, None, "user", None),
     ]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
-    out = {(r.conv_id, r.turn): ([m.content for m in r.messages], r.output) for r in sft.conversation_sft(df).collect()}
-    assert out == {
-        (1, 1): (["be kind", "u1"], "a1"),
-        (1, 3): (["be kind", "u2"], "a2"),
-        (2, 1): (["v2"], "b2"),
-    }
+    rows = sft.conversation_sft(df).collect()
+    assert len(rows) == len(turns)
+    assert sorted(((r.conv_id, r.turn, r.role, r.content) for r in rows), key=repr) == sorted(turns, key=repr)
+    assert {r.content for r in rows if r.target} == {"a1", "a2", "b2", "b3"}
+    assert {r.content for r in rows if r.unanswered} == {"v1", "v3"}
+    assert {r.content for r in rows if r.duplicate} == {"b2", "b3"}
+
+
+def test_answers_must_match_prompts(spark):
+    def few():
+        return lambda texts: ["only one"]
+
+    def many():
+        return lambda texts: [t for t in texts for _ in range(2)]
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "id bigint, text string").coalesce(1)
+    for model in (few, many):
+        rows = infer.batch_infer(df, model, batch_size=2).collect()
+        assert [r.label for r in rows] == [None] * 4 and all("answers for 2 prompts" in r.error for r in rows)
+
+    def silent():
+        return lambda system, user: None
+
+    rows = infer.judge_label_rows(df, silent, pause=0.0).collect()
+    assert {(r.label, r.error, r.attempts) for r in rows} == {(None, "ValueError: no answer", 2)}
+    examples = sft.sft_examples(df.withColumn("label", F.lit("x")))
+    with pytest.raises(Exception, match="tokenizer gave"):
+        sft.sft_tokenize_mask(examples, lambda: lambda texts: [[1]]).collect()
 
 
 def record(i, ok=True):
