@@ -57,11 +57,12 @@ def _aligned(spark, sf_dir, with_feedback=False) -> DataFrame:
 
 
 def _keyed(spark, sf_dir) -> DataFrame:
-    return S.with_strat_key(views.label_gt(spark, sf_dir))
+    """Keyed rows, written once: finding the cuts and labelling rows both read that."""
+    return materialize(S.with_strat_key(views.label_gt(spark, sf_dir)), "keyed")
 
 
 def _split(spark, sf_dir) -> DataFrame:
-    return S.stratified_split(_keyed(spark, sf_dir), max_strata=S.strata_bound(S.STRATIFY_BY))
+    return S.stratified_split(_keyed(spark, sf_dir))
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -161,7 +162,9 @@ def write_splits(spark, sf_dir):
 
 @query
 def metrics_report(spark, sf_dir):
-    verdicts = _validated(spark, sf_dir).withColumnRenamed("id", "pos")
+    truth = views.label_gt(spark, sf_dir).withColumn("system", F.lit("truth"))
+    verdicts = _validated(spark, sf_dir).unionByName(O.validate_lenient(truth))
+    verdicts = verdicts.withColumnRenamed("id", "pos")
     verdicts = materialize(verdicts.select("system", "pos", "reason", "scores"), "verdicts")
     aligned = materialize(_aligned(spark, sf_dir), "aligned")
     per_trait = materialize(metrics.trait_mse(A.compared_traits(aligned)), "traits")
@@ -510,7 +513,7 @@ def stratified_split_labels(spark, sf_dir):
     rows = docs.join(views.table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").alias("id"), F.concat_ws("_", "quality", "toxic").alias("strat_key")
     )
-    return S.stratified_split(rows, max_strata=9)  # two flags, each 0, 1 or NULL
+    return S.stratified_split(rows)
 
 
 @query

@@ -53,5 +53,5 @@ def until_first_error(generated: DataFrame) -> DataFrame:
     """Per trait, the rows before its first failed one. Read ``generated`` from a written
     table: it is scanned twice."""
     failed = generated.where("error is not null").groupBy("trait").agg(F.min("id").alias("_first"))
-    kept = generated.join(F.broadcast(failed), "trait", "left")  # one row per trait
+    kept = generated.join(failed, "trait", "left")
     return kept.where("_first is null or id < _first").drop("_first", "error")

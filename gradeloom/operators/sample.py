@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import hashing as H
-from gradeloom.settings import MAX_BROADCAST_ROWS, SEED
+from gradeloom.session import materialize
+from gradeloom.settings import SEED
 
 
 def head_n_with_id(df: DataFrame, n: int, order_by: str) -> DataFrame:
@@ -88,10 +89,8 @@ def sample_join(
 ) -> DataFrame:
     """The draws with the columns of the drawn rows.
 
-    The draws are the small side: up to ``MAX_BROADCAST_ROWS`` of them (a number known from
-    the arguments) are broadcast, so the wide rows are filtered where they are read.
+    The draws are written first: from their known size Spark decides whether to broadcast
+    them, so that the wide rows are filtered where they are read.
     """
-    draws = sample_with_replacement(df, traits, n, key, seed)
-    if n * len(traits) <= MAX_BROADCAST_ROWS:
-        draws = F.broadcast(draws)
+    draws = materialize(sample_with_replacement(df, traits, n, key, seed), "draws")
     return draws.join(df, key)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gradeloom.functions import hashing as H
 from gradeloom.functions import labels as L
 from gradeloom.operators.labels import parse_label
+from gradeloom.session import materialize
 from gradeloom.settings import (
-    MAX_BROADCAST_ROWS,
     SEED,
     STRATIFY_BY,
     THRESHOLD,
@@ -114,7 +114,7 @@ def _running(hist: DataFrame) -> DataFrame:
     return hist.select("*", F.sum("n").over(upto).alias("through"), F.sum("n").over(w).alias("total"))
 
 
-def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame, hint) -> DataFrame:
+def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame) -> DataFrame:
     """Per stratum, the hash of the last row of ``test`` and of ``val`` in hash order.
 
     The bucket histogram says in which bucket each cut falls; only rows of those buckets
@@ -140,7 +140,7 @@ def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame, hint) -> DataF
         Window.unboundedPreceding, Window.currentRow
     )
     near = (
-        rows.join(hint(found), ["stratum", "bucket"])
+        rows.join(found, ["stratum", "bucket"])
         .groupBy("stratum", "cut", "within", "hash")
         .agg(F.count("*").alias("copies"))
     )
@@ -161,7 +161,6 @@ def stratified_split(
     train_ratio: float = TRAIN_RATIO,
     val_ratio: float = VAL_RATIO,
     on_single: str = "train",
-    max_strata: int | None = None,
 ) -> DataFrame:
     """Add ``split``: exact sizes per stratum, members by seeded hash order of the key.
 
@@ -169,9 +168,8 @@ def stratified_split(
     passes find, per stratum, the hash below which a row is test and below which it is val;
     the rows themselves are then labelled in a map-only pass. Rows with the same key always
     land in the same split.
-
-    ``max_strata``: a bound the caller knows; strata tables up to ``MAX_BROADCAST_ROWS``
-    rows are then broadcast. Without it Spark decides from measured sizes.
+    The cuts are written first, so that Spark knows their size when it decides whether to
+    broadcast them.
     """
     h = H.seeded_hash(key, seed)
     strat = F.coalesce(F.col(stratum), F.lit("unknown"))
@@ -181,9 +179,7 @@ def stratified_split(
     running = _running(rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
     counts = running.where("through = total").select("stratum", F.col("total").alias("n"))
     quotas = split_quotas(counts, train_ratio, val_ratio, on_single)
-    bounded = max_strata is not None and 2 * max_strata <= MAX_BROADCAST_ROWS
-    hint = F.broadcast if bounded else (lambda d: d)
-    cuts = hint(_cuts(rows, quotas, running, hint).withColumnRenamed("stratum", "_stratum"))
+    cuts = materialize(_cuts(rows, quotas, running).withColumnRenamed("stratum", "_stratum"), "cuts")
     out = df.withColumns({"_hash": h, "_st": strat})
     out = out.join(cuts, F.col("_st") == F.col("_stratum"), "left")
     split = (
@@ -194,12 +190,6 @@ def stratified_split(
     return out.select(*df.columns, split.alias("split"))
 
 
-def strata_bound(traits: Sequence[str]) -> int:
-    """How many keys ``with_strat_key`` can give: each trait is high, low or absent, or the
-    whole key is ``unknown``."""
-    return 3 ** len(traits) + 1
-
-
 def stratified_split_hash(
     df: DataFrame,
     key: Sequence[str] = ("id",),

@@ -528,6 +528,7 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
 
 
 def _report() -> str:
+    # The wording and the blank lines that the report must have.
     order = "[" + ", ".join(_q(t) for t in CRITERIA) + "]"
 
     def row(system, part, item, no, text, source, where=""):
@@ -536,11 +537,14 @@ def _report() -> str:
             f"{text} AS line FROM {source} {where}"
         )
 
-    rate = """(SELECT system, count(*) AS total, count(*) FILTER (reason IS NULL) AS valid FROM lenient GROUP BY 1)"""
-    summary = f"({_summary([THRESHOLD])})"
+    rate = """(SELECT system, count(*) AS total, count(*) FILTER (reason IS NULL) AS valid FROM lenient GROUP BY 1
+      UNION ALL SELECT 'truth', count(*), count(*) FROM label_gt)"""
+    scores = "(SELECT system, trait, score FROM long UNION ALL SELECT 'truth', trait, score FROM gt_long)"
+    summary = f"({_summary([THRESHOLD]).replace('FROM long', f'FROM {scores}')})"
     at = f"list_position({order}, trait)"
     errors = """(SELECT *, row_number() OVER (PARTITION BY system ORDER BY id) AS rank FROM lenient WHERE reason IS NOT NULL)"""
     parts = [
+        row("system", 0, 0, -1, "''", rate),
         row("system", 0, 0, 0, f"system || ' check with score threshold {THRESHOLD}:'", rate),
         row("system", 0, 0, 1, "'Valid samples: ' || valid || '/' || total", rate),
         row("system", 0, 0, 2, "'Invalid samples: ' || (total - valid)", rate),
@@ -551,9 +555,15 @@ def _report() -> str:
         row("system", 2, 0, 1, "'Scoring summary:'", rate),
         row("system", 3, at, 0, "''", summary),
         row("system", 3, at, 1, "'Trait: ' || trait", summary),
-        row("system", 3, at, 2, "'  Avg Score: ' || format('{:.2f}', avg_raw)", "(SELECT system, trait, avg(score) AS avg_raw FROM long GROUP BY ALL)"),
+        row("system", 3, at, 2, "'  Avg Score: ' || format('{:.2f}', avg_raw)", f"(SELECT system, trait, avg(score) AS avg_raw FROM {scores} GROUP BY ALL)"),
         row("system", 3, at, 3, f"'  >{THRESHOLD}: ' || n_above || ' | <={THRESHOLD}: ' || n_at_or_below", summary),
         row("system", 3, at, 4, "'  Min: ' || min_score || ', Max: ' || max_score", summary),
+        row("system", 3, len(CRITERIA) + 1, 0, "''", rate),
+        row("system", 3, len(CRITERIA) + 1, 1, "''", rate),
+        row("''", 4, -1, 0, "''", "(SELECT 1)"),
+        row("''", 4, -1, 1, "'MSE Metrics across generated files:'", "(SELECT 1)"),
+        row("''", 4, -1, 2, "''", "(SELECT 1)"),
+        row("system", 4, len(CRITERIA) + 2, 0, "''", "(SELECT DISTINCT system FROM mse)"),
         row("system", 4, 0, 0, "'Generated File: ' || system", "(SELECT DISTINCT system FROM mse)"),
         row("system", 4, at, 0, "'  ' || trait || ': ' || format('{:.4f}', mse)", "mse"),
         row("system", 4, len(CRITERIA) + 1, 0, "'  overall_avg_mse: ' || format('{:.4f}', o)", "(SELECT system, avg(mse) AS o FROM mse GROUP BY 1)"),

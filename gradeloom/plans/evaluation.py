@@ -16,9 +16,13 @@ from gradeloom.settings import CRITERIA, THRESHOLD
 from gradeloom.sources import jsonl, report
 
 
+TRUTH = "ground truth"  # its name among the validated files
+
+
 @dataclass
 class Evaluation:
-    """Results as small tables, and the rendered report lines. ``match`` and
+    """Results as small tables, and the rendered report lines. Validity, summary and errors
+    cover the ground truth too, which is judged like a prediction file. ``match`` and
     ``overall_match`` are None unless feedback was compared."""
 
     validity: DataFrame
@@ -62,10 +66,12 @@ def evaluate_files(
         jsonl.records_of_lines(jsonl.scan_systems(spark, predictions)).drop("value", "text"),
         "records",
     )
-    by_line = by == "pos"  # otherwise the ground truth needs no line numbers
-    lines = jsonl.scan_lines_with_position(spark, truth) if by_line else spark.read.text(truth)
-    truth_records = jsonl.records_of_lines(lines)
-    verdicts = validate_records(records, criteria).select("system", "pos", "reason", "scores")
+    truth_lines = jsonl.scan_lines_with_position(spark, truth)
+    truth_records = materialize(
+        jsonl.records_of_lines(truth_lines).drop("value", "text"), "truth-records"
+    )
+    every = records.unionByName(truth_records.withColumn("system", F.lit(TRUTH)))
+    verdicts = validate_records(every, criteria).select("system", "pos", "reason", "scores")
     verdicts = materialize(verdicts, "verdicts")
     aligned = A.align(
         records.select("system", by, "label"),

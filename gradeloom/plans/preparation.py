@@ -61,7 +61,6 @@ def clean_and_split(
         seed=seed,
         train_ratio=train_ratio,
         val_ratio=val_ratio,
-        max_strata=S.strata_bound(traits),
     )
     jsonl.write_partitioned(split.drop("strat_key"), output, "split")
     return spark.read.schema(f"{jsonl.RECORD_SCHEMA}, split STRING").json(output)

@@ -17,7 +17,3 @@ VAL_RATIO = 0.1
 SEED = 42
 MAX_TOKENS = 1024
 IGNORE_INDEX = -100
-
-# A table joined through a broadcast hint must have at most this many narrow rows,
-# known from a parameter before the job runs.
-MAX_BROADCAST_ROWS = 1_000_000

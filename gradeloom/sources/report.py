@@ -13,6 +13,9 @@ from gradeloom.operators.labels import union_sources
 from gradeloom.settings import CRITERIA
 
 
+# The wording and the blank lines of the report, below.
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A number with ``digits`` decimals, rounded on its exact binary value. Python's own
     formatting; used on report lines only, of which there are a few per system."""
@@ -54,6 +57,7 @@ def validity_report(
     store it first."""
     head = _lines(
         M.validity_rate(validated),
+        _line(0, 0, -1, ""),
         _line(0, 0, 0, F.concat("system", F.lit(f" check with score threshold {threshold}:"))),
         _line(0, 0, 1, F.format_string("Valid samples: %d/%d", "valid", "total")),
         _line(0, 0, 2, F.format_string("Invalid samples: %d", "invalid")),
@@ -61,6 +65,8 @@ def validity_report(
         _line(0, 0, 4, f"Sample errors (up to {shown_errors} shown):"),
         _line(2, 0, 0, ""),
         _line(2, 0, 1, "Scoring summary:"),
+        _line(3, len(criteria) + 1, 0, ""),
+        _line(3, len(criteria) + 1, 1, ""),
     )
     errors = _lines(
         M.first_k_errors(validated, shown_errors),
@@ -115,12 +121,21 @@ def comparison_report(
     criteria: Sequence[str] = CRITERIA,
     match: DataFrame | None = None,
 ) -> DataFrame:
-    """The same columns for the comparison block; the coverage line has a NULL system.
+    """The same columns for the comparison block; its title and the coverage line have a NULL
+    system. Each system's values are followed by a blank line.
     ``match``: precision, recall and F1 per trait, to be listed beside the MSE."""
     at, last = _index("trait", criteria), F.lit(len(criteria) + 1)
     head = _lines(
         per_trait.select("system").distinct(),
         _line(4, 0, 0, F.concat(F.lit("Generated File: "), "system")),
+        _line(4, len(criteria) + 2, 0, ""),
+    )
+    kind = "MSE" if match is None else "MSE and Match"
+    title = _lines(
+        coverage.withColumn("system", F.lit(None).cast("string")),
+        _line(4, -1, 0, ""),
+        _line(4, -1, 1, f"{kind} Metrics across generated files:"),
+        _line(4, -1, 2, ""),
     )
     if match is None:
         values = [
@@ -159,7 +174,7 @@ def comparison_report(
             ),
         ),
     )
-    return union_sources(head, *values, foot)
+    return union_sources(title, head, *values, foot)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
@@ -168,6 +183,7 @@ def write_report(lines: DataFrame, path: str) -> None:
     order = ["part", "item", "line_no"]
     if "block" in lines.columns:  # several thresholds: a block per system and threshold
         order = ["block", *order]
-    validity = F.col("part") >= 4
-    rank = [validity, F.col("system").asc_nulls_last(), *order]
+    part = F.col("part")
+    section = F.when(part < 4, 0).when(F.col("item") < 0, 1).when(part == 4, 2).otherwise(3)
+    rank = [section, F.col("system").asc_nulls_last(), *order]
     lines.coalesce(1).sortWithinPartitions(*rank).select("line").write.mode("overwrite").text(path)

@@ -295,7 +295,10 @@ def test_evaluate_files_by_id_and_position(spark, tmp_path):
     out = str(tmp_path / "report")
     report.write_report(ev.lines, out)
     text = [r.value for r in spark.read.text(out).collect()]
-    assert text[:3] == ["good check with score threshold 6:", "Valid samples: 6/6", "Invalid samples: 0"]
+    head = ["", "{} check with score threshold 6:", "Valid samples: 6/6", "Invalid samples: 0", ""]
+    assert text[:5] == [x.format("good") for x in head]
+    at = text.index("ground truth check with score threshold 6:")
+    assert text[at - 1 : at + 4] == [x.format("ground truth") for x in head]
     assert "  Avg Score: 6.00" in text and "  >6: 0 | <=6: 6" in text
     assert "Generated File: lost" in text and "  overall_avg_mse: 4.4000" in text
     assert text[-1].startswith("Compared 5/5 lines successfully")
@@ -314,11 +317,12 @@ def test_evaluate_files_with_feedback(spark, tmp_path):
     report.write_report(ev.lines, str(tmp_path / "r"))
     text = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
     assert text.index("s check with score threshold 3:") < text.index("s check with score threshold 6:")
-    assert text[-12:-1] == [
+    assert text[-18:-1] == [
+        "", "", "", "MSE and Match Metrics across generated files:", "",
         "Generated File: s",
         "  p: 0.0000", "  p_match_precision: 1.0000", "  p_match_recall: 0.5000", "  p_match_f1: 0.6667",
         "  q: 1.0000", "  q_match_precision: 1.0000", "  q_match_recall: 1.0000", "  q_match_f1: 1.0000",
-        "  overall_avg_mse: 0.5000", "  overall_avg_match_f1: 0.8333",
+        "  overall_avg_mse: 0.5000", "  overall_avg_match_f1: 0.8333", "",
     ]
     assert text[-1].startswith("Compared 2/2")
 
