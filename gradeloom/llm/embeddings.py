@@ -213,7 +213,11 @@ def _joined(vectors: DataFrame, link: float) -> tuple[DataFrame, DataFrame]:
         rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
             "key", "vec_id", "size", F.coalesce("root", "key").alias("root")
         )
-        smallest = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+        rooted = scratch.save(rooted, "emb-rooted")
+        # Written first, so that a large component is a plain join key, which Spark splits.
+        smallest = scratch.save(
+            rooted.groupBy("root").agg(F.min("vec_id").alias("component_id")), "emb-smallest"
+        )
         known = rooted.join(smallest, "root").join(degree, rooted["key"] == degree["u"], "left")
         known = save(
             known.select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")),

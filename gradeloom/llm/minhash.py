@@ -299,7 +299,11 @@ def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         rooted = classes.join(joined, classes["key"] == joined["node"], "left").select(
             "key", "doc_id", F.coalesce("root", "key").alias("root")
         )
-        smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        rooted = scratch.save(rooted, "near-rooted")
+        # Written first, so that a large component is a plain join key, which Spark splits.
+        smallest = scratch.save(
+            rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-smallest"
+        )
         known = rooted.select("key", "root").join(smallest, "root")
         return rows, save(known, "near-known")
 
