@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import decontaminate, minhash, mixing, quality, repeats
-from gradeloom.llm.common import recorded, release, save, table
+from gradeloom.llm.common import recorded, release, save, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,6 +28,7 @@ def _stage(build: Stage) -> Stage:
 
     @wraps(build)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
         release(spark, left, docs)
         with recorded(left):

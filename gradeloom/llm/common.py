@@ -16,8 +16,17 @@ from gradeloom.session import prepare, scratch_path
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks get texts in batches of this many bytes, or one row if it is longer; a
+    batch is held by the JVM and by Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
+    small_batches(prepare(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -78,8 +78,10 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     counts = []
     for label in (1, 0):
-        own = [r for r, v in zip(rows, y) if v == label]
-        c = np.bincount(np.concatenate(own), minlength=DIMENSIONS) + SMOOTH
+        c = np.full(DIMENSIONS, SMOOTH)
+        for r, v in zip(rows, y):
+            if v == label:
+                c[r] += 1  # a row names a feature once
         counts.append(c / c.sum())
     return np.log(counts[0] / counts[1])
 
@@ -91,10 +93,7 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, seed: int = 0) -> np.ndarra
     for its variable exactly. Rows are scaled to unit length.
     """
     ratio = log_count_ratio(rows, y)
-    values = []
-    for r in rows:
-        v = ratio[r]
-        values.append(v / max(1e-12, np.sqrt(v @ v)))
+    scale = [1 / max(1e-12, np.sqrt(ratio[r] @ ratio[r])) for r in rows]
     weights, bias = np.zeros(DIMENSIONS), 0.0
     alpha, sign = np.zeros(len(rows)), np.where(y == 1, 1.0, -1.0)
     # Both classes get the same total penalty.
@@ -103,7 +102,8 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, seed: int = 0) -> np.ndarra
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] * scale[i]
             gradient = sign[i] * (weights[r] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / (v @ v + 1.0), 0.0), cost[i])
             if new != alpha[i]:
@@ -184,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"doc_id {kind}, y int, features binary").toArrow()
-    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["features"].to_pylist()]
+    # Views into one buffer: the sample is held once.
+    data, at = W.text_bytes(got["features"])
+    rows = [data[i:j].view(np.int32) for i, j in zip(at[:-1], at[1:])]
     ids = got["doc_id"].to_numpy()
     order = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tobytes()))
     y = got["y"].to_numpy()
