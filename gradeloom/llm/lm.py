@@ -6,34 +6,47 @@ words of a class. It is trained in numpy where the documents are: every task mak
 over its documents from the shared parameters, and the parameters are averaged by words
 seen. A document's score is the sum of the log-probabilities of all its words, each
 predicted from both sides.
+
+The network's words and classes grow with the square root of the number of distinct words.
+Words it has no number for share hashed places; such a word's probability is that of its place
+times the word's share ``n(word) / n(place)``, so every word has one of its own and all of
+them add up to 1. The shares come from a join of each chunk's distinct rare words with the counts
+of all words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gradeloom.llm import wordhash as W
-from gradeloom.llm.common import Scratch, with_columns
+from gradeloom.llm.common import Scratch, save, with_columns
 
-CLASSES, PER_CLASS, OTHERS = 32, 32, 64
-WORDS = CLASSES * PER_CLASS  # known words, and OTHERS hashed places for all the rest
-EDGE = WORDS  # what stands beyond the ends of a text
+LEAST_CLASSES = 32  # of a small table
+WORDS = LEAST_CLASSES**2
+EDGE = -1  # what stands beyond the ends of a text: the last row of an embedding
 REACH, WIDTH = (-2, -1, 1, 2), 16
 STEP, LEARN_STEP, RATE, ROUNDS = 16_384, 4_096, 0.15, 1
 SPREAD = 1 << 20  # distinct words that a task holds before it passes counts on
-_SHAPES = {
-    "embed": (len(REACH), WORDS + 1, WIDTH),
-    "shift": (WIDTH,),
-    "class": (WIDTH, CLASSES),
-    "class_bias": (CLASSES,),
-    "word": (CLASSES, WIDTH, PER_CLASS),
-    "word_bias": (CLASSES, PER_CLASS),
-}
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    """Of the parameters of a network with so many classes of as many words."""
+    return {
+        "embed": (len(REACH), classes * classes + 1, WIDTH),
+        "shift": (WIDTH,),
+        "class": (WIDTH, classes),
+        "class_bias": (classes,),
+        "word": (classes, WIDTH, classes),
+        "word_bias": (classes, classes),
+    }
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,31 +88,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The most frequent words get a number by rank; all others share hashed places."""
+    """The most frequent words get a number by rank; all others share hashed places.
+
+    ``hashes`` are the words with a number, ``place_counts`` how often the others occur, place by
+    place.
+    """
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], place_counts: np.ndarray, classes: int):
         top = np.array(hashes, np.int64).view(np.uint64)
         order = np.argsort(top)
-        self.sorted, self.rank = top[order], order
+        self.sorted, self.rank, self.classes = top[order], order, classes
+        self.known = classes * classes - len(place_counts)
+        self.place_logs = np.log(np.maximum(place_counts, 1))
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        other = WORDS - OTHERS + (h % np.uint64(OTHERS)).astype(np.int64)
+        other = self.known + (h % np.uint64(len(self.place_logs))).astype(np.int64)
         if not len(self.sorted):
             return other
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.rank[at], other)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    top = word_counts(docs).orderBy(F.desc("n"), "h").limit(WORDS - OTHERS)
-    return Vocabulary([r["h"] for r in top.collect()])
+def class_count(distinct: int) -> int:
+    """So many classes of as many words: twice the square root of the distinct words in all."""
+    return max(LEAST_CLASSES, math.ceil(math.sqrt(2 * math.sqrt(distinct))))
 
 
-def start_parameters(seed: int = 3) -> dict[str, np.ndarray]:
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """From ``counts(h, n)`` of all words."""
+    classes = class_count(counts.count())
+    places = 1 << (classes * classes // 16).bit_length() - 1  # h's low bits name the place
+    top = counts.orderBy(F.desc("n"), "h").limit(classes * classes - places).collect()
+    place = F.col("h").bitwiseAND(F.lit(places - 1)).alias("place")
+    rest = np.zeros(places, np.int64)
+    for r in counts.groupBy(place).agg(F.sum("n").alias("n")).collect():
+        rest[r["place"]] = r["n"]
+    for r in top:
+        rest[r["h"] & places - 1] -= r["n"]
+    return Vocabulary([r["h"] for r in top], rest, classes)
+
+
+def start_parameters(seed: int = 3, classes: int = LEAST_CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     return {
         k: (rng.standard_normal(s) * 0.1 if "bias" not in k and k != "shift" else np.zeros(s)).astype(np.float32)
-        for k, s in _SHAPES.items()
+        for k, s in shapes(classes).items()
     }
 
 
@@ -122,11 +155,11 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn: bool = False):
     """The log-probability of each word; with ``learn`` also the gradients of their negative mean."""
-    n = len(ids)
-    cls, word = ids // PER_CLASS, ids % PER_CLASS
+    n, classes, per_class = len(ids), len(p["word_bias"]), p["word_bias"].shape[1]
+    cls, word = ids // per_class, ids % per_class
     # Words in order of their class, so that a class is a slice.
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    border = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    border = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
     around, cls, word, column = around[:, order], cls[order], word[order], np.arange(n)
     hidden = p["embed"][0][around[0]]
     for k in range(1, len(REACH)):
@@ -140,7 +173,7 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn
         d[cls, column] -= 1
         grad["class"], grad["class_bias"] = (d @ hidden).T, d.sum(1)
         back = (p["class"] @ d).T
-    for c in range(CLASSES):
+    for c in range(classes):
         i, j = border[c], border[c + 1]
         if i == j:
             continue
@@ -158,8 +191,9 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn
         return out
     back = back * (1 - hidden * hidden)
     grad["shift"] = back.sum(0)
+    narrow = np.int16 if classes * per_class < 1 << 15 else np.int32  # 16 bits sort faster
     for k in range(len(REACH)):
-        by = np.argsort(around[k].astype(np.int16), kind="stable")
+        by = np.argsort(around[k].astype(narrow), kind="stable")
         own = around[k][by]
         start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         grad["embed"][k][own[start]] = np.add.reduceat(back[by], start, axis=0)
@@ -167,12 +201,12 @@ def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn
 
 
 def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _SHAPES])
+    return np.concatenate([x.ravel() for x in p.values()])
 
 
-def _unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _unpack(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in shapes(classes).items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -218,7 +252,7 @@ def _averaged(sums: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` passes over all documents."""
-    p = start_parameters()
+    p = start_parameters(classes=words.classes)
     sc = docs.sparkSession.sparkContext
     for turn in range(rounds):
         shared = sc.broadcast((p, words))
@@ -246,46 +280,117 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> dict[str,
             got = _averaged(scratch.save(sums, "lm-sums")).collect()
         if not got:
             break
-        p = _unpack(np.frombuffer(got[0]["total"], np.float64) / got[0]["words"])
+        p = _unpack(np.frombuffer(got[0]["total"], np.float64) / got[0]["words"], words.classes)
     return p
 
 
-def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``*keep, n_words, log_prob, mean_log_prob`` per row of ``docs`` with a ``text``.
-
-    Words are runs of non-white-space, A-Z lower-cased. Null, empty and blank texts have no
-    words, a sum of 0 and a null mean. Repeated rows get the same score. An empty table gives
-    an empty result. Vocabulary and network come from all documents.
-    """
-    words = vocabulary(docs)
+def _packed(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk, each with the numbers of its rare words, and one more row with
+    the distinct rare words of all of them in the order of these numbers."""
+    kept, n, sums, rare, per = zip(*held)
+    h, at = np.unique(np.concatenate(rare), return_inverse=True)
+    raw = at.astype(np.int32).tobytes()
+    border = (4 * np.append(0, np.cumsum(np.concatenate(per)))).tolist()
+    kept = pa.concat_arrays(kept)
+    rows = len(kept)
+    names = ["kept", "chunk", "is_row", "n_words", "sum", "rare", "words"]
+    yield pa.RecordBatch.from_arrays(
+        [
+            kept,
+            pa.array(np.full(rows, chunk)),
+            pa.array(np.ones(rows, bool)),
+            pa.array(np.concatenate(n)),
+            pa.array(np.concatenate(sums)),
+            pa.array([raw[i:j] for i, j in zip(border[:-1], border[1:])], pa.binary()),
+            pa.nulls(rows, pa.list_(pa.int64())),
+        ],
+        names,
+    )
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(1, kept.type),
+            pa.array([chunk]),
+            pa.array([False]),
+            pa.nulls(1, pa.int64()),
+            pa.nulls(1, pa.float64()),
+            pa.nulls(1, pa.binary()),
+            pa.array([h.view(np.int64)], pa.list_(pa.int64())),
+        ],
+        names,
+    )
+
+
+def _scored(docs: DataFrame, keep: tuple[str, ...], words: Vocabulary) -> DataFrame:
+    """Chunks of scored rows as of ``_packed``; ``sum`` is still without the rare words' counts."""
     shared = docs.sparkSession.sparkContext.broadcast((train(docs, words), words))
-    frame = docs.select(*keep, "text")
+    frame = docs.select(F.struct(*keep).alias("kept"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, words = shared.value
+        chunk, size, held = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            n, sums = [], []
-            for h, first in _tokens(batch.column(len(keep))):
-                total = np.zeros(len(h) + 1)
+            row = 0
+            for h, first in _tokens(batch.column(1)):
+                total, rare = np.zeros(len(h) + 1), np.zeros(len(h) + 1, np.int64)
+                found = h
                 if len(h):
                     ids = words.ids(h)
                     around = contexts(ids, first)
-                    each = [
+                    each = np.concatenate([
                         forward(p, around[:, i : i + STEP], ids[i : i + STEP])
                         for i in range(0, len(ids), STEP)
-                    ]
-                    np.cumsum(np.concatenate(each), out=total[1:], dtype=np.float64)
-                n.append(np.diff(first))
-                sums.append(total[first[1:]] - total[first[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i in range(len(keep))],
-                    pa.array(np.concatenate(n) if n else [], pa.int64()),
-                    pa.array(np.concatenate(sums) if sums else [], pa.float64()),
-                ],
-                [*keep, "n_words", "log_prob"],
-            )
+                    ]).astype(np.float64)
+                    other = ids >= words.known
+                    each[other] -= words.place_logs[ids[other] - words.known]
+                    np.cumsum(each, out=total[1:])
+                    np.cumsum(other, out=rare[1:])
+                    found = h[other]
+                rows = len(first) - 1
+                held.append((
+                    batch.column(0).slice(row, rows), np.diff(first), total[first[1:]] - total[first[:-1]],
+                    found, rare[first[1:]] - rare[first[:-1]],
+                ))
+                row += rows
+                size += len(found) + rows
+                if size > SPREAD:
+                    yield from _packed(chunk, held)
+                    chunk, size, held = chunk + 1, 0, []
+        if held:
+            yield from _packed(chunk, held)
+
+    extra = "chunk bigint, is_row boolean, n_words bigint, sum double, rare binary, words array<bigint>"
+    kept = StructField("kept", frame.schema["kept"].dataType, True)  # the chunk's words have none
+    return frame.mapInArrow(run, StructType([kept, *StructType.fromDDL(extra).fields]))
+
+
+def _with_counts(rows: pa.Table, logs: pa.Table) -> pa.Table:
+    """The rows of a chunk, with the logarithms of their rare words' counts added."""
+    place = logs["place"].to_numpy()
+    value = np.zeros(int(place.max()) + 1 if len(place) else 1)
+    value[place] = logs["log_n"].to_numpy()
+    raw = rows["rare"].to_pylist()
+    at = np.frombuffer(b"".join(raw), np.int32)
+    owner = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
+    # Words that occur once are not in ``logs``: the logarithm is 0.
+    each = np.where(at < len(value), value[np.minimum(at, len(value) - 1)], 0.0)
+    sums = rows["sum"].to_numpy() + np.bincount(owner, each, len(raw))
+    return pa.table({"kept": rows["kept"], "n_words": rows["n_words"], "log_prob": pa.array(sums)})
+
 
-    scored = frame.mapInArrow(run, with_columns(docs, keep, "n_words bigint, log_prob double"))
+def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``*keep, n_words, log_prob, mean_log_prob`` per row of ``docs`` with a ``text``.
+
+    Words are runs of non-white-space, A-Z lower-cased. Null, empty and blank texts have no
+    words, a sum of 0 and a null mean. Repeated rows get the same score. An empty table gives
+    an empty result. Vocabulary and network come from all documents.
+    """
+    counts = save(word_counts(docs), "lm-counts")
+    chunks = save(_scored(docs, keep, vocabulary(counts)), "lm-scored")
+    rare = chunks.where("NOT is_row").select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "h"))
+    logs = rare.join(counts.where("n > 1").select("h", F.ln("n").alias("log_n")), "h").drop("h")
+    rows = chunks.where("is_row").select("chunk", "kept", "n_words", "sum", "rare")
+    scored = rows.groupBy("chunk").cogroup(logs.groupBy("of")).applyInArrow(
+        _with_counts, with_columns(chunks, ("kept", "n_words"), "log_prob double")
+    )
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return scored.select("*", mean.alias("mean_log_prob"))
+    return scored.select("kept.*", "n_words", "log_prob", mean.alias("mean_log_prob"))

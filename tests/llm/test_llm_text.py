@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import llm_brute as brute
@@ -224,6 +225,31 @@ def test_lm_learns_what_stands_around(spark):
     assert mean > -np.log(60) * 0.85
 
 
+def test_lm_tells_rare_words_apart(spark):
+    """Words without a number of their own are scored by their own counts: of two in one place
+    and between the same neighbours, the ratio of probabilities is that of the counts."""
+    from gradeloom.llm import wordhash as W
+
+    many = [f"w{i}" for i in range(3000)]
+    rare = [f"r{i}" for i in range(400)]
+    data, offsets = W.text_bytes(pa.array(rare))
+    places = W.word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(64)
+    two = next((a, b) for b in range(400) for a in range(b) if places[a] == places[b])
+    a, b = rare[two[0]], rare[two[1]]
+    docs = [(0, f"w1 w2 {a} w3 w4"), (1, f"w1 w2 {b} w3 w4"), (1, f"w1 w2 {b} w3 w4"), (2, f"{b} {b}")]
+    docs += [(10 + k, " ".join(many)) for k in range(9)]
+    got = {r["doc_id"]: r["log_prob"] for r in lm.score(frame(spark, docs)).collect()}
+    assert got[1] - got[0] == pytest.approx(np.log(4), abs=1e-6)
+
+
+def test_lm_network_grows_with_the_distinct_words(spark):
+    docs = [(i, " ".join(f"w{j}" for j in range(i * 5000, i * 5000 + 5000))) for i in range(80)]
+    counts = lm.word_counts(frame(spark, docs, 8))
+    words = lm.vocabulary(counts)
+    assert words.classes > lm.vocabulary(counts.limit(1000)).classes
+    assert len(words.sorted) + len(words.place_logs) == words.classes**2
+
+
 @pytest.mark.parametrize("run", [
     lambda d, s: minhash.near_duplicates(d), lambda d, s: minhash.deduplicate(d),
     lambda d, s: repeats.repeats(d), lambda d, s: repeats.remove_repeats(d), lambda d, s: lm.score(d),
