@@ -19,6 +19,8 @@ from gradeloom.llm.common import recorded, release, save, small_batches, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+NEAR_PERCENT = 80  # op2 by itself links from 85 on
+
 _LEFT: dict[str, list[str]] = {}
 
 
@@ -48,7 +50,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 @_stage

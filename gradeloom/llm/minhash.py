@@ -9,7 +9,9 @@ equal sets are one class from the start, so copies are never paired.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,26 @@ from gradeloom.llm.components import components
 
 SHINGLE = 5
 LINK_PERCENT = 85
-BANDS, BAND_ROWS = 32, 6  # a pair at 0.85 misses all buckets with probability 3e-7
-MINIMA = BANDS * BAND_ROWS
+MINIMA, MISS = 192, 1e-6  # about so many minima; a pair at the threshold misses all buckets so rarely
 TILE = 256  # texts of a large block that are held in memory at once, twice
-_RNG = np.random.default_rng(20)
-_A = _RNG.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, MINIMA, np.uint64)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest bands that still find the pairs at the threshold. 32 of 6
+    for 85 (3e-7), 39 of 5 for 80 (2e-7)."""
+    t = percent / 100
+    for rows in range(8, 0, -1):
+        bands = -(-MINIMA // rows)
+        if (1 - t**rows) ** bands <= MISS:
+            return bands, rows
+    return math.ceil(math.log(MISS) / math.log(1 - t)), 1
+
+
+@cache
+def _hashes(minima: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    a = rng.integers(0, 1 << 63, minima, np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 1 << 63, minima, np.uint64)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,10 +80,11 @@ def set_keys(values: np.ndarray, at: np.ndarray) -> list[bytes | None]:
     return [packed[16 * i : 16 * i + 16] if n else None for i, n in enumerate(size)]
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``MINIMA`` minima per non-empty set, by multiply-and-add hashes, high halves."""
+def signatures(values: np.ndarray, at: np.ndarray, minima: int = MINIMA) -> np.ndarray:
+    """``minima`` minima per non-empty set, by multiply-and-add hashes, high halves."""
+    factor, shift = _hashes(minima)
     full = np.flatnonzero(np.diff(at))
-    out = np.empty((len(full), MINIMA), np.uint32)
+    out = np.empty((len(full), minima), np.uint32)
     # Sets are taken in runs that fit the cache; a longer set is a run of its own.
     i = 0
     while i < len(full):
@@ -77,23 +94,25 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         run = values[at[full[i]] : at[full[j - 1] + 1]]
         starts = at[full[i:j]] - at[full[i]]
         work = np.empty_like(run)
-        for k in range(MINIMA):
-            np.multiply(run, _A[k], out=work)
-            work += _B[k]
+        for k in range(minima):
+            np.multiply(run, factor[k], out=work)
+            work += shift[k]
             out[i:j, k] = np.minimum.reduceat(work, starts) >> np.uint64(32)
         i = j
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    h = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        h = W.mix(h * np.uint64(31) + sig[:, k::BAND_ROWS].astype(np.uint64))
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = sig.shape[1] // rows
+    h = np.zeros((len(sig), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        h = W.mix(h * np.uint64(31) + sig[:, k::rows].astype(np.uint64))
     return h.view(np.int64)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, percent: int) -> DataFrame:
     """``doc_id, place, n, key, sig, bands`` per document, in one pass."""
+    n_bands, n_rows = banding(percent)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +121,8 @@ def _scan(docs: DataFrame) -> DataFrame:
             for values, at in shingle_sets(batch.column(2)):
                 n.append(np.diff(at))
                 own = set_keys(values, at)
-                sig = signatures(values, at)
-                h = iter(band_hashes(sig))
+                sig = signatures(values, at, n_bands * n_rows)
+                h = iter(band_hashes(sig, n_rows))
                 small = iter(sig.astype(np.uint8))
                 keys += own
                 for k in own:
@@ -174,7 +193,8 @@ def confirm(sigs: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, percent
     g = len(sets)
     size = np.array([len(s) for s in sets])
     t = percent / 100
-    least = MINIMA * (t - 5 * np.sqrt(t * (1 - t) / MINIMA))
+    minima = sigs.shape[1]
+    least = minima * (t - 5 * np.sqrt(t * (1 - t) / minima))
     forest, out = Forest(g), []
     across = parts.min() != parts.max()
     names = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -218,7 +238,7 @@ def _confirmed(placed: DataFrame, percent: int) -> DataFrame:
                 j += 1
             own = order[i:j]
             if len(own) > 1:
-                sig = np.frombuffer(b"".join(sigs[k] for k in own), np.uint8).reshape(len(own), MINIMA)
+                sig = np.frombuffer(b"".join(sigs[k] for k in own), np.uint8).reshape(len(own), -1)
                 members = [np.frombuffer(sets[k], np.uint64) for k in own]
                 for a, b in confirm(sig, members, parts[own], percent):
                     u.append(keys[own[a]])
@@ -278,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
 def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, place, n, key`` of every row, and ``key, root, component_id`` of every set."""
     with Scratch(docs.sparkSession) as scratch:
-        scan = scratch.save(_scan(docs), "near-scan")
+        scan = scratch.save(_scan(docs, percent), "near-scan")
         rows = save(scan.select("doc_id", "place", "n", "key"), "near-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "place", "sig", "bands"))
         classes = scratch.save(

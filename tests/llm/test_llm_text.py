@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 import llm_brute as brute
 from gradeloom.llm import decontaminate, lm, minhash, quality, repeats
 from gradeloom.llm.components import components
@@ -76,6 +77,36 @@ def test_deduplicate_keeps_one_of_each(spark, rows):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(best.values(), key=repr)
 
 
+def test_pipeline_takes_near_copies_from_80_percent_on(spark):
+    """Pairs planted on both sides of 0.80, and between it and 0.85."""
+    rng, docs = random.Random(9), []
+    for i in range(120):
+        own = words(rng, 104, 10**6)
+        docs.append((2 * i, " ".join(own)))
+        # Each changed word far from the others takes five of the 100 shingles.
+        for k in range(1 + i % 4):
+            own[10 + 20 * k] = "changed"
+        docs.append((2 * i + 1, " ".join(own[: len(own) - i % 3])))
+    docs = [(d, t, "s") for d, t in docs]
+    pairs = list(map(tuple, zip(*[iter(docs)] * 2)))
+    share = [
+        len(a & b) / len(a | b)
+        for a, b in ((brute.shingles(x[1]), brute.shingles(y[1])) for x, y in pairs)
+    ]
+    assert sum(0.8 <= x < 0.85 for x in share) >= 20 and min(share) < 0.8
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, "").collect()
+    want = {c for _, _, c, _ in brute.near([d[:2] for d in docs], 80)}
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+
+
+def test_bands_find_pairs_at_the_threshold():
+    for percent in (5, 50, 80, 85, 100):
+        bands, each = minhash.banding(percent)
+        assert (1 - (percent / 100) ** each) ** bands <= 1e-6
+    assert minhash.banding(85) == (32, 6)
+
+
 def test_repeats(spark, rows):
     got = found(
         repeats.repeats(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
