@@ -7,7 +7,19 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, embeddings, html, lm, minhash, mixing, quality, repeats, urls, warc
+from gradeloom.llm import (
+    decontaminate,
+    embeddings,
+    html,
+    licenses,
+    lm,
+    minhash,
+    mixing,
+    quality,
+    repeats,
+    urls,
+    warc,
+)
 from gradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +69,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("n_kept", "detections")
+
+
 QUERIES: dict[str, Query] = {
     "op1_extract_html": op1_extract_html,
     "op2_minhash": op2_minhash,
@@ -68,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
+    "op13_licenses": op13_licenses,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -75,5 +92,6 @@ SQL: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
     "op7_url_filter": urls.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_licenses": licenses.SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

@@ -57,7 +57,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     good = [d for d, _ in old if labels.get(d) == 1]
     assert sum(d in kept for d in good) >= 0.9 * len(good)
     old, new = seen["near_duplicates"]
-    want = {c for _, _, c, _ in brute.near(list(map(tuple, old)))}
+    want = {c for _, _, c, _ in brute.near(list(map(tuple, old)), corpus_pipeline.NEAR_PERCENT)}
     assert {r[0] for r in new} == want and len(new) == len(want)
     old, new = seen["repeats"]
     want = {d: n - gone for d, n, gone, _, _ in brute.repeats(list(map(tuple, old)))}
