@@ -19,6 +19,7 @@ from gradeloom.llm import (
     repeats,
     urls,
     warc,
+    whitening,
 )
 from gradeloom.llm.common import table
 
@@ -69,6 +70,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("n_kept", "detections")
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
+    "op12_whitening": op12_whitening,
     "op13_licenses": op13_licenses,
     "pipeline": corpus_pipeline.run,
 }
