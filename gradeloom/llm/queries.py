@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.llm import (
     decontaminate,
+    dialogue,
     embeddings,
     html,
     licenses,
@@ -70,6 +71,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_decontaminate": op10_decontaminate,
+    "op11_repair_conversations": op11_repair_conversations,
     "op12_whitening": op12_whitening,
     "op13_licenses": op13_licenses,
     "pipeline": corpus_pipeline.run,
@@ -98,6 +104,7 @@ SQL: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
     "op7_url_filter": urls.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_repair_conversations": dialogue.SQL,
     "op13_licenses": licenses.SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
