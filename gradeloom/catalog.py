@@ -13,7 +13,7 @@ from gradeloom.functions import labels as L
 from gradeloom.functions import prompts as P
 from gradeloom.functions import text as TX
 from gradeloom.operators import align as A
-from gradeloom.operators import augment, infer, match, metrics, sample, sft
+from gradeloom.operators import augment, history, infer, match, metrics, sample, sft
 from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
 from gradeloom.session import materialize, prepare, scratch_path
@@ -28,6 +28,7 @@ SWEEP = (3, 5, 6, 8)
 HEAD_N = 100
 DRAWS = 200
 AUGMENT_DRAWS = 50
+HISTORY_TOKENS = 200
 TRAITS_TO_AUGMENT = tuple(P.PERSONAS)
 
 
@@ -86,6 +87,35 @@ def scan_jsonl_folder(spark, sf_dir):
     return df.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "trait")
 
 
+@query
+def scan_unread_keys(spark, sf_dir):
+    """Keys that no schema names, through scan, clean, split, write and scan."""
+    labels = views.label_gt(spark, sf_dir)
+    docs = views.documents(spark, sf_dir)
+    records = labels.join(docs, labels.id == docs.doc_id).select(
+        F.to_json(
+            F.struct(
+                "id", "text", "label",
+                F.struct("lang", F.struct("source", "n_chars").alias("origin")).alias("meta"),
+                F.when(F.col("id") % 3 == 0, F.array("id", F.lit(1))).alias("note"),
+            )
+        ).alias("value")
+    )
+    root = scratch_path(spark, "unread")
+    records.write.text(f"{root}/in")
+    rows = O.project_labeled(jsonl.scan_records(spark, [f"{root}/in"]), keep=("rest",))
+    keyed = materialize(S.with_strat_key(O.clean_labels(rows)), "keyed")
+    jsonl.write_partitioned(S.stratified_split(keyed).drop("strat_key"), f"{root}/out", "split")
+    df = jsonl.scan_split(spark, f"{root}/out", "split")
+    return df.select(
+        "id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "split",
+        F.expr("try_variant_get(rest, '$.meta.lang', 'string')").alias("lang"),
+        F.expr("try_variant_get(rest, '$.meta.origin.source', 'string')").alias("source"),
+        F.expr("try_variant_get(rest, '$.meta.origin.n_chars', 'bigint')").alias("n_chars"),
+        F.expr("try_variant_get(rest, '$.note[0]', 'bigint')").alias("note"),
+    )
+
+
 @query
 def scan_jsonl_skip_blank(spark, sf_dir):
     path = scratch_path(spark, "blank")
@@ -598,3 +628,15 @@ def conversation_sft(spark, sf_dir):
     df = sft.conversation_sft(views.table(spark, sf_dir, "conversations"))
     content = F.md5(F.col("content").cast("binary")).alias("content_md5")
     return df.select("conv_id", "turn", "role", content, "target", "unanswered", "duplicate")
+
+
+@query
+def conversation_messages(spark, sf_dir):
+    df = history.conversation_messages(views.table(spark, sf_dir, "conversations"), HISTORY_TOKENS)
+    whole = F.expr("array_join(transform(messages, m -> concat(m.role, ':', m.content)), '\n')")
+    return df.select(
+        "conv_id", "turn", F.size("messages").cast("bigint").alias("n_messages"), "n_tokens",
+        F.md5(whole.cast("binary")).alias("messages_md5"),
+        F.md5(F.col("output").cast("binary")).alias("output_md5"), "answers",
+    )
+

@@ -141,10 +141,11 @@ def traits_to_long(
     return valid.selectExpr(*quoted(df.columns), f"inline(array({rows}))")
 
 
-def project_labeled(df: DataFrame) -> DataFrame:
-    """id, text, label and, where the source has it, trait; other columns are dropped."""
+def project_labeled(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """id, text, label and, where the source has it, trait; other columns are dropped, but
+    for those of ``keep`` (such as ``rest``, the unread keys of a record)."""
     trait = F.col("trait") if "trait" in df.columns else F.lit(None)
-    return df.select("id", "text", "label", trait.cast("string").alias("trait"))
+    return df.select("id", "text", "label", trait.cast("string").alias("trait"), *keep)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -372,7 +372,9 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str, str]:
+def statements(
+    head_n: int, draws: int, augment_draws: int, sweep, history_tokens: int = 200
+) -> dict[str, str]:
     gt, pred = _gt(), _pred()
     lenient = _with(pred, _LENIENT)
     long = _with(pred, _LENIENT, _LONG)
@@ -517,6 +519,25 @@ def statements(head_n: int, draws: int, augment_draws: int, sweep) -> dict[str,
               WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant') AS unanswered,
             count(*) OVER (PARTITION BY conv_id, turn) > 1 AS duplicate
           FROM conversations a""",
+        "conversation_messages": f"""WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS content,
+              len(regexp_extract_all(coalesce(text, ''), '[^{_WS}]+')) + 4 AS cost FROM conversations
+          ), p AS (
+            SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+              md5(length(role) || ':' || role || content)) - cost AS start FROM t
+          ), j AS (
+            SELECT a.conv_id, a.turn, a.start, a.content AS output, b.start AS bs, b.role, b.content, b.cost,
+              b.start >= a.start - {history_tokens} AS fits
+            FROM p a LEFT JOIN p b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.start < a.start
+            WHERE a.role = 'assistant'
+          )
+          SELECT conv_id, turn, count(bs) FILTER (fits) AS n_messages, coalesce(sum(cost) FILTER (fits), 0)::BIGINT AS n_tokens,
+            md5(coalesce(string_agg(role || ':' || content, chr(10) ORDER BY bs) FILTER (fits), '')) AS messages_md5,
+            md5(output) AS output_md5, coalesce(arg_max(role, bs) FILTER (fits) = 'user', false) AS answers
+          FROM j GROUP BY conv_id, turn, start, output""",
+        "scan_unread_keys": split
+        + """SELECT id, md5(documents.text) AS text_md5, label, split, lang, source, documents.n_chars,
+            CASE WHEN id % 3 = 0 THEN id END AS note FROM split JOIN label_gt USING (id) JOIN documents ON id = doc_id""",
         "feedback_match_embedding": compare.rstrip()
         + ","
         + _EMBEDDING

@@ -50,10 +50,10 @@ def clean_and_split(
 ) -> DataFrame:
     """Clean the labelled folders, split by stratum and write ``split=..`` sub-folders.
 
-    The cleaned rows are written once; finding the cuts and writing the splits read that.
+    Keys of the records beyond the known ones stay with them, in ``rest`` on the way. The cleaned rows are written once; finding the cuts and writing the splits read that.
     """
     prepare(spark)
-    labeled = O.project_labeled(jsonl.scan_folders(spark, folders))
+    labeled = O.project_labeled(jsonl.scan_records(spark, folders), keep=("rest",))
     clean = materialize(S.with_strat_key(O.clean_labels(labeled, criteria), traits, threshold), "clean")
     split = S.stratified_split(
         clean,
@@ -63,4 +63,4 @@ def clean_and_split(
         val_ratio=val_ratio,
     )
     jsonl.write_partitioned(split.drop("strat_key"), output, "split")
-    return spark.read.schema(f"{jsonl.RECORD_SCHEMA}, split STRING").json(output)
+    return jsonl.scan_split(spark, output, "split")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, VariantType
+from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 from gradeloom.functions.labels import NOT_AN_OBJECT, OUTER_ERROR
 from gradeloom.functions.text import strip
@@ -29,6 +29,64 @@ def scan_folders(
     return typed(df, schema)
 
 
+def scan_records(
+    spark: SparkSession,
+    folders: Sequence[str],
+    schema: str | StructType = RECORD_SCHEMA,
+    pattern: str = "*.{json,jsonl,txt}",
+    partitions: Sequence[str] = (),
+) -> DataFrame:
+    """As ``scan_folders``, and ``rest``: the keys of a record that the schema does not name,
+    nested values included, as one VARIANT object; NULL if there are none.
+
+    A line is read as one VARIANT, from which the columns are taken, so nothing of a record is
+    lost. ``write_jsonl`` and ``write_partitioned`` put ``rest`` back beside the columns. A
+    line that is not a JSON object has only NULLs; blank lines are no records. ``partitions``
+    are columns that the names of sub-folders hold, as text.
+    """
+    whole = StructType([StructField(c, StringType()) for c in ("value", *partitions)])
+    lines = spark.read.schema(whole).option("pathGlobFilter", pattern).text(list(folders))
+    lines = lines.where(strip(F.col("value")) != "").select(
+        F.inline(F.array(F.struct(F.expr("try_parse_json(value)").alias("record")))),
+        F.col("_metadata.file_path").alias("source_file"),
+        *partitions,
+    )
+    kinds = _kinds(schema)
+    named = ", ".join(_literal(f.name) for f in kinds)
+    unread = F.expr(
+        f"map_filter(try_cast(record AS MAP<STRING, VARIANT>), (k, v) -> NOT array_contains(array({named}), k))"
+    )
+    free = [f.name for f in open_schema(schema) if isinstance(f.dataType, VariantType)]
+    columns = [
+        F.expr(
+            f"try_variant_get(record, {_literal(_path(f.name))}, "
+            f"'{'variant' if f.name in free else f.dataType.simpleString()}')"
+        ).alias(f.name)
+        for f in kinds
+    ]
+    df = evaluate_once(lines, unread.alias("_unread")).select(
+        *columns,
+        F.when(F.size("_unread") > 0, F.to_variant_object("_unread")).alias("rest"),
+        "source_file",
+        *partitions,
+    )
+    return typed(df, schema)
+
+
+def scan_split(spark: SparkSession, path: str, column: str, schema: str | StructType = RECORD_SCHEMA) -> DataFrame:
+    """What ``write_partitioned`` has written: the records, ``rest`` and ``column``."""
+    return scan_records(spark, [path], schema, partitions=[column]).drop("source_file")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _path(key: str) -> str:
+    """A JSON path to one key, whatever characters it has."""
+    return f"$['{key}']" if "'" not in key else f'$["{key}"]'
+
+
 def _kinds(schema: str | StructType) -> StructType:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -142,12 +200,42 @@ def write_lines_in_order(lines: DataFrame, order_by: str, path: str) -> None:
     ranged.select("value").write.mode("overwrite").text(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """Replace whatever is at ``path``."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def _whole_records(df: DataFrame, rest: str, apart: Sequence[str] = ()) -> DataFrame:
+    """``value``: the record of a row as JSON text, its columns first and then the keys of
+    ``rest``; a column wins over a key of its name. ``apart`` stay columns."""
+    own = [c for c in df.columns if c not in (rest, *apart)]
+    named = ", ".join(_literal(c) for c in [*own, *apart])
+    more = F.expr(
+        f"map_filter(try_cast(`{rest}` AS MAP<STRING, VARIANT>), (k, v) -> NOT array_contains(array({named}), k))"
+    )
+    known, extra = F.col("_known"), F.col("_extra")
+    df = df.select(
+        *apart,
+        F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("_known"),
+        F.when(F.size(more) > 0, F.to_json(more)).alias("_extra"),
+    )
+    comma = F.lit("," if own else "")
+    both = F.concat(F.expr("left(_known, length(_known) - 1)"), comma, F.expr("substr(_extra, 2)"))
+    return df.select(*apart, F.when(extra.isNull(), known).otherwise(both).alias("value"))
+
+
+def write_jsonl(df: DataFrame, path: str, rest: str = "rest") -> None:
+    """Replace whatever is at ``path``. The keys of a VARIANT column ``rest`` become keys of
+    the records, in part files that end in ``.txt``; without one they end in ``.json``."""
+    if _has_rest(df, rest):
+        _whole_records(df, rest).write.mode("overwrite").text(path)
+    else:
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def _has_rest(df: DataFrame, rest: str) -> bool:
+    return rest in df.columns and isinstance(df.schema[rest].dataType, VariantType)
 
 
-def write_partitioned(df: DataFrame, path: str, column: str) -> None:
+def write_partitioned(df: DataFrame, path: str, column: str, rest: str = "rest") -> None:
     """One sub-folder per value of ``column`` (``split`` or ``system``); every task writes
-    its own rows, so a large group is not gathered first."""
+    its own rows, so a large group is not gathered first. ``rest`` as in ``write_jsonl``."""
+    if _has_rest(df, rest):
+        _whole_records(df, rest, [column]).write.mode("overwrite").partitionBy(column).text(path)
+        return
     df.write.mode("overwrite").partitionBy(column).option("ignoreNullFields", "false").json(path)
