@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 3  # 16 ** 3 = 4096 buckets of equal expected size
-
 
 def seeded_hash(key: Sequence[str], seed: int) -> Column:
     """md5 of the key and the seed, as hex; NULL key parts count as empty."""
@@ -18,7 +16,3 @@ def seeded_hash(key: Sequence[str], seed: int) -> Column:
 
 def hex_to_long(hex_text: Column, digits: int) -> Column:
     return F.conv(F.left(hex_text, F.lit(digits)), 16, 10).cast("bigint")
-
-
-def bucket(hex_text: Column) -> Column:
-    return hex_to_long(hex_text, BUCKET_DIGITS).cast("int")

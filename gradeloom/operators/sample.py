@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import hashing as H
+from gradeloom.operators.select import RANKED_ROWS, bucket_counts, in_buckets, locate
 from gradeloom.session import materialize
 from gradeloom.settings import SEED
 
@@ -23,60 +24,34 @@ def head_n_with_id(df: DataFrame, n: int, order_by: str) -> DataFrame:
     return numbered.withColumn("id", F.col("id").cast("bigint"))
 
 
-def _placed_draws(hist: DataFrame, draws: DataFrame) -> DataFrame:
-    """Map each draw's row position to (bucket, rank in the bucket).
-
-    ``hist`` has at most 4096 rows. The lookup is an equi-join on coarse cells of the
-    position range; a bucket is listed under every cell it touches (about two).
-    """
-    total = hist.agg(F.sum("n")).scalar()
-    buckets = 16**H.BUCKET_DIGITS
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-
-    def cell(position):
-        return F.floor(position * buckets / total).cast("int")
-
-    spans = hist.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    spans = spans.withColumn("end", F.col("start") + F.col("n"))
-    spans = spans.withColumn(
-        "cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1)))
-    )
-    at = draws.withColumn("position", F.pmod(F.col("u"), total))
-    at = at.withColumn("cell", cell(F.col("position")))
-    hit = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end"))
-    return (
-        at.join(F.broadcast(spans), "cell")
-        .where(hit)
-        .select("trait", "draw", "bucket", (F.col("position") - F.col("start")).alias("rank"))
-    )
-
-
 def sample_with_replacement(
     df: DataFrame,
     traits: Sequence[str],
     n: int,
     key: str = "id",
     seed: int = SEED,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """``n`` uniform draws per trait: ``trait, draw`` (1..n) and the drawn row's key.
 
-    Rows are numbered in seeded hash order of their key, which must be unique. A count per
-    hash bucket tells which bucket holds a drawn number, so only keys in drawn buckets are
-    ranked, one bucket per window group; the rest of the table is only counted.
+    Rows are numbered in seeded hash order of their key, which must be unique. Counts per
+    hash bucket tell which bucket holds a drawn number; drawn buckets with more than
+    ``ranked_rows`` rows are split further, so a group that is ranked does not grow with the
+    table. The rest of the table is only counted.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), H.seeded_hash([key], seed).alias("hash"))
-    rows = rows.withColumn("bucket", H.bucket(F.col("hash")))
-    hist = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    counts = bucket_counts(rows)
+    total = counts.agg(F.sum("n")).first()[0]
     names = F.array(*[F.lit(t) for t in traits])
     draws = spark.range(1, n + 1).select(
         F.explode(names).alias("trait"), F.col("id").alias("draw")
     )
-    draws = draws.withColumn("u", H.hex_to_long(H.seeded_hash(["trait", "draw"], seed), 15))
-    placed = _placed_draws(hist, draws)
-    drawn = placed.select("bucket").distinct()  # at most 4096 rows, whatever n is
+    u = H.hex_to_long(H.seeded_hash(["trait", "draw"], seed), 15)
+    wanted = draws.select("trait", "draw", F.pmod(u, F.lit(total)).alias("rank"))
+    placed = locate(rows, counts, wanted, carry=["trait", "draw"], ranked_rows=ranked_rows)
     order = Window.partitionBy("bucket").orderBy("hash", "key")
-    ranked = rows.join(F.broadcast(drawn), "bucket", "left_semi").select(
+    ranked = in_buckets(rows, placed).select(
         "bucket", "key", (F.row_number().over(order) - 1).cast("bigint").alias("rank")
     )
     return placed.join(ranked, ["bucket", "rank"]).select(
@@ -85,12 +60,17 @@ def sample_with_replacement(
 
 
 def sample_join(
-    df: DataFrame, traits: Sequence[str], n: int, key: str = "id", seed: int = SEED
+    df: DataFrame,
+    traits: Sequence[str],
+    n: int,
+    key: str = "id",
+    seed: int = SEED,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """The draws with the columns of the drawn rows.
 
     The draws are written first: from their known size Spark decides whether to broadcast
     them, so that the wide rows are filtered where they are read.
     """
-    draws = materialize(sample_with_replacement(df, traits, n, key, seed), "draws")
+    draws = materialize(sample_with_replacement(df, traits, n, key, seed, ranked_rows), "draws")
     return draws.join(df, key)

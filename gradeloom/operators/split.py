@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import hashing as H
 from gradeloom.functions import labels as L
 from gradeloom.operators.labels import parse_label
+from gradeloom.operators.select import RANKED_ROWS, bucket_counts, in_buckets, kth_key, locate
 from gradeloom.session import materialize
 from gradeloom.settings import (
     SEED,
@@ -35,27 +37,35 @@ def strat_key_histogram(keyed: DataFrame, stratum: str = "strat_key") -> DataFra
     return keyed.groupBy(stratum).agg(F.count("*").alias("n"))
 
 
-def _ceil_share(n: Column, ratio: float) -> Column:
-    return F.ceil(n.cast("double") * F.lit(float(ratio))).cast("bigint")
+def _ceil_share(n: int, ratio: float) -> int:
+    return math.ceil(float(n) * float(ratio))
 
 
-def _largest_remainder(counts: DataFrame, count: str, seats: str, total: str, out: str) -> DataFrame:
+def _largest_remainder(
+    counts: DataFrame, count: str, seats: int, total: int, out: str, ranked_rows: int
+) -> DataFrame:
     """Give ``seats`` of ``total`` to the strata in proportion to ``count``: the floor of
-    each share, then one more for the largest remainders (ties: by stratum)."""
-    wide = "decimal(19,0)"  # products of two counts do not fit a BIGINT
-    share = F.col(count).cast(wide) * F.col(seats).cast(wide)
+    each share, then one more for the largest remainders (ties: by stratum).
+
+    Which remainders are the largest is found by their histogram, digit by digit, so the
+    strata are neither sorted nor gathered.
+    """
+    if total == 0:
+        return counts.withColumn(out, F.lit(0).cast("bigint"))
+    share = f"cast({count} AS DECIMAL(19,0)) * cast({seats} AS DECIMAL(19,0))"
     df = counts.withColumns(
         {
-            "_floor": F.when(F.col(total) > 0, F.floor(share / F.col(total)).cast("bigint")).otherwise(0),
+            "_floor": F.expr(f"({share}) div cast({total} AS DECIMAL(19,0))"),
+            "_rest": F.expr(f"cast(({share}) % cast({total} AS DECIMAL(19,0)) AS BIGINT)"),
         }
     )
-    df = df.withColumn("_rest", share - F.col("_floor").cast(wide) * F.col(total).cast(wide))
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("_rest").desc(), "stratum")
-    df = df.withColumn("_left", F.col(seats) - F.sum("_floor").over(everything))
-    df = df.withColumn("_rank", F.row_number().over(order))
-    extra = F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)
-    return df.withColumn(out, F.col("_floor") + extra).drop("_floor", "_rest", "_left", "_rank")
+    left = seats - (df.agg(F.sum("_floor")).first()[0] or 0)
+    # Large remainders first: hex digits of what is missing, then of the stratum.
+    order = F.concat(F.lpad(F.hex(F.lit(2**63 - 1) - F.col("_rest")), 16, "0"), F.hex(F.col("stratum").cast("binary")))
+    df = df.withColumn("_order", order)
+    cut = kth_key(df, "_order", left, ranked_rows) if left else None
+    extra = F.when(F.col("_order") <= F.lit(cut), 1).otherwise(0) if left else F.lit(0)
+    return df.withColumn(out, F.col("_floor") + extra).drop("_floor", "_rest", "_order")
 
 
 def split_quotas(
@@ -63,41 +73,33 @@ def split_quotas(
     train_ratio: float = TRAIN_RATIO,
     val_ratio: float = VAL_RATIO,
     on_single: str = "train",
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """``stratum, n`` -> rows per stratum for ``test_n``, ``val_n`` and ``train_n``.
 
     Two splits in a row, as sizes go: train against the rest (the rest is rounded up), then
-    val against test (test is rounded up). One row per stratum, so the windows over the
-    whole table are small.
+    val against test (test is rounded up). There may be as many strata as rows: totals are
+    aggregated and the largest remainders selected by histograms, in a few passes over
+    ``counts``, which should be a stored table.
 
     A stratum with one row cannot be split: it goes to train, or fails the job with
     ``on_single="error"``.
     """
     single = F.col("n") == 1
-    if on_single == "error":
-        bad = F.concat(F.lit("stratum with a single row: "), F.col("stratum"))
-        counts = counts.withColumn("n", F.when(single, F.raise_error(bad)).otherwise(F.col("n")))
-    everything = Window.partitionBy()
-    df = counts.withColumns(
-        {
-            "_all": F.sum("n").over(everything),
-            "_singles": F.count_if(single).over(everything),
-            "_n": F.when(single, 0).otherwise(F.col("n")),
-        }
-    )
-    held_out = _ceil_share(F.col("_all"), 1 - train_ratio)
-    df = df.withColumns(
-        {
-            "_pool": F.col("_all") - F.col("_singles"),
-            "_held": F.least(held_out, F.col("_all") - F.col("_singles")),
-        }
-    )
-    df = df.withColumn("_train_seats", F.col("_pool") - F.col("_held"))
-    df = _largest_remainder(df, "_n", "_train_seats", "_pool", "_train")
-    df = df.withColumn("_rest_n", F.col("_n") - F.col("_train"))
+    total, singles = counts.agg(F.sum("n"), F.count_if(single)).first()
+    total = total or 0
+    if on_single == "error" and singles:
+        name = counts.where(single).agg(F.min("stratum")).first()[0]
+        raise ValueError(f"stratum with a single row: {name}")
+    pool = total - singles
+    held = min(_ceil_share(total, 1 - train_ratio), pool)
     test_share = 1 - val_ratio / (1 - train_ratio) if train_ratio < 1 else 0.0
-    df = df.withColumn("_val_seats", F.col("_held") - _ceil_share(F.col("_held"), test_share))
-    df = _largest_remainder(df, "_rest_n", "_val_seats", "_held", "val_n")
+    val_seats = held - _ceil_share(held, test_share)
+    df = counts.withColumn("_n", F.when(single, 0).otherwise(F.col("n")))
+    df = _largest_remainder(df, "_n", pool - held, pool, "_train", ranked_rows)
+    df = df.withColumn("_rest_n", F.col("_n") - F.col("_train"))
+    df = materialize(df.select("stratum", "n", "_rest_n"), "quotas")
+    df = _largest_remainder(df, "_rest_n", val_seats, held, "val_n", ranked_rows)
     return df.select(
         "stratum",
         "n",
@@ -107,18 +109,11 @@ def split_quotas(
     )
 
 
-def _running(hist: DataFrame) -> DataFrame:
-    """Bucket counts with ``through`` (rows of the stratum up to the bucket) and ``total``."""
-    w = Window.partitionBy("stratum")
-    upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hist.select("*", F.sum("n").over(upto).alias("through"), F.sum("n").over(w).alias("total"))
-
-
-def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame) -> DataFrame:
+def _cuts(rows: DataFrame, quotas: DataFrame, counts: DataFrame, ranked_rows: int) -> DataFrame:
     """Per stratum, the hash of the last row of ``test`` and of ``val`` in hash order.
 
-    The bucket histogram says in which bucket each cut falls; only rows of those buckets
-    (two in 4096 per stratum) are ranked. Copies of one key are counted, not listed.
+    Only rows of the buckets in which a cut falls are ranked. Copies of one key are counted,
+    not listed.
     """
     targets = quotas.select(
         "stratum",
@@ -131,22 +126,20 @@ def _cuts(rows: DataFrame, quotas: DataFrame, running: DataFrame) -> DataFrame:
             )
         ),
     ).where("target > 0")
-    found = (
-        targets.join(running, "stratum")
-        .where((F.col("through") >= F.col("target")) & (F.col("through") - F.col("n") < F.col("target")))
-        .select("stratum", "cut", "bucket", (F.col("target") - F.col("through") + F.col("n")).alias("within"))
-    )
+    wanted = targets.select("stratum", "cut", (F.col("target") - 1).alias("rank"))
+    found = locate(rows, counts, wanted, ["stratum"], ["cut"], ranked_rows=ranked_rows)
     within = Window.partitionBy("stratum", "cut").orderBy("hash").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     near = (
-        rows.join(found, ["stratum", "bucket"])
-        .groupBy("stratum", "cut", "within", "hash")
+        in_buckets(rows, found, ["stratum"])
+        .groupBy("stratum", "bucket", "hash")
         .agg(F.count("*").alias("copies"))
+        .join(found, ["stratum", "bucket"])
     )
     ranked = near.withColumn("through", F.sum("copies").over(within))
     return (
-        ranked.where("through >= within")
+        ranked.where("through > rank")
         .groupBy("stratum")
         .pivot("cut", ["test_cut", "val_cut"])
         .agg(F.min("hash"))
@@ -161,11 +154,12 @@ def stratified_split(
     train_ratio: float = TRAIN_RATIO,
     val_ratio: float = VAL_RATIO,
     on_single: str = "train",
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Add ``split``: exact sizes per stratum, members by seeded hash order of the key.
 
-    Nothing wide is shuffled and no stratum is gathered or sorted, however large: two narrow
-    passes find, per stratum, the hash below which a row is test and below which it is val;
+    Nothing wide is shuffled and no stratum is gathered or sorted, however large, nor are the
+    strata, however many: a few narrow passes find, per stratum, the hash below which a row is test and below which it is val;
     the rows themselves are then labelled in a map-only pass. Rows with the same key always
     land in the same split.
     The cuts are written first, so that Spark knows their size when it decides whether to
@@ -173,13 +167,12 @@ def stratified_split(
     """
     h = H.seeded_hash(key, seed)
     strat = F.coalesce(F.col(stratum), F.lit("unknown"))
-    rows = df.select(strat.alias("stratum"), h.alias("hash")).withColumn(
-        "bucket", H.bucket(F.col("hash"))
-    )
-    running = _running(rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
-    counts = running.where("through = total").select("stratum", F.col("total").alias("n"))
-    quotas = split_quotas(counts, train_ratio, val_ratio, on_single)
-    cuts = materialize(_cuts(rows, quotas, running).withColumnRenamed("stratum", "_stratum"), "cuts")
+    rows = df.select(strat.alias("stratum"), h.alias("hash"))
+    buckets = bucket_counts(rows, ["stratum"])
+    counts = materialize(buckets.groupBy("stratum").agg(F.sum("n").alias("n")), "strata")
+    quotas = split_quotas(counts, train_ratio, val_ratio, on_single, ranked_rows)
+    cuts = _cuts(rows, materialize(quotas, "quotas"), buckets, ranked_rows)
+    cuts = materialize(cuts.withColumnRenamed("stratum", "_stratum"), "cuts")
     out = df.withColumns({"_hash": h, "_st": strat})
     out = out.join(cuts, F.col("_st") == F.col("_stratum"), "left")
     split = (
