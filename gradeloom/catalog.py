@@ -13,7 +13,17 @@ from gradeloom.functions import labels as L
 from gradeloom.functions import prompts as P
 from gradeloom.functions import text as TX
 from gradeloom.operators import align as A
-from gradeloom.operators import augment, history, infer, match, metrics, sample, sft
+from gradeloom.operators import (
+    augment,
+    engine,
+    history,
+    infer,
+    ledger,
+    match,
+    metrics,
+    sample,
+    sft,
+)
 from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
 from gradeloom.session import materialize, prepare, scratch_path
@@ -574,6 +584,21 @@ def judge_label_rows(spark, sf_dir):
     return df.select("id", "label", "error", _long("attempts"))
 
 
+@query
+def judge_with_ledger(spark, sf_dir):
+    """Half of the texts are judged first; the run over all of them asks for the others."""
+    docs, path = _docs(spark, sf_dir), scratch_path(spark, "ledger")
+    ledger.judge_with_ledger(docs.where("id % 2 = 0"), path, stubs.judge_client, pause=0.0)
+    df = ledger.judge_with_ledger(docs, path, stubs.judge_client, pause=0.0)
+    return df.select("id", "label", "error", _long("attempts"))
+
+
+@query
+def engine_infer(spark, sf_dir):
+    df = engine.engine_infer(_docs(spark, sf_dir), stubs.LengthModel(), token_budget=4096, max_batch=16)
+    return df.select("id", F.length("text").cast("bigint").alias("n_text"), "label", "error")
+
+
 @query
 def batch_infer(spark, sf_dir):
     df = infer.batch_infer(_docs(spark, sf_dir), stubs.LengthModel())

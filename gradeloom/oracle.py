@@ -494,6 +494,11 @@ def statements(
           FROM (SELECT id, length(text) + {len(chr(10) + "    Transcript:" + chr(10) + "    " + chr(10) + "    ")} AS n FROM {docs})""",
         "batch_infer": f"""SELECT id, length(text) AS n_text, 'base: ' || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label,
           NULL::VARCHAR AS error FROM {docs}""",
+        "judge_with_ledger": f"""SELECT id, CASE WHEN n % 7 <> 0 THEN '{{"n": ' || (1 + n % 10) || '}}' END AS label,
+          CASE WHEN n % 7 = 0 THEN 'ValueError: refused' END AS error, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts
+          FROM (SELECT id, length(text) + {len(chr(10) + "    Transcript:" + chr(10) + "    " + chr(10) + "    ")} AS n FROM {docs})""",
+        "engine_infer": f"""SELECT id, length(text) AS n_text, 'base: ' || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label,
+          NULL::VARCHAR AS error FROM {docs}""",
         "infer_many_systems": f"""SELECT system, id, system || ': ' || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label
           FROM {docs} CROSS JOIN (SELECT unnest(['epoch1', 'epoch2', 'epoch3']) AS system)""",
         "sft_examples": _with(gt)
