@@ -28,7 +28,8 @@ from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
 from gradeloom.session import materialize, prepare, scratch_path
 from gradeloom.settings import CRITERIA, THRESHOLD
-from gradeloom.sources import jsonl, report, views
+from gradeloom.sources import jsonl, report, store, views
+from gradeloom.streaming import clean as stream
 from gradeloom.streaming.clean import append_clean_incremental as run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,16 @@ def scan_lines_with_position(spark, sf_dir):
     return df.select("pos", "id", "label", F.col("line_error").alias("reason"))
 
 
+@query
+def scan_lines_by_index(spark, sf_dir):
+    """The second scan of a file set by its stored index."""
+    gt, root = _texts(views.label_gt(spark, sf_dir), spark, sf_dir), scratch_path(spark, "indexed")
+    jsonl.write_lines_in_order(gt.select("id", _line_of(gt).alias("value")), "id", f"{root}/in")
+    jsonl.build_line_index(spark, f"{root}/in", f"{root}/index")
+    df = jsonl.records_of_lines(jsonl.scan_lines_by_index(spark, f"{root}/in", f"{root}/index"))
+    return df.select("pos", "id", "label", F.col("line_error").alias("reason"))
+
+
 @query
 def scan_column_stripped(spark, sf_dir):
     df = jsonl.scan_column_stripped(views.documents(spark, sf_dir))
@@ -191,6 +202,37 @@ def append_clean_incremental(spark, sf_dir):
     return df.select(F.col("trait").alias("system"), "id", "label")
 
 
+@query
+def clean_with_rejects(spark, sf_dir):
+    """Two rounds of new files and one without; every row is in one of two sinks."""
+    preds = views.label_pred(spark, sf_dir).withColumnRenamed("system", "trait")
+    root = scratch_path(spark, "rejects")
+    first = F.col("id") % 3 == 0
+    for part in (preds.where(first), preds.where(~first), None):
+        if part is not None:
+            part.write.mode("append").json(f"{root}/in")
+        args = [f"{root}/{f}" for f in ("in", "valid", "rejected", "checkpoint")]
+        stream.clean_with_rejects(spark, *args).awaitTermination()
+    sinks = [
+        stream.scan_batches(spark, f"{root}/{f}").withColumn("kept", F.lit(f == "valid"))
+        for f in ("valid", "rejected")
+    ]
+    return sinks[0].unionByName(sinks[1]).select(F.col("trait").alias("system"), "id", "kept", "label")
+
+
+@query
+def replace_one_system(spark, sf_dir):
+    """Three systems are stored, then one of them again by another model."""
+    docs, path = _docs(spark, sf_dir), scratch_path(spark, "systems")
+
+    def answers(*models):
+        return {s: infer.infer_many_systems(docs, {s: stubs.LengthModel(m)}) for s, m in models}
+
+    store.replace_systems(spark, answers(("a", "a"), ("b", "b"), ("c", "c")), path)
+    store.replace_systems(spark, answers(("b", "newer")), path)
+    return store.read_systems(spark, path).select("system", "id", "label", "error")
+
+
 @query
 def write_splits(spark, sf_dir):
     path = scratch_path(spark, "splits")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import labels as L
 from gradeloom.operators.labels import parse_label, quoted, with_reason
+from gradeloom.session import materialize
 from gradeloom.settings import CRITERIA
 
 
@@ -34,14 +35,18 @@ def _packs(criteria: Sequence[str]) -> list[range]:
     return [range(i, min(i + _PER_PACK, n)) for i in range(0, n, _PER_PACK)]
 
 
-def score_predictions(preds: DataFrame, key: Sequence[str], criteria: Sequence[str]) -> DataFrame:
-    """``*key, system, ok, p0..``: scores packed; the repair is applied to every label."""
+def score_predictions(
+    preds: DataFrame, key: Sequence[str], criteria: Sequence[str], with_feedback: bool = False
+) -> DataFrame:
+    """``*key, system, ok, p0..``: scores packed; the repair is applied to every label. With
+    feedback also the texts of valid labels, as ``feedback``."""
     df = with_reason(preds, criteria, fix="extract", always=True)
     packs = [
         " + ".join(f"shiftleft(bigint(scores[{i}]), {4 * k})" for k, i in enumerate(own)) + f" AS p{m}"
         for m, own in enumerate(_packs(criteria))
     ]
-    return df.selectExpr(*quoted(key), "system", "reason IS NULL AS ok", *packs)
+    told = [f"IF(reason IS NULL, {_feedback(criteria)}, NULL) AS feedback"] if with_feedback else []
+    return df.selectExpr(*quoted(key), "system", "reason IS NULL AS ok", *packs, *told)
 
 
 def score_truth(
@@ -49,13 +54,14 @@ def score_truth(
 ) -> DataFrame:
     """``*key, system, ok, g0..`` of the ground truth, with a NULL system. It must parse as it
     stands and have a score for every trait; a score outside 1..10 is used as it is. With
-    feedback it must also have a text for every trait."""
+    feedback it must also have a text for every trait; ``gt_feedback`` holds them."""
     names = [f"g{i}" for i in range(len(criteria))]
     cols = [f"try_cast({L.score_sql('parsed', t)} AS INT) AS {n}" for n, t in zip(names, criteria)]
     ok = " AND ".join(f"{n} IS NOT NULL" for n in names)
     if with_feedback:
-        cols.append(f"forall({_feedback(criteria)}, x -> x IS NOT NULL) AS told")
-        ok += " AND told"
+        cols.append(f"{_feedback(criteria)} AS gt_feedback")
+        ok += " AND forall(gt_feedback, x -> x IS NOT NULL)"
+        names.append("gt_feedback")
     df = parse_label(truth).selectExpr(*quoted(key), *cols)
     return df.selectExpr(*quoted(key), "string(NULL) AS system", f"{ok} AS ok", *names)
 
@@ -79,14 +85,17 @@ def align(
     Columns: key, ``system`` (NULL for the ground truth's own row), ``ok``, ``s0..`` and
     ``g0..`` (ground truth), ``complete`` (the key is in every input) and ``comparable``
     (complete, once in each, all usable). With ``with_feedback`` also the two feedback
-    arrays, ``feedback`` and ``gt_feedback``, for comparable rows.
+    arrays, ``feedback`` and ``gt_feedback``, for comparable rows. Then parsed labels are written
+    once, and both the scores and the texts are read from there.
     """
     key, n = list(key), len(criteria)
     preds = preds.where(F.col("system").isin(*systems))
     packs = _packs(criteria)
-    rows = score_predictions(preds, key, criteria).unionByName(
-        score_truth(truth, key, criteria, with_feedback), allowMissingColumns=True
-    )
+    scored = score_predictions(preds, key, criteria, with_feedback)
+    told = score_truth(truth, key, criteria, with_feedback)
+    if with_feedback:
+        scored, told = materialize(scored, "scored"), materialize(told, "scored-truth")
+    rows = scored.drop("feedback").unionByName(told.drop("gt_feedback"), allowMissingColumns=True)
     truths = [f"g{i}" for i in range(n)]
     aggregates, parts = [], []
     for j, name in enumerate(systems):
@@ -118,17 +127,14 @@ def align(
         *quoted(key), "system", "ok", *names, *truths, "complete", "comparable"
     )
     if with_feedback:
-        return _join_feedback(aligned, preds, truth, key, criteria)
+        return _join_feedback(aligned, scored, told, key)
     return aligned
 
 
-def _join_feedback(
-    aligned: DataFrame, preds: DataFrame, truth: DataFrame, key: list[str], criteria: Sequence[str]
-) -> DataFrame:
+def _join_feedback(aligned: DataFrame, scored: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
     """Bring the texts to the comparable rows. Their keys are unique in every input."""
-    own = with_reason(preds, criteria, fix="extract", always=True).where("reason IS NULL")
-    own = own.selectExpr(*quoted(key), "system", f"{_feedback(criteria)} AS feedback").alias("p")
-    told = parse_label(truth).selectExpr(*quoted(key), f"{_feedback(criteria)} AS gt_feedback").alias("t")
+    own = scored.where("ok").select(*key, "system", "feedback").alias("p")
+    told = told.select(*key, "gt_feedback").alias("t")
 
     def same(side: str) -> str:
         return " AND ".join(f"a.{k} <=> {side}.{k}" for k in quoted(key)) + " AND a.comparable"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.session import materialize
+
 # texts -> one (tokens x width) array per text
 Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 
@@ -23,30 +25,86 @@ def _best(a: np.ndarray, b: np.ndarray, chunk: int = 1024) -> float:
     return float(np.concatenate(best).mean())
 
 
+def encode_texts(
+    texts: DataFrame, encoder_factory: Callable[[], Encoder], batch: int = 64
+) -> DataFrame:
+    """``text_hash, vectors, width`` of every row of ``texts(text_hash, text)``: the token
+    vectors as doubles, row by row. The encoder is built once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder_factory()
+        for own in batches:
+            for i in range(0, own.num_rows, batch):
+                part = own.slice(i, batch)
+                got = list(encode(part.column(1).to_pylist()))
+                if len(got) != part.num_rows:
+                    raise ValueError(f"the encoder gave {len(got)} results for {part.num_rows} texts")
+                got = [np.asarray(v, np.float64) for v in got]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([v.tobytes() for v in got], pa.binary()),
+                        pa.array([v.shape[1] if v.ndim == 2 else 0 for v in got], pa.int32()),
+                    ],
+                    ["text_hash", "vectors", "width"],
+                )
+
+    return texts.select("text_hash", "text").mapInArrow(run, "text_hash string, vectors binary, width int")
+
+
+def _tokens(vectors: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(vectors, np.float64).reshape(-1, width) if width else np.empty((0, 0))
+
+
+def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in batches:
+        ph, gh, *columns = own.columns
+        scores = []
+        for p, pw, g, gw in zip(*[c.to_pylist() for c in columns]):
+            p, g = _tokens(p, pw), _tokens(g, gw)
+            scores.append((_best(p, g), _best(g, p)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                ph, gh,
+                pa.array([s[0] for s in scores], pa.float64()),
+                pa.array([s[1] for s in scores], pa.float64()),
+            ],
+            ["_ph", "_gh", "precision", "recall"],
+        )
+
+
 def embedding_match(
     traits: DataFrame, encoder_factory: Callable[[], Encoder], batch: int = 64
 ) -> DataFrame:
     """Add ``precision``, ``recall`` and ``f1`` of ``pred_text`` against ``gt_text``.
 
-    Only the two texts go to Python; the encoder is built once per task and called with
-    ``batch`` texts at a time.
+    Every distinct text is encoded once, however many systems are compared with it: texts are
+    known by their SHA-256, one pass of the encoder fills a table of vectors, and pairs of
+    texts, each scored once, read that table. A null text counts as an empty one.
     """
-
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encode = encoder_factory()
-        for pred, gt in pairs:
-            out = []
-            for i in range(0, len(pred), batch):
-                ps = list(encode(pred.iloc[i : i + batch].tolist()))
-                gs = list(encode(gt.iloc[i : i + batch].tolist()))
-                n = len(pred.iloc[i : i + batch])
-                if len(ps) != n or len(gs) != n:
-                    raise ValueError(f"the encoder gave {len(ps)} and {len(gs)} results for {n} texts")
-                out += [(_best(p, g), _best(g, p)) for p, g in zip(ps, gs)]
-            yield pd.DataFrame(out, columns=["precision", "recall"], dtype="float64")
-
-    udf = F.pandas_udf(run, "precision double, recall double")
-    df = traits.withColumn("_m", udf("pred_text", "gt_text"))
-    p, r = F.col("_m.precision"), F.col("_m.recall")
+    names = traits.columns
+    hashes = {
+        out: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+        for out, c in (("_ph", "pred_text"), ("_gh", "gt_text"))
+    }
+    rows = materialize(traits.withColumns(hashes), "texts-to-match")
+    both = rows.select(F.col("_ph").alias("text_hash"), F.coalesce("pred_text", F.lit("")).alias("text")).unionByName(
+        rows.select(F.col("_gh").alias("text_hash"), F.coalesce("gt_text", F.lit("")).alias("text"))
+    )
+    # Equal texts have equal hashes, so the group is the text.
+    texts = materialize(both.groupBy("text_hash").agg(F.first("text").alias("text")), "distinct-texts")
+    vectors = materialize(encode_texts(texts, encoder_factory, batch), "vectors")
+    pairs = rows.select("_ph", "_gh").distinct()
+    for side in ("_ph", "_gh"):
+        own = vectors.select(
+            F.col("text_hash").alias(side), F.col("vectors").alias(f"{side}v"), F.col("width").alias(f"{side}w")
+        )
+        pairs = pairs.join(own, side)
+    scored = pairs.select("_ph", "_gh", "_phv", "_phw", "_ghv", "_ghw").mapInArrow(
+        _pair_scores, "_ph string, _gh string, precision double, recall double"
+    )
+    out = rows.drop("precision", "recall", "f1").join(materialize(scored, "pair-scores"), ["_ph", "_gh"])
+    p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return df.withColumns({"precision": p, "recall": r, "f1": f1}).drop("_m")
+    kept = [F.col(f"`{c}`") for c in names if c not in ("precision", "recall", "f1")]
+    return out.select(*kept, "precision", "recall", f1.alias("f1"))

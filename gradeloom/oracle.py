@@ -386,6 +386,9 @@ def statements(
         "scan_jsonl_folder": _with(pred) + "SELECT id, md5(text) AS text_md5, label, system AS trait FROM label_pred",
         "scan_jsonl_skip_blank": f"SELECT id, md5(text) AS text_md5 FROM {docs}",
         "scan_lines_with_position": _with(gt)
+        + f"""SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN {line} IS NULL THEN id END AS id,
+          CASE WHEN {line} IS NULL THEN label END AS label, {line} AS reason FROM label_gt""",
+        "scan_lines_by_index": _with(gt)
         + f"""SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN {line} IS NULL THEN id END AS id,
           CASE WHEN {line} IS NULL THEN label END AS label, {line} AS reason FROM label_gt""",
         "scan_column_stripped": f"""SELECT md5(s) AS text_md5, count(*) AS n, max(length(s)) AS n_chars
@@ -497,6 +500,12 @@ def statements(
         "judge_with_ledger": f"""SELECT id, CASE WHEN n % 7 <> 0 THEN '{{"n": ' || (1 + n % 10) || '}}' END AS label,
           CASE WHEN n % 7 = 0 THEN 'ValueError: refused' END AS error, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts
           FROM (SELECT id, length(text) + {len(chr(10) + "    Transcript:" + chr(10) + "    " + chr(10) + "    ")} AS n FROM {docs})""",
+        "clean_with_rejects": _with(pred, _STRICT)
+        + """SELECT system, id, c.id IS NOT NULL AS kept, coalesce(c.label, p.label) AS label
+          FROM label_pred p LEFT JOIN clean c USING (system, id)""",
+        "replace_one_system": f"""SELECT system, id, CASE WHEN system = 'b' THEN 'newer' ELSE system END || ': '
+            || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label, NULL::VARCHAR AS error
+          FROM {docs} CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS system)""",
         "engine_infer": f"""SELECT id, length(text) AS n_text, 'base: ' || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label,
           NULL::VARCHAR AS error FROM {docs}""",
         "infer_many_systems": f"""SELECT system, id, system || ': ' || (length(text) + {len(_CHAT_HEAD + _CHAT_TAIL)}) AS label

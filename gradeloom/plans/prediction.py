@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.operators.infer import Model, infer_many_systems
 from gradeloom.settings import CRITERIA
-from gradeloom.sources import jsonl
+from gradeloom.sources import jsonl, store
 
 
 def predict_file(
@@ -19,9 +19,10 @@ def predict_file(
     criteria: Sequence[str] = CRITERIA,
     batch_size: int = 128,
 ) -> DataFrame:
-    """Scan, prompt, infer and write ``system=..`` sub-folders; returns the stored rows."""
+    """Scan, prompt, infer and store the predictions of the named systems; returns the stored
+    rows of all systems. Systems stored before under other names stay untouched, so a rerun
+    of one checkpoint costs one checkpoint."""
     test = jsonl.scan_skip_blank(spark, test_path, jsonl.RAW_SCHEMA)
-    out = infer_many_systems(test, systems, criteria, batch_size)
-    jsonl.write_partitioned(out, output, "system")
-    schema = "id BIGINT, text STRING, label STRING, error STRING, system STRING"
-    return spark.read.schema(schema).json(output)
+    parts = {s: infer_many_systems(test, {s: f}, criteria, batch_size) for s, f in systems.items()}
+    store.replace_systems(spark, parts, output)
+    return store.read_systems(spark, output)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 from gradeloom.functions.labels import NOT_AN_OBJECT, OUTER_ERROR
 from gradeloom.functions.text import strip
+from gradeloom.operators.history import running_start
 from gradeloom.operators.labels import evaluate_once, parse_label
 from gradeloom.session import materialize
 
@@ -46,6 +50,13 @@ def scan_records(
     """
     whole = StructType([StructField(c, StringType()) for c in ("value", *partitions)])
     lines = spark.read.schema(whole).option("pathGlobFilter", pattern).text(list(folders))
+    return open_records(lines, schema, partitions)
+
+
+def open_records(
+    lines: DataFrame, schema: str | StructType = RECORD_SCHEMA, partitions: Sequence[str] = ()
+) -> DataFrame:
+    """The records of a text source's lines, of a batch or of a stream: see ``scan_records``."""
     lines = lines.where(strip(F.col("value")) != "").select(
         F.inline(F.array(F.struct(F.expr("try_parse_json(value)").alias("record")))),
         F.col("_metadata.file_path").alias("source_file"),
@@ -125,6 +136,77 @@ def scan_column_stripped(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(strip(F.col(column)).alias(column))
 
 
+def _splits(spark: SparkSession, path: str) -> DataFrame:
+    """``split, value`` and what identifies the file split a line comes from."""
+    place = [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").cast("double").alias("changed"),
+    ]
+    return spark.read.text(path).select(*place, "value")
+
+
+def _first_lines(splits: DataFrame) -> DataFrame:
+    """``splits(file, block, lines, ..)`` with ``first``, the number of the split's first line.
+
+    Files are numbered through in the order of the number in their names, then of the names,
+    by a prefix scan over the splits.
+    """
+    number = F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[^/]*$', 1) AS DECIMAL(38))")
+    numbered = splits.withColumns({"_all": F.lit(0), "_number": number})
+    placed = running_start(numbered, "_all", ["_number", "file", "block"], "lines")
+    return placed.drop("_all", "_number").withColumnRenamed("start", "first")
+
+
+def build_line_index(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """Count the lines of every file split of ``path`` and write ``index``: ``file, block, size,
+    changed, lines, first``. Only the counts are aggregated; no line is stored or sorted."""
+    splits = _splits(spark, path).groupBy("file", "block", "size", "changed").agg(F.count("*").alias("lines"))
+    _first_lines(splits).write.mode("overwrite").parquet(index)
+    return spark.read.parquet(index)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``split, value`` with ``offset``: how many lines of its split come before it. Lines of a
+    split reach a task together and in file order."""
+    last, n = None, 0
+    for batch in batches:
+        split = batch.column(0).to_numpy()
+        if not len(split):
+            continue
+        new = np.empty(len(split), bool)
+        new[0], new[1:] = split[0] != last, split[1:] != split[:-1]
+        at = np.arange(len(split))
+        begin = np.maximum.accumulate(np.where(new, at, -1))
+        offset = np.where(begin < 0, at + n, at - begin)
+        last, n = split[-1], int(offset[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset)], ["split", "value", "offset"])
+
+
+def scan_lines_by_index(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """As ``scan_lines_with_position``, by a stored index, which is built if it is not there.
+
+    The number of a line is its split's first number plus its offset in the split, so lines are
+    read where they are, by any number of scans, and never stored again. A file that has
+    changed since it was indexed, or is cut into other splits than then, fails the read: its
+    line numbers would be wrong. Build the index again then.
+    """
+    try:
+        known = spark.read.parquet(index)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = build_line_index(spark, path, index)
+    split = F.xxhash64("file", "block", "size", "changed").alias("split")
+    lines = _splits(spark, path).select(split, "value")
+    lines = lines.mapInArrow(_numbered, "split bigint, value string, offset bigint")
+    message = "a line's file split is not in the index: the file has changed, or is cut otherwise"
+    pos = F.when(F.col("first").isNull(), F.raise_error(F.lit(message))).otherwise(F.col("first") + F.col("offset"))
+    joined = lines.join(known.select(split, "first"), "split", "left")
+    return joined.select(pos.cast("bigint").alias("pos"), "value")
+
+
 def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """``pos, value``: raw lines with their 0-based line number.
 
@@ -132,8 +214,9 @@ def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     the number in their names, then of the names. Within a file split rows come in file
     order, so a line number is the number of lines in the earlier splits plus the offset in
     its own split. The lines are read once and stored with their split, since another scan
-    could cut files elsewhere. One row per split is aggregated and ordered; the lines
-    themselves are neither sorted nor gathered. A line of an unknown split is an error.
+    could cut files elsewhere; ``scan_lines_by_index`` does without. One row per split is
+    aggregated and summed up; the lines themselves are neither sorted nor gathered. A line of
+    an unknown split is an error.
     """
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -142,16 +225,8 @@ def scan_lines_with_position(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     )
     lines = materialize(scan, "lines")
-    splits = lines.groupBy("file", "block").agg(
-        F.min("row").alias("first_row"), F.count("*").alias("n")
-    )
-    number = F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[^/]*$', 1) AS DECIMAL(38))")
-    earlier = Window.orderBy(number, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file",
-        "block",
-        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_row")).alias("shift"),
-    )
+    splits = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("lines"))
+    offsets = _first_lines(splits).select("file", "block", (F.col("first") - F.col("first_row")).alias("shift"))
     offsets = materialize(offsets, "line-offsets")
     known = F.when(
         F.col("shift").isNull(), F.raise_error(F.lit("a line's file split is unknown"))
