@@ -616,6 +616,13 @@ def augment_minority(spark, sf_dir):
     )
 
 
+@query
+def augment_until_first_error(spark, sf_dir):
+    df = augment.augment_minority(_docs(spark, sf_dir), AUGMENT_DRAWS, stubs.fussy_rewrite_client)
+    kept = augment.until_first_error(materialize(df, "generated"))
+    return kept.select("trait", "id", "text", F.md5(F.col("original").cast("binary")).alias("original_md5"))
+
+
 # --- batch inference ----------------------------------------------------------------------
 
 

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import SPACE, UNICODE, drop_prefix, drop_suffix, strip
+from gradeloom.functions.text import SPACE, SPACE_CHARS, UNICODE, drop_prefix, drop_suffix, strip
 
 # What counts as a fenced block and as a dangling comma.
 FENCED_OBJECT = rf"{UNICODE}(?s)```json[{SPACE}]*(\{{.*?\}})[{SPACE}]*```"
 DANGLING_COMMA = rf"{UNICODE},[{SPACE}]*([}}\]])"
 
 
-def _occurrences(c: Column, ch: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+def _pieces(c: Column, pattern: str) -> Column:
+    """One more than ``pattern`` occurs; an escaped character is not matched as a pattern."""
+    return F.size(F.split(c, pattern))
+
+
+def _may_dangle(c: Column) -> Column:
+    """Whether a comma, or white space other than blanks, stands before a closer, by the pieces
+    between closers. The pattern itself is many times dearer, and most text needs none."""
+    pieces = F.split(F.replace(c, F.lit("]"), F.lit("}")), r"\}")
+    before_closer = F.slice(pieces, 1, F.size(pieces) - 1)
+    ends = "," + SPACE_CHARS.replace(" ", "")
+
+    def doubtful(x: Column) -> Column:
+        own = F.rtrim(x)
+        return reduce(lambda a, b: a | b, [F.endswith(own, F.lit(e)) for e in ends])
+
+    return F.exists(before_closer, doubtful)
 
 
 def simple_fix(c: Column) -> Column:
@@ -21,8 +38,9 @@ def simple_fix(c: Column) -> Column:
 
     Dropping commas leaves the brace counts alone, so they are taken from the input.
     """
-    missing = F.when(_occurrences(c, "{") > _occurrences(c, "}"), "}").otherwise("")
-    return F.concat(F.regexp_replace(c, DANGLING_COMMA, "$1"), missing)
+    missing = F.when(_pieces(c, r"\{") > _pieces(c, r"\}"), "}").otherwise("")
+    plain = F.when(_may_dangle(c), F.regexp_replace(c, DANGLING_COMMA, "$1")).otherwise(c)
+    return F.concat(plain, missing)
 
 
 def outer_object(c: Column) -> Column:
@@ -34,7 +52,8 @@ def outer_object(c: Column) -> Column:
     # substring_index(.., -1) is the part behind the last "}", or all of it without one.
     tail = F.length(F.substring_index(c, "}", -1))
     size = F.length(c) - tail - start + 1
-    return F.when((start > 0) & (size > 1), F.substr(c, start, size))
+    whole = F.startswith(c, F.lit("{")) & F.endswith(c, F.lit("}"))
+    return F.when(whole, c).when((start > 0) & (size > 1), F.substr(c, start, size))
 
 
 def extract_object(c: Column) -> Column:

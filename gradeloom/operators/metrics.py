@@ -102,23 +102,36 @@ _COMMON = """aggregate(
   a -> struct(a.hp + IF(a.g > 0, a.p, 0) AS hp, a.hg + IF(a.p > 0, a.g, 0) AS hg))"""
 
 
+# The same by looking up every word among the common ones, for texts short enough for that.
+_LOOKED_UP = """struct(size(filter(_p, x -> array_contains(_c, x))) AS hp,
+  size(filter(_g, x -> array_contains(_c, x))) AS hg)"""
+_FEW = 1 << 16  # comparisons
+
+
 def lexical_match(traits: DataFrame) -> DataFrame:
     """Add ``precision``, ``recall`` and ``f1`` of ``pred_text`` against ``gt_text``.
 
     Greedy matching with word identity as the similarity: the share of predicted words found
-    in the reference, and the reverse. Both texts sit in one row, so nothing is joined. The
-    words of both, marked by side, are sorted together, and one pass over the runs of equal
-    words counts those that have both sides: n log n for texts of any length.
+    in the reference, and the reverse. Both texts sit in one row, so nothing is joined. Words
+    of short texts are looked up among the common ones. For long texts the words of both,
+    marked by side, are sorted together, and one pass over the runs of equal words counts
+    those that have both sides: n log n for texts of any length.
     """
-    df = traits.withColumns({"_p": TX.words(F.col("pred_text")), "_g": TX.words(F.col("gt_text"))})
-    df = df.withColumn("_hits", F.expr(_COMMON))
+    kept = traits.columns
+    words = F.struct(TX.words(F.col("pred_text")).alias("_p"), TX.words(F.col("gt_text")).alias("_g"))
+    df = traits.select("*", F.inline(F.array(words)))
+    df = df.select("*", F.inline(F.array(F.struct(F.array_intersect("_p", "_g").alias("_c")))))
+    df = df.withColumn(
+        "_hits",
+        F.expr(f"IF(bigint(size(_c)) * (size(_p) + size(_g)) <= {_FEW}, {_LOOKED_UP}, {_COMMON})"),
+    )
 
     def share(tokens: str, side: str):
         n = F.size(tokens)
         return F.when(n > 0, F.col(f"_hits.{side}") / n).otherwise(F.lit(0.0))
 
     df = df.withColumns({"_pr": share("_p", "hp"), "_re": share("_g", "hg")})
-    return _with_f1(df).drop("_p", "_g", "_hits", "_pr", "_re")
+    return _with_f1(df).select(*kept, "precision", "recall", "f1")
 
 
 def _with_f1(df: DataFrame) -> DataFrame:

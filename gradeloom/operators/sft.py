@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gradeloom.functions import prompts as P
 from gradeloom.settings import CRITERIA, IGNORE_INDEX, MAX_TOKENS
 
+NO_OUTPUT = "no output"
+
 # texts -> token ids, one list per text
 Encode = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 
@@ -25,13 +27,13 @@ def sft_examples(df: DataFrame, criteria: Sequence[str] = CRITERIA) -> DataFrame
 
 
 def conversation_sft(turns: DataFrame) -> DataFrame:
-    """Every turn, in order: ``conv_id, turn, role, content, target, unanswered, duplicate``.
+    """Every turn: ``conv_id, turn, role, content, target, unanswered, duplicate``.
 
     ``target``: an assistant turn that answers the user turn before it, which a model should
     learn. ``unanswered``: a user turn without an answer right after it. ``duplicate``:
-    another row has the same conversation and turn. Rows are range-partitioned and sorted by
-    (conversation, turn); neighbours are found by one join on both, so a long conversation
-    is spread over many tasks and never gathered.
+    another row has the same conversation and turn. Neighbours are found by one join on both,
+    so a long conversation is spread over many tasks and never gathered; rows come in no
+    order.
     """
     def seen(shift: int, flag: str, rows: DataFrame) -> DataFrame:
         return rows.select("conv_id", (F.col("turn") + shift).alias("turn"), F.lit(flag).alias("flag"))
@@ -44,7 +46,7 @@ def conversation_sft(turns: DataFrame) -> DataFrame:
         .groupBy("conv_id", "turn")
         .agg(*[F.count_if(F.col("flag") == f).alias(f"_{f}") for f in ("own", "asked", "answered")])
     )
-    out = turns.join(marks, ["conv_id", "turn"], "left").select(
+    return turns.join(marks, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
         "role",
@@ -53,7 +55,6 @@ def conversation_sft(turns: DataFrame) -> DataFrame:
         F.coalesce((role == "user") & (F.col("_answered") == 0), F.lit(False)).alias("unanswered"),
         F.coalesce(F.col("_own") > 1, F.lit(False)).alias("duplicate"),
     )
-    return out.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
 
 
 def encode_pair(
@@ -87,18 +88,22 @@ def sft_tokenize_mask(
     max_length: int = MAX_TOKENS,
     pad_id: int = 0,
 ) -> DataFrame:
-    """``id, n_prompt, n_full, input_ids, attention_mask, labels`` of fixed length.
+    """``id, n_prompt, n_full, input_ids, attention_mask, labels, error``, arrays of fixed length.
 
     Prompt + output is cut or padded (on the right) to ``max_length``; labels repeat the ids
     with the prompt's positions set to -100. ``n_prompt`` and ``n_full`` are counts before
-    the cut. Only the encoding runs in Python. Examples without an output are left out.
+    the cut. Only the encoding runs in Python. An example without an output has NULLs and an
+    ``error``, so that none goes missing unseen.
     """
     prompt = P.chat_text(F.col("messages"))
-    df = examples.where("output IS NOT NULL").select(
-        "id", encode_pair(prompt, F.col("output"), tokenizer_factory, max_length).alias("_t")
+    output = F.coalesce("output", F.lit(""))
+    tokens = encode_pair(prompt, output, tokenizer_factory, max_length)
+    known = F.col("output").isNotNull()
+    df = examples.select("id", known.alias("_known"), tokens.alias("_all")).select(
+        "id", F.when(F.col("_known"), F.col("_all")).alias("_t"), "_known"
     )
     size = F.lit(max_length)
-    used, masked = F.size("_t.ids"), F.least(F.col("_t.n_prompt"), size)
+    used, masked = F.when(F.col("_known"), F.size("_t.ids")), F.least(F.col("_t.n_prompt"), size)
     df = df.select(
         "id",
         "_t.n_prompt",
@@ -108,18 +113,24 @@ def sft_tokenize_mask(
             "attention_mask"
         ),
         masked.alias("_masked"),
+        F.when(~F.col("_known"), NO_OUTPUT).alias("error"),
     )
     labels = F.concat(
         F.array_repeat(F.lit(IGNORE_INDEX), F.col("_masked")),
         F.slice("input_ids", F.col("_masked") + 1, size - F.col("_masked")),
     )
-    return df.withColumn("labels", labels).drop("_masked")
+    labels = F.when(F.col("error").isNull(), labels)
+    return df.withColumn("labels", labels).select(
+        "id", "n_prompt", "n_full", "input_ids", "attention_mask", "labels", "error"
+    )
 
 
 def sft_token_budget(tokenized: DataFrame, max_length: int = MAX_TOKENS) -> DataFrame:
-    """How many examples are cut at ``max_length``, and how many have nothing left to learn."""
+    """How many examples are cut at ``max_length``, have nothing left to learn, or have no
+    output; ``n`` counts those with one."""
     return tokenized.agg(
-        F.count("*").alias("n"),
+        F.count_if(F.col("error").isNull()).alias("n"),
+        F.count_if(F.col("error").isNotNull()).alias("n_without_output"),
         F.count_if(F.col("n_full") > max_length).alias("n_truncated"),
         F.count_if(F.col("n_prompt") >= max_length).alias("n_fully_masked"),
         F.sum(F.least(F.col("n_full"), F.lit(max_length))).alias("tokens_kept"),

@@ -492,6 +492,11 @@ def statements(
         "augment_minority": _with(_draws(augment_draws))
         + f"""SELECT trait, draw AS id, 'rewritten from ' || length({_rewrite("trait", "text")}) || ' characters' AS text,
           md5({_strip("text")}) AS original_md5, NULL::VARCHAR AS error FROM drawn""",
+        "augment_until_first_error": _with(_draws(augment_draws))
+        + f""", asked AS (SELECT trait, draw, {_rewrite("trait", "text")} AS prompt, {_strip("text")} AS original FROM drawn),
+          first AS (SELECT trait, min(draw) AS stop FROM asked WHERE length(prompt) % 13 = 0 GROUP BY 1)
+          SELECT trait, draw AS id, 'rewritten from ' || length(prompt) || ' characters' AS text, md5(original) AS original_md5
+          FROM asked LEFT JOIN first USING (trait) WHERE stop IS NULL OR draw < stop""",
         "judge_label_rows": f"""SELECT id, CASE WHEN n % 7 <> 0 THEN '{{"n": ' || (1 + n % 10) || '}}' END AS label,
           CASE WHEN n % 7 = 0 THEN 'ValueError: refused' END AS error, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts
           FROM (SELECT id, length(text) + {len(chr(10) + "    Transcript:" + chr(10) + "    " + chr(10) + "    ")} AS n FROM {docs})""",
@@ -523,7 +528,7 @@ def statements(
             md5(array_to_string(list_transform(range({MAX_TOKENS}), lambda i: CASE WHEN i < cut THEN -100 ELSE ids[i + 1] END), ',')) AS labels
           FROM padded""",
         "sft_token_budget": _with(gt, _TOKENIZED)
-        + f"""SELECT count(*) AS n, count(*) FILTER (len(f) > {MAX_TOKENS}) AS n_truncated,
+        + f"""SELECT count(*) AS n, 0 AS n_without_output, count(*) FILTER (len(f) > {MAX_TOKENS}) AS n_truncated,
           count(*) FILTER (len(p) >= {MAX_TOKENS}) AS n_fully_masked,
           sum(least(len(f), {MAX_TOKENS}))::BIGINT AS tokens_kept, sum(len(f))::BIGINT AS tokens_total FROM toks""",
         "conversation_sft": """SELECT conv_id, turn, role, md5(text) AS content_md5,

@@ -26,6 +26,18 @@ def rewrite_client():
     return call
 
 
+def fussy_rewrite_client():
+    """Refuses one prompt in thirteen, by its length."""
+    rewrite = rewrite_client()
+
+    def call(system: str, user: str) -> str:
+        if len(user) % 13 == 0:
+            raise ValueError("refused")
+        return rewrite(system, user)
+
+    return call
+
+
 class LengthModel:
     """A picklable model factory: answers with its name and the prompt's length."""
 

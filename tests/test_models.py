@@ -263,3 +263,15 @@ def test_write_read_round_trip(spark, tmp_path):
     jsonl.write_jsonl(df, str(tmp_path / "o"))  # replaces
     rows = jsonl.scan_folders(spark, [str(tmp_path / "o")], pattern="*.json").collect()
     assert [(r.id, r.text, r.label) for r in rows] == [(1, odd, None)]
+
+
+def test_examples_without_an_output_are_counted(spark):
+    df = docs(spark, 6).withColumn("label", F.when(F.col("id") % 3 > 0, F.lit("a b")))
+    tokens = sft.sft_tokenize_mask(sft.sft_examples(df), stubs.word_length_tokenizer, 2000)
+    rows = {r.id: r for r in tokens.collect()}
+    assert len(rows) == 6 and [rows[i].error for i in (0, 1, 3)] == [sft.NO_OUTPUT, None, sft.NO_OUTPUT]
+    empty = rows[0]
+    assert empty.n_full is empty.input_ids is empty.labels is empty.attention_mask is None
+    budget = sft.sft_token_budget(tokens, 2000).first()
+    assert (budget.n, budget.n_without_output) == (4, 2)
+    assert budget.tokens_total == sum(rows[i].n_full for i in (1, 2, 4, 5))
