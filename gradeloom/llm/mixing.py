@@ -163,25 +163,38 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns and
-    ``copy`` (0, 1, ..)."""
+    """The mix itself: each document as often as it is taken, with all its columns as they are
+    and ``copy`` (0, 1, ..). Where the documents have a column of that name, the number is in
+    ``copy_``, or as many more underscores as it takes.
+
+    Rows that are equal in doc_id, source and text are interchangeable: together they are taken
+    as often as they are drawn. Texts of any length are only hashed and counted.
+    """
     drawn = mix(docs, **settings).where("copies > 0")
-    # Equal rows are interchangeable; numbering them pairs each with its own draw.
     same = ["doc_id", "source", "text_hash"]
-    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
     drawn = drawn.select(*same, "copies").groupBy(*same).agg(
         F.sum("copies").alias("copies"), F.count("*").alias("rows")
     )
-    left = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_n", number)
+    # A document travels as one column, so that its columns meet no name of ours.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        "doc_id", "source", F.xxhash64("text").alias("text_hash"),
+    )
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    left = packed.withColumn("_n", number)
     pair = F.expr(
         "d.doc_id <=> m.doc_id AND d.source <=> m.source AND d.text_hash = m.text_hash"
     )
     times = F.expr("int(copies div rows + IF(_n <= copies % rows, 1, 0))")
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
     return (
         left.alias("d")
         .join(drawn.alias("m"), pair)
         .where("_n <= rows")
-        .select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"))
+        .select("_row", F.explode(F.sequence(F.lit(0), times - 1)).alias("_copy"))
+        .select("_row.*", F.col("_copy").alias(name))
     )
 
 

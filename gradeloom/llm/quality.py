@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
-from gradeloom.llm.common import with_columns
+from gradeloom.llm.common import Scratch, with_columns
 
 DIMENSIONS = 1 << 18
 MAX_TRAIN_ROWS = 8_000  # bound of the labelled sample that is gathered for the fit
+MAX_TRAIN_BYTES = 128 << 20  # and of its features
 THRESHOLD = 0.3
 HOLD_OUT = 5  # rows whose crc32(doc_id) is divisible by this are never learned from
 PENALTY, EPOCHS, FOLDS, SMOOTH = 0.1, 8, 3, 1.0
@@ -161,36 +162,58 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HOLD_OUT == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out part, those with the
-    smallest hash of their id. A document labelled twice counts once, as the lower quality."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = MAX_TRAIN_ROWS,
+    max_bytes: int = MAX_TRAIN_BYTES,
+) -> dict:
+    """Fit on at most ``max_rows`` labelled documents outside the held-out part, those with the
+    smallest hash of their id, and of them on the first whose features have ``max_bytes``.
+
+    A document labelled twice counts once, as the lower quality; one that stands there many
+    times counts once, with the least of its texts.
+    """
+    order = F.xxhash64("doc_id")
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(order, "doc_id")
         .limit(max_rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
-            rows = [r.astype(np.int32).tobytes() for r in features(batch.column(1))]
+            rows = [r.astype(np.int32).tobytes() for r in features(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(rows, pa.binary())],
+                [batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())],
                 ["doc_id", "y", "features"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, features binary").toArrow()
+    with Scratch(docs.sparkSession) as scratch:
+        made = scratch.save(
+            sample.mapInArrow(run, f"doc_id {kind}, y int, features binary").withColumn("_h", order),
+            "quality-sample",
+        )
+        sizes = made.select("_h", F.octet_length("features").alias("n")).toArrow()
+        within = np.argsort(sizes["_h"].to_numpy(), kind="stable")
+        through = np.cumsum(sizes["n"].to_numpy()[within].astype(np.int64))
+        count = int(np.searchsorted(through, max_bytes, side="right"))
+        if count < len(within):
+            made = made.where(F.col("_h") < int(sizes["_h"][int(within[count])].as_py()))
+        got = made.drop("_h").toArrow()
     # Views into one buffer: the sample is held once.
     data, at = W.text_bytes(got["features"])
     rows = [data[i:j].view(np.int32) for i, j in zip(at[:-1], at[1:])]
-    ids = got["doc_id"].to_numpy()
-    order = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tobytes()))
+    ids = got["doc_id"].to_pylist()
+    ranks = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tobytes()))
     y = got["y"].to_numpy()
-    return fit([rows[i] for i in order], np.array([y[i] for i in order], np.int64))
+    return fit([rows[i] for i in ranks], np.array([y[i] for i in ranks], np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -199,7 +222,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     Only the text decides the score. Null and empty texts have no features and get the score
     of the bias alone. Labels that are null or not 0 or 1 are not learned from; without
     labels of both classes the score is constant (0.5 without any). Repeated rows get the
-    same score. A null doc_id counts as an empty one for the held-out part.
+    same score and are learned from once. Texts are read whole, whatever their length. A null
+    doc_id counts as an empty one for the held-out part.
     """
     spark = docs.sparkSession
     model = train(docs, labels)
