@@ -23,6 +23,7 @@ ARTICLE = "<article><h1>Title</h1><p>One sentence of the story, long enough.</p>
     (f"<main>{ARTICLE}<div id=comments><p>I like this a lot, thank you.</p></div></main>",
      "Title\nOne sentence of the story, long enough.\nBe."),
     ("<article><p>a &lt;b&gt;  &amp;\n c&#233;<br>d</p><!-- x --><form>f</form><aside>s</aside></article>", "a <b> & cé d"),
+    ("<article><p>a &am<b></b>p; b &amp; c</p></article>", "a &amp; b & c"),
     ("<article><p>cut off in the <b>middle of a tag</b> <a href='", "cut off in the middle of a tag"),
     ("<article><p>a < b and 3<4</p></article>", "a < b and 3<4"),
     ("<article><p title='x>y'>quoted</p><p title=\"never closed>after</p></article>", "quoted\nafter"),
@@ -36,6 +37,42 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "<p>A paragraph of the story that is long enough to be known as one, with many words.</p>"
+
+
+@pytest.mark.parametrize("page, text, kept", [
+    # A short link between paragraphs, in a page that marks nothing.
+    (f"<div>{LONG}<p><a href='/x'>See this</a></p>{LONG}</div>", "See this", True),
+    (f"<article>{LONG}<div><a href='/x'>Here</a></div>{LONG}</article>", "Here", True),
+    # A sentence within an unmarked menu.
+    ("<ul><li><a href='/'>Home</a></li><li>You are here today, friend.</li><li><a href='/n'>News</a></li></ul>",
+     "You are here today, friend.", False),
+])
+def test_cut_mends_the_classifier(page, text, kept):
+    own = {t: (alone, cut) for t, alone, cut in html.labelled(page)}
+    assert own[text] == (not kept, kept)
+    assert (text in html.main_text(page)) == kept
+
+
+def test_labels_are_the_cheapest(monkeypatch):
+    rng = random.Random(7)
+    tags = ["p", "li", "div", "h2", "nav", "article", "aside", "div class=ad", "a"]
+    seen, cut = [], html.min_cut
+    monkeypatch.setattr(html, "min_cut", lambda t, e: seen.append((t, e, cut(t, e))) or seen[-1][2])
+    for _ in range(150):
+        page = "".join(
+            f"<{rng.choice(tags)}>" + "word " * rng.randrange(12) + f"</{rng.choice(tags).split()[0]}>" for _ in range(9)
+        )
+        html.labelled(page)
+        t, e, side = seen.pop()
+
+        def cost(side):
+            c = sum(x for x, s in zip(t, side) if x > 0 and not s) + sum(-x for x, s in zip(t, side) if x < 0 and s)
+            return c + sum(w for i, j, w in e if side[i] != side[j])
+
+        assert cost(side) == min(cost([bool(m >> i & 1) for i in range(len(t))]) for m in range(1 << len(t)))
+
+
 def test_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(300):
@@ -54,7 +91,7 @@ def test_cut_is_minimal():
 def test_long_and_broken_pages_are_read_in_time():
     import time
 
-    for page in ("<p>x" * 50_000, "<a '" * 50_000, "<b>" * 50_000 + "</p>" * 50_000, "<" * 200_000,
+    for page in ("<b>" * 100_000 + "x</div>" * 100_000, "<div>" * 100_000 + "<dt>x" * 100_000, "<p>x" * 50_000, "<a '" * 50_000, "<b>" * 50_000 + "</p>" * 50_000, "<" * 200_000,
                  "<article>" + "<p>word word</p><p><a>x</a></p>" * 20_000 + "</article>"):
         start = time.perf_counter()
         html.main_text(page)
