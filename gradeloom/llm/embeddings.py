@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: small-world graphs per shard, every shard asked for every vector.
 
 Vectors are dealt out to shards by hash, and each shard is a graph index over its vectors. An
-audit widens the shard's beam until queries at the link threshold are found again. Each
-vector is then looked up in every shard; a beam that comes back full of neighbours is doubled
-for that vector. Candidates are verified by cosine in double precision. Links are counted
+audit widens the shard's beam until queries at the link threshold are found again. A task
+holds two shards and looks the vectors of each up in the other, so a link is known to both ends
+whichever of them found it. A beam that comes back full of neighbours is widened for that
+vector. Candidates are verified by cosine in double precision. Links are counted
 where they are found, and only a spanning forest of them leaves a task.
 """
 
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import Scratch, bucket_count, save
 from gradeloom.llm.components import components
 from gradeloom.llm.hnsw import build, dump, load
-from gradeloom.llm.minhash import Forest
 
 LINK = 0.95
-SHARDS = 8  # at least; more as soon as a shard would have more than SHARD_ROWS vectors
-SHARD_ROWS = 100_000
-BLOCK = 4096  # queries of a task
+SHARDS = 8  # at least; more as soon as one would have more vectors or bytes than these
+SHARD_ROWS, SHARD_BYTES = 32_768, 64 << 20
+BLOCK = 512  # queries at once
+WIDER = 2  # doublings of a beam before it is the whole shard
 BEAM, WANTED_RECALL, AUDIT = 48, 0.98, 256  # audit queries per shard
 SLACK = 1e-4  # candidates are taken this far below the threshold, then verified
 
@@ -94,64 +95,101 @@ def _build(link: float):
         packed = pickle.dumps(
             (dump(index), exact, np.array(table["size"].to_pylist()), table["key"].to_pylist(), audit(index, unit, link))
         )
-        return pa.table({"shard": [table["shard"][0].as_py()], "index": pa.array([packed], pa.large_binary()).cast(pa.binary())})
+        return pa.table({
+            "dim": table["dim"][:1].combine_chunks(), "shard": table["shard"][:1].combine_chunks(),
+            "index": pa.array([packed], pa.binary()),
+        })
 
     return run
 
 
-def neighbours(index, exact: np.ndarray, queries: np.ndarray, beam: int, link: float):
-    """``query, node`` of all verified links found."""
-    n, todo = len(exact), np.arange(len(queries))
-    asked = queries.astype(np.float32)
-    a, b = [], []
-    while len(todo):
-        again = []
-        for i in range(0, len(todo), 512):
-            own = todo[i : i + 512]
-            ids, sims = index.search(asked[own], beam)
-            full = (sims[:, -1] >= link - 0.05) & (ids.shape[1] < n)
-            again.append(own[full])
-            r, c = np.nonzero((sims >= link - SLACK) & (ids >= 0) & ~full[:, None])
-            q, v = own[r], ids[r, c]
-            for s in range(0, len(q), 1 << 16):
-                x, y = q[s : s + (1 << 16)], v[s : s + (1 << 16)]
-                ok = np.einsum("ij,ij->i", queries[x], exact[y]) >= link
-                a.append(x[ok])
-                b.append(y[ok])
-        todo = np.concatenate(again)
-        beam *= 2
-    if not a:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(a), np.concatenate(b)
+def neighbours(index, exact: np.ndarray, queries: np.ndarray, beam: int, link: float) -> np.ndarray:
+    """Per query a row of flags: the nodes found to be linked with it."""
+    n = len(exact)
+    out = np.zeros((len(queries), n), bool)
+    todo, asked = np.arange(len(queries)), queries.astype(np.float32)
+    for step in range(WIDER + 2):
+        ids, sims = index.search(asked[todo], beam if step <= WIDER else n)
+        full = (sims[:, -1] >= link - 0.05) & (ids.shape[1] < n)
+        r, c = np.nonzero((sims >= link - SLACK) & (ids >= 0) & ~full[:, None])
+        q, v = todo[r], ids[r, c]
+        for s in range(0, len(q), 1 << 16):
+            x, y = q[s : s + (1 << 16)], v[s : s + (1 << 16)]
+            ok = np.einsum("ij,ij->i", queries[x], exact[y]) >= link
+            out[x[ok], y[ok]] = True
+        todo, beam = todo[full], 2 * beam
+        if not len(todo):
+            break
+    return out
+
+
+def links_between(a, b, link: float) -> np.ndarray:
+    """One bit per vector of ``a`` (rows) and of ``b`` (columns): linked, as found from either
+    side. Each is ``index, exact, beam``; ``b`` is None for the links within ``a``."""
+    (index_a, exact_a, beam_a), (index_b, exact_b, beam_b) = a, b or a
+    bits = np.zeros((len(exact_a), (len(exact_b) + 7) // 8), np.uint8)
+    for i in range(0, len(exact_a), BLOCK):
+        found = neighbours(index_b, exact_b, exact_a[i : i + BLOCK], beam_b, link)
+        if b is None:
+            found[np.arange(len(found)), i + np.arange(len(found))] = False
+        bits[i : i + BLOCK] |= np.packbits(found, axis=1)
+        if b is None:
+            bits[:, i // 8 : (i + BLOCK) // 8] |= np.packbits(found.T, axis=1)
+    for i in range(0, len(exact_b) if b else 0, BLOCK):
+        found = neighbours(index_a, exact_a, exact_b[i : i + BLOCK], beam_a, link)
+        bits[:, i // 8 : (i + BLOCK) // 8] |= np.packbits(found.T, axis=1)
+    return bits
+
+
+def _forest(linked: Iterator[tuple[int, np.ndarray]], nodes: int) -> Iterator[tuple[int, int]]:
+    """Edges that join what the rows ``node, its neighbours`` join, fewer than ``nodes``."""
+    above = np.arange(nodes)
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = int(above[x])
+        return x
+
+    for node, near in linked:
+        top = root(node)
+        for other in np.unique(above[near]).tolist():
+            other = root(other)
+            if other != top:
+                yield top, other
+                above[other] = top
+        above[near] = top  # a dense group costs a few array operations a row
 
 
 def _ask(link: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        u, v, count = [], [], []
-        if left.num_rows and right.num_rows:
-            layers, exact, size, names, beam = pickle.loads(left["index"][0].as_py())
-            index = load(exact.astype(np.float32), layers)
-            keys = right["key"].to_pylist()
-            queries, _ = _unit(right["vector"].to_pylist())
-            a, b = neighbours(index, exact, queries, beam, link)
-            place = {k: i for i, k in enumerate(names)}
-            own = np.array([place.get(k, -1) for k in keys])
-            other = own[a] != b
-            a, b = a[other], b[other]
-            links = np.bincount(a, size[b], minlength=len(keys)).astype(int)
-            for i in np.flatnonzero(links).tolist():
-                u.append(keys[i])
-                v.append(None)
-                count.append(int(links[i]))
-            # A forest over queries and nodes; a query of this shard is its node.
-            forest = Forest(len(keys) + len(names))
-            for i in np.flatnonzero(own >= 0).tolist():
-                forest.link(i, len(keys) + int(own[i]))
-            for i, j in zip(a.tolist(), b.tolist()):
-                if forest.link(i, len(keys) + j):
-                    u.append(keys[i])
-                    v.append(names[j])
-                    count.append(0)
+    def run(both: pa.Table) -> pa.Table:
+        nothing = pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        if both.num_rows == 1 and both["shard"][0] != both["other"][0]:
+            return nothing  # the other shard holds no vector
+        shards = []
+        for cell in both.sort_by("shard")["index"]:
+            layers, exact, size, names, beam = pickle.loads(cell.as_py())
+            shards.append((load(exact.astype(np.float32), layers), exact, beam, size, names))
+        low, high = shards[0], shards[-1]
+        one = len(shards) == 1
+        bits = links_between(low[:3], None if one else high[:3], link)
+        first, second = len(low[4]), len(high[4])
+        here, there = np.zeros(first, np.int64), np.zeros(second, np.int64)
+
+        def rows() -> Iterator[tuple[int, np.ndarray]]:
+            for i in np.flatnonzero(bits.any(axis=1)).tolist():
+                near = np.flatnonzero(np.unpackbits(bits[i], count=second))
+                here[i] = high[3][near].sum()
+                there[near] += low[3][i]
+                yield i, near if one else first + near
+
+        names = low[4] if one else low[4] + high[4]
+        edges = list(_forest(rows(), len(names)))
+        degree = here if one else np.concatenate([here, there])
+        some = np.flatnonzero(degree).tolist()
+        u = [names[i] for i in some] + [names[x] for x, _ in edges]
+        v = [None] * len(some) + [names[y] for _, y in edges]
+        count = degree[some].tolist() + [0] * len(edges)
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "n": pa.array(count, pa.int64())})
 
     return run
@@ -187,24 +225,18 @@ def _joined(vectors: DataFrame, link: float) -> tuple[DataFrame, DataFrame]:
             ),
             "emb-classes",
         )
-        n = classes.count()
-        shards = max(SHARDS, bucket_count(n, SHARD_ROWS))
-        shard = F.expr(f"concat(dim, '/', pmod(xxhash64(key), {shards}))").alias("shard")
+        n, size = classes.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("dim")), F.lit(0))).first()
+        shards = max(SHARDS, bucket_count(n, SHARD_ROWS), bucket_count(size, SHARD_BYTES))
         indexes = scratch.save(
-            classes.select(shard, "key", "size", "vector").groupBy("shard").applyInArrow(
-                _build(link), "shard string, index binary"
-            ),
+            classes.select("dim", F.expr(f"int(pmod(xxhash64(key), {shards}))").alias("shard"), "key", "size", "vector")
+            .groupBy("dim", "shard").applyInArrow(_build(link), "dim int, shard int, index binary"),
             "emb-index",
         )
-        blocks = bucket_count(n, BLOCK)
-        spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-        asked = classes.select(
-            "key", "vector", "dim", F.expr(f"int(pmod(xxhash64(key, 5), {blocks}))").alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"),
-        ).select(F.expr("concat(dim, '/', s)").alias("shard"), "block", "key", "vector")
+        # Every pair of shards meets once, a shard with itself too.
+        other = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("other")
         found = scratch.save(
-            indexes.select("shard", spread, "index").groupBy("shard", "block")
-            .cogroup(asked.groupBy("shard", "block"))
+            indexes.select("dim", "shard", "index", other)
+            .groupBy("dim", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"))
             .applyInArrow(_ask(link), "u binary, v binary, n bigint"),
             "emb-found",
         )

@@ -182,7 +182,7 @@ class Layer:
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.nodes)
         width = min(width, n)
-        if n <= TOP or width * 3 >= n:
+        if n <= TOP or width >= n:
             sims = queries @ self.vectors.T
             ids = np.argpartition(-sims, width - 1, axis=1)[:, :width]
             sims = np.take_along_axis(sims, ids, 1)

@@ -259,3 +259,69 @@ def test_vectors(spark):
     same = sum(a == b for a, b in zip(got, want))
     assert same >= 0.97 * len(want)
     assert embeddings.near_vectors(df.limit(0)).collect() == []
+
+
+def _loose_and_dense(n: int, groups: int, dense: int, seed: int) -> np.ndarray:
+    """``n`` vectors in loose groups around the threshold, then ``dense`` in one close group."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, 32))
+    loose = centres[rng.integers(groups, size=n)] + 0.16 * rng.standard_normal((n, 32))
+    return np.concatenate([loose, centres[0] + 0.02 * rng.standard_normal((dense, 32))])
+
+
+def _true_links(x: np.ndarray) -> np.ndarray:
+    unit = x / np.sqrt((x**2).sum(1))[:, None]
+    links = unit @ unit.T >= embeddings.LINK
+    np.fill_diagonal(links, False)
+    return links
+
+
+def test_graph_of_thousands_in_one_shard():
+    """The walk through the graph finds the links that brute force finds, none else, and both
+    ends of a link know it."""
+    import time
+
+    x = _loose_and_dense(3000, 300, 700, 3)
+    exact = x / np.sqrt((x**2).sum(1))[:, None]
+    index = embeddings.build(exact.astype(np.float32))
+    assert len(index.nodes) > 3 * embeddings.BEAM and index.upper is not None
+    beam = embeddings.audit(index, exact, embeddings.LINK)
+    start = time.perf_counter()
+    found = np.unpackbits(embeddings.links_between((index, exact, beam), None, embeddings.LINK), axis=1, count=len(x))
+    assert time.perf_counter() - start < 60
+    want = _true_links(x)
+    assert (found == found.T).all() and not (found.astype(bool) & ~want).any()
+    assert found.sum() >= 0.98 * want.sum()
+    # Two shards: the same from either side.
+    a, b = exact[:2000], exact[2000:]
+    parts = [(embeddings.build(v.astype(np.float32)), v, embeddings.BEAM) for v in (a, b)]
+    there = np.unpackbits(embeddings.links_between(*parts, embeddings.LINK), axis=1, count=len(b))
+    back = np.unpackbits(embeddings.links_between(*parts[::-1], embeddings.LINK), axis=1, count=len(a))
+    assert (there == back.T).all() and there.sum() >= 0.98 * want[:2000, 2000:].sum()
+
+
+def test_near_vectors_of_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARDS", 1)
+    x = _loose_and_dense(1200, 150, 200, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df.repartition(3)).collect()}
+    want = _true_links(x).sum(1)
+    assert len(got) == len(x) and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.98 * want.sum() and sum(got.values()) % 2 == 0
+
+
+def test_forest_joins_what_rows_join():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        rows = [(int(rng.integers(n)), rng.integers(n, size=int(rng.integers(1, 5)))) for _ in range(int(rng.integers(1, 12)))]
+
+        def groups(pairs):
+            label = list(range(n))
+            for a, b in pairs:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+            return {tuple(i for i in range(n) if label[i] == c) for c in set(label)}
+
+        edges = list(embeddings._forest(iter(rows), n))
+        assert groups(edges) == groups([(a, int(b)) for a, near in rows for b in near]) and len(edges) < n
