@@ -2,9 +2,11 @@
 
 A small network sees the two words on either side of a place and predicts the word in it:
 tanh of the summed position-wise embeddings, then a softmax over word classes and one over the
-words of a class. It is trained in numpy where the documents are: every task makes one pass
-over its documents from the shared parameters, and the parameters are averaged by words
-seen. A document's score is the sum of the log-probabilities of all its words, each
+words of a class. It is trained in numpy in several rounds, each over documents of its own:
+the documents of a round are dealt to parts by a hash of the row, every part makes one pass
+from the shared parameters, and the parameters are averaged by words seen. The number of parts
+follows the words, and a part's documents come in the order of their hash, so a score depends
+on the rows alone, not on files, partitions or cores. A document's score is the sum of the log-probabilities of all its words, each
 predicted from both sides.
 
 The network's words and classes grow with the square root of the number of distinct words.
@@ -18,13 +20,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from gradeloom.llm import wordhash as W
 from gradeloom.llm.common import Scratch, save, with_columns
@@ -33,7 +37,9 @@ LEAST_CLASSES = 32  # of a small table
 WORDS = LEAST_CLASSES**2
 EDGE = -1  # what stands beyond the ends of a text: the last row of an embedding
 REACH, WIDTH = (-2, -1, 1, 2), 16
-STEP, LEARN_STEP, RATE, ROUNDS = 16_384, 4_096, 0.15, 1
+STEP, LEARN_STEP, RATE, ROUNDS = 16_384, 4_096, 0.15, 4
+PART_WORDS, PER_PARAMETER = 1 << 19, 4  # words of a part, at least; also per parameter
+GATHER = 1 << 17  # words whose contexts are laid out at once; a longer text stays whole
 SPREAD = 1 << 20  # distinct words that a task holds before it passes counts on
 
 
@@ -101,6 +107,13 @@ class Vocabulary:
         self.known = classes * classes - len(place_counts)
         self.place_logs = np.log(np.maximum(place_counts, 1))
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """From ``vars`` of another: a broadcast holds plain arrays, which any worker reads."""
+        own = cls.__new__(cls)
+        vars(own).update(state)
+        return own
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         other = self.known + (h % np.uint64(len(self.place_logs))).astype(np.int64)
         if not len(self.sorted):
@@ -250,37 +263,94 @@ def _averaged(sums: DataFrame) -> DataFrame:
     return sums
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` passes over all documents."""
-    p = start_parameters(classes=words.classes)
-    sc = docs.sparkSession.sparkContext
-    for turn in range(rounds):
-        shared = sc.broadcast((p, words))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p, words = shared.value
-            p = {k: v.copy() for k, v in p.items()}
-
-            def parts():
-                for batch in batches:
-                    for h, first in _tokens(batch.column(0)):
-                        if len(h):
-                            ids = words.ids(h)
-                            yield contexts(ids, first), ids
-
-            n = learn(p, parts(), RATE / (1 + 2 * turn))
-            if n:
-                total = _pack(p).astype(np.float64) * n
+def _numbered(docs: DataFrame, keep: tuple[str, ...], words: Vocabulary) -> DataFrame:
+    """``key, ids`` of every text with words: a hash of the row and the numbers of its words."""
+    named = [c for c in keep if isinstance(docs.schema[c].dataType, (IntegralType, StringType))]
+    shared = docs.sparkSession.sparkContext.broadcast(vars(words))
+    kind = _id_type(words.classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary.of(shared.value)
+        for batch in batches:
+            row = 0
+            for h, first in _tokens(batch.column(1)):
+                raw, border = words.ids(h).astype(kind).tobytes(), first * kind().itemsize
+                own = [raw[i:j] or None for i, j in zip(border[:-1].tolist(), border[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["total", "words"]
+                    [batch.column(0).slice(row, len(own)), pa.array(own, pa.binary())], ["key", "ids"]
                 )
+                row += len(own)
+
+    rows = docs.select(F.xxhash64(*named, F.col("text")).alias("key"), "text")
+    return rows.mapInArrow(run, "key bigint, ids binary").where("ids IS NOT NULL")
+
+
+def _id_type(classes: int) -> type:
+    return np.int16 if classes * classes < 1 << 15 else np.int32
 
-        with Scratch(docs.sparkSession) as scratch:
-            sums = docs.select("text").mapInArrow(run, "total binary, words bigint")
-            got = _averaged(scratch.save(sums, "lm-sums")).collect()
-        if not got:
-            break
-        p = _unpack(np.frombuffer(got[0]["total"], np.float64) / got[0]["words"], words.classes)
+
+def _gathered(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``contexts, ids`` of some texts at a time."""
+    held: list[np.ndarray] = []
+
+    def laid_out() -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate(held).astype(np.int64)
+        return contexts(ids, np.cumsum([0, *map(len, held)])), ids
+
+    size = 0
+    for ids in texts:
+        held.append(ids)
+        size += len(ids)
+        if size >= GATHER:
+            yield laid_out()
+            held, size = [], 0
+    if held:
+        yield laid_out()
+
+
+def train(
+    docs: DataFrame, keep: tuple[str, ...], words: Vocabulary, total: int, rounds: int = ROUNDS
+) -> dict[str, np.ndarray]:
+    """Parameters after one pass over all documents, averaged after each of ``rounds`` shares.
+
+    ``total``: the words of all texts. Rows that agree in ``keep`` and text share a part; other
+    copies of a text are spread over all parts.
+    """
+    p = start_parameters(classes=words.classes)
+    if not total:
+        return p
+    least = max(PART_WORDS, PER_PARAMETER * sum(map(np.size, p.values())))
+    parts = max(1, math.ceil(total / rounds / least))
+    kind = _id_type(words.classes)
+    sc = docs.sparkSession.sparkContext
+    with Scratch(docs.sparkSession) as scratch:
+        of_row = F.expr(f"int(pmod(key, {rounds}))"), F.expr(f"int(pmod(floor(key / {rounds}), {parts}))")
+        rows = _numbered(docs, keep, words).select(of_row[0].alias("turn"), of_row[1].alias("part"), "key", "ids")
+        rows = scratch.save(rows, "lm-numbered")
+        for turn in range(rounds):
+            shared, rate = sc.broadcast(p), RATE / (1 + turn)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                start = shared.value
+                each = (
+                    (part, np.frombuffer(raw.as_py(), kind))
+                    for batch in batches
+                    for part, raw in zip(batch.column(0).to_pylist(), batch.column(1))
+                )
+                for _, texts in groupby(each, key=itemgetter(0)):
+                    p = {k: v.copy() for k, v in start.items()}
+                    n = learn(p, _gathered(ids for _, ids in texts), rate)
+                    sums = _pack(p).astype(np.float64) * n
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([sums.tobytes()], pa.binary()), pa.array([n])], ["total", "words"]
+                    )
+
+            own = rows.where(F.col("turn") == turn).repartitionById(parts, "part")
+            own = own.sortWithinPartitions("part", "key").select("part", "ids")
+            sums = scratch.save(own.mapInArrow(run, "total binary, words bigint"), "lm-sums")
+            got = _averaged(sums).collect()
+            if got:
+                p = _unpack(np.frombuffer(got[0]["total"], np.float64) / got[0]["words"], words.classes)
     return p
 
 
@@ -320,13 +390,13 @@ def _packed(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _scored(docs: DataFrame, keep: tuple[str, ...], words: Vocabulary) -> DataFrame:
+def _scored(docs: DataFrame, keep: tuple[str, ...], words: Vocabulary, total: int) -> DataFrame:
     """Chunks of scored rows as of ``_packed``; ``sum`` is still without the rare words' counts."""
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs, words), words))
+    shared = docs.sparkSession.sparkContext.broadcast((train(docs, keep, words, total), vars(words)))
     frame = docs.select(F.struct(*keep).alias("kept"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, words = shared.value
+        p, words = shared.value[0], Vocabulary.of(shared.value[1])
         chunk, size, held = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
             row = 0
@@ -382,10 +452,13 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     Words are runs of non-white-space, A-Z lower-cased. Null, empty and blank texts have no
     words, a sum of 0 and a null mean. Repeated rows get the same score. An empty table gives
-    an empty result. Vocabulary and network come from all documents.
+    an empty result. Vocabulary and network come from all documents; a text of any length is
+    learned from and scored whole. The same rows in other files or partitions get the same
+    scores, but for rounding.
     """
     counts = save(word_counts(docs), "lm-counts")
-    chunks = save(_scored(docs, keep, vocabulary(counts)), "lm-scored")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    chunks = save(_scored(docs, keep, vocabulary(counts), total), "lm-scored")
     rare = chunks.where("NOT is_row").select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "h"))
     logs = rare.join(counts.where("n > 1").select("h", F.ln("n").alias("log_n")), "h").drop("h")
     rows = chunks.where("is_row").select("chunk", "kept", "n_words", "sum", "rare")

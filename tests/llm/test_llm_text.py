@@ -256,6 +256,29 @@ def test_lm_learns_what_stands_around(spark):
     assert mean > -np.log(60) * 0.85
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "PART_WORDS", 500)
+    monkeypatch.setattr(lm, "PER_PARAMETER", 0)
+    monkeypatch.setattr(lm, "GATHER", 200)
+    df, got = frame(spark, rows), []
+    for n in (2, 16, 211):
+        scored = lm.score(df.repartition(n), keep=("doc_id", "text")).collect()
+        got.append(sorted(((repr(r["doc_id"]), repr(r["text"]), r["log_prob"]) for r in scored)))
+    for other in got[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in got[0]]
+        assert np.allclose([r[2] for r in other], [r[2] for r in got[0]], rtol=1e-5, atol=1e-4)
+
+
+def test_lm_broadcasts_plain_arrays():
+    import pickle
+
+    words = lm.Vocabulary([5, -3], np.array([4, 0]), 2)
+    state = pickle.dumps(vars(words))
+    assert b"gradeloom" not in state
+    h = np.array([5, 2**64 - 3, 8, 9], np.uint64)
+    assert lm.Vocabulary.of(pickle.loads(state)).ids(h).tolist() == words.ids(h).tolist()
+
+
 def test_lm_tells_rare_words_apart(spark):
     """Words without a number of their own are scored by their own counts: of two in one place
     and between the same neighbours, the ratio of probabilities is that of the counts."""
