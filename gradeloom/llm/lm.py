@@ -324,7 +324,7 @@ def train(
     kind = _id_type(words.classes)
     sc = docs.sparkSession.sparkContext
     with Scratch(docs.sparkSession) as scratch:
-        of_row = F.expr(f"int(pmod(key, {rounds}))"), F.expr(f"int(pmod(floor(key / {rounds}), {parts}))")
+        of_row = F.expr(f"int(pmod(key, {rounds}))"), F.expr(f"int(pmod(shiftright(key, 8), {parts}))")
         rows = _numbered(docs, keep, words).select(of_row[0].alias("turn"), of_row[1].alias("part"), "key", "ids")
         rows = scratch.save(rows, "lm-numbered")
         for turn in range(rounds):
