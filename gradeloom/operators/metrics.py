@@ -6,8 +6,9 @@ a system that holds most rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -88,49 +89,36 @@ def overall_mse(per_trait: DataFrame) -> DataFrame:
     return per_trait.groupBy("system").agg(F.avg("mse").alias("overall_mse"))
 
 
-# Occurrences, per side, of the words that both sides have: ``hp`` and ``hg``. The mark comes
-# after the word, so a word's occurrences stand together; ``p`` and ``g`` count the run.
-_COMMON = """aggregate(
-  sort_array(concat(transform(_p, x -> concat(x, ' 0')), transform(_g, x -> concat(x, ' 1')))),
-  struct('' AS w, 0 AS p, 0 AS g, 0 AS hp, 0 AS hg),
-  (a, x) -> IF(a.w = left(x, length(x) - 2),
-    struct(a.w AS w, a.p + IF(right(x, 1) = '0', 1, 0) AS p, a.g + IF(right(x, 1) = '1', 1, 0) AS g,
-      a.hp AS hp, a.hg AS hg),
-    struct(left(x, length(x) - 2) AS w, IF(right(x, 1) = '0', 1, 0) AS p,
-      IF(right(x, 1) = '1', 1, 0) AS g, a.hp + IF(a.g > 0, a.p, 0) AS hp,
-      a.hg + IF(a.p > 0, a.g, 0) AS hg)),
-  a -> struct(a.hp + IF(a.g > 0, a.p, 0) AS hp, a.hg + IF(a.p > 0, a.g, 0) AS hg))"""
-
-
-# The same by looking up every word among the common ones, for texts short enough for that.
-_LOOKED_UP = """struct(size(filter(_p, x -> array_contains(_c, x))) AS hp,
-  size(filter(_g, x -> array_contains(_c, x))) AS hg)"""
-_FEW = 1 << 16  # comparisons
+def _hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Per pair of lower-cased texts: the words of each, and those of each that the other has
+    too, repeats counted; NULL hits where a text is NULL."""
+    for own, other in batches:
+        rows = []
+        for a, b in zip(own, other):
+            p, g = (a or "").split(), (b or "").split()
+            if a is None or b is None:
+                rows.append((len(p), len(g), None, None))
+            else:
+                rows.append((len(p), len(g), sum(map(set(g).__contains__, p)), sum(map(set(p).__contains__, g))))
+        yield pd.DataFrame(rows, columns=["np", "ng", "hp", "hg"], dtype="Int64")
 
 
 def lexical_match(traits: DataFrame) -> DataFrame:
     """Add ``precision``, ``recall`` and ``f1`` of ``pred_text`` against ``gt_text``.
 
     Greedy matching with word identity as the similarity: the share of predicted words found
-    in the reference, and the reverse. Both texts sit in one row, so nothing is joined. Words
-    of short texts are looked up among the common ones. For long texts the words of both,
-    marked by side, are sorted together, and one pass over the runs of equal words counts
-    those that have both sides: n log n for texts of any length.
+    in the reference, and the reverse. Both texts sit in one row, so nothing is joined. They
+    are lower-cased by Spark and cut at white space and looked up by hash in its Python tasks,
+    which takes time in proportion to the words of a text of any length.
     """
     kept = traits.columns
-    words = F.struct(TX.words(F.col("pred_text")).alias("_p"), TX.words(F.col("gt_text")).alias("_g"))
-    df = traits.select("*", F.inline(F.array(words)))
-    df = df.select("*", F.inline(F.array(F.struct(F.array_intersect("_p", "_g").alias("_c")))))
-    df = df.withColumn(
-        "_hits",
-        F.expr(f"IF(bigint(size(_c)) * (size(_p) + size(_g)) <= {_FEW}, {_LOOKED_UP}, {_COMMON})"),
-    )
+    hits = F.pandas_udf(_hits, "np bigint, ng bigint, hp bigint, hg bigint")
+    df = traits.withColumn("_hits", hits(F.lower("pred_text"), F.lower("gt_text")))
 
-    def share(tokens: str, side: str):
-        n = F.size(tokens)
-        return F.when(n > 0, F.col(f"_hits.{side}") / n).otherwise(F.lit(0.0))
+    def share(n: str, hit: str):
+        return F.when(F.col(f"_hits.{n}") > 0, F.col(f"_hits.{hit}") / F.col(f"_hits.{n}")).otherwise(F.lit(0.0))
 
-    df = df.withColumns({"_pr": share("_p", "hp"), "_re": share("_g", "hg")})
+    df = df.withColumns({"_pr": share("np", "hp"), "_re": share("ng", "hg")})
     return _with_f1(df).select(*kept, "precision", "recall", "f1")
 
 

@@ -366,3 +366,14 @@ def test_skip_blank(spark, tmp_path):
     bad = write_file(tmp_path / "y.jsonl", ["{broken"])
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         jsonl.scan_skip_blank(spark, bad, jsonl.RAW_SCHEMA).collect()
+
+
+def test_word_match_needs_no_search_per_word(spark):
+    rows = [("a b a C", "c a x"), ("a", None), (None, "a"), ("", "a"), ("a\x1cb\x85c", "B a"), ("İ x", "i̇ X")]
+    df = spark.createDataFrame(rows, "pred_text string, gt_text string")
+    got = M.lexical_match(df)
+    assert [(r.precision, r.recall) for r in got.collect()] == [
+        (0.75, pytest.approx(2 / 3)), (None, 0.0), (0.0, None), (0.0, 0.0), (pytest.approx(2 / 3), 1.0), (1.0, 1.0),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "sort_array" not in plan
