@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gradeloom.session import prepare, scratch_path
+from gradeloom.session import BATCH_BYTES, prepare, scratch_path
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-BATCH_BYTES = "8m"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Python tasks get texts in batches of this many bytes, or one row if it is longer; a
     batch is held by the JVM and by Python at once."""

@@ -10,14 +10,18 @@ from pyspark.sql import SparkSession
 
 import gradeloom
 
+BATCH_BYTES = "8m"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """What the operators need of a session.
 
     A repeated JSON key keeps its last value, and Python functions of this package travel
-    with the tasks, so that workers need not have it installed.
+    with the tasks, so that workers need not have it installed. Python gets rows in batches of
+    so many bytes, or one row if it is longer, since it holds a batch several times over.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     cloudpickle.register_pickle_by_value(gradeloom)
     return spark
 
@@ -46,5 +50,5 @@ def materialize(df, name: str):
     """Write once, read back: cuts lineage and fixes the output of non-repeatable work."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

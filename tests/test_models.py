@@ -275,3 +275,25 @@ def test_examples_without_an_output_are_counted(spark):
     budget = sft.sft_token_budget(tokens, 2000).first()
     assert (budget.n, budget.n_without_output) == (4, 2)
     assert budget.tokens_total == sum(rows[i].n_full for i in (1, 2, 4, 5))
+
+
+def test_python_gets_small_batches(spark):
+    """Python holds a batch several times over: prompts as text, tokens and answers."""
+    from gradeloom.operators import engine, sft
+
+    def count():
+        def sizes(texts):
+            if sum(map(len, texts)) > 9_000_000:
+                raise ValueError("a batch of more than 9 MB")
+            return [len(t) for t in texts]
+
+        return sizes
+
+    def tokenizer():
+        check = count()
+        return lambda texts: [[n] for n in check(texts)]
+
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('word ', 20000) AS text", "'label' AS label")
+    assert engine.engine_infer(df, stubs.LengthModel(), count_factory=count).where("error IS NULL").count() == 400
+    tokens = sft.sft_tokenize_mask(sft.sft_examples(df), tokenizer)
+    assert tokens.where("size(input_ids) > 0").count() == 400
