@@ -92,9 +92,9 @@ def _texts(labels: DataFrame, spark, sf_dir) -> DataFrame:
 def scan_jsonl_folder(spark, sf_dir):
     preds = _texts(views.label_pred(spark, sf_dir), spark, sf_dir).withColumnRenamed("system", "trait")
     root = scratch_path(spark, "folders")
-    jsonl.write_jsonl(preds.where("trait = 'sys0'"), f"{root}/a")
-    jsonl.write_jsonl(preds.where("trait <> 'sys0'"), f"{root}/b")
-    df = jsonl.scan_folders(spark, [f"{root}/a", f"{root}/b"], pattern="*.json")
+    jsonl.write_jsonl(preds.where("trait = 'sys0'"), f"{root}/a", compression="gzip")
+    jsonl.write_jsonl(preds.where("trait <> 'sys0'"), f"{root}/b", compression="gzip")
+    df = jsonl.scan_folders(spark, [f"{root}/a", f"{root}/b"], pattern="*.json.gz")
     return df.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "trait")
 
 
@@ -113,10 +113,11 @@ def scan_unread_keys(spark, sf_dir):
         ).alias("value")
     )
     root = scratch_path(spark, "unread")
-    records.write.text(f"{root}/in")
-    rows = O.project_labeled(jsonl.scan_records(spark, [f"{root}/in"]), keep=("rest",))
+    records.write.text(f"{root}/in", compression="gzip")
+    rows = O.project_labeled(jsonl.scan_records(spark, [f"{root}/in"], pattern="*.txt.gz"), keep=("rest",))
     keyed = materialize(S.with_strat_key(O.clean_labels(rows)), "keyed")
-    jsonl.write_partitioned(S.stratified_split(keyed).drop("strat_key"), f"{root}/out", "split")
+    split = S.stratified_split(keyed).drop("strat_key")
+    jsonl.write_partitioned(split, f"{root}/out", "split", compression="gzip")
     df = jsonl.scan_split(spark, f"{root}/out", "split")
     return df.select(
         "id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "split",
@@ -210,9 +211,9 @@ def clean_with_rejects(spark, sf_dir):
     first = F.col("id") % 3 == 0
     for part in (preds.where(first), preds.where(~first), None):
         if part is not None:
-            part.write.mode("append").json(f"{root}/in")
+            part.write.mode("append").json(f"{root}/in", compression="gzip")
         args = [f"{root}/{f}" for f in ("in", "valid", "rejected", "checkpoint")]
-        stream.clean_with_rejects(spark, *args).awaitTermination()
+        stream.clean_with_rejects(spark, *args, pattern="*.json.gz", compression="gzip").awaitTermination()
     sinks = [
         stream.scan_batches(spark, f"{root}/{f}").withColumn("kept", F.lit(f == "valid"))
         for f in ("valid", "rejected")
@@ -414,9 +415,9 @@ def align_systems_positional(spark, sf_dir):
         if system == "sys1":  # lost rows shift everything behind them
             rows = rows.where(F.col("id") % 97 != 13)
         paths[system] = f"{root}/{system}"
-        jsonl.write_lines_in_order(rows.select("id", record), "id", paths[system])
+        jsonl.write_lines_in_order(rows.select("id", record), "id", paths[system], "gzip")
     truth = f"{root}/truth"
-    jsonl.write_lines_in_order(views.label_gt(spark, sf_dir).select("id", record), "id", truth)
+    jsonl.write_lines_in_order(views.label_gt(spark, sf_dir).select("id", record), "id", truth, "gzip")
     records = jsonl.records_of_lines(jsonl.scan_systems(spark, paths))
     gt = jsonl.records_of_lines(jsonl.scan_lines_with_position(spark, truth))
     aligned = A.align(

@@ -19,6 +19,7 @@ from gradeloom.session import materialize
 
 RECORD_SCHEMA = "id BIGINT, text STRING, label STRING, trait STRING"
 RAW_SCHEMA = "id BIGINT, text STRING"
+WRITTEN = "*.{json,jsonl,txt}{,.gz}"  # part files of the writers below
 
 
 def scan_folders(
@@ -86,7 +87,7 @@ def open_records(
 
 def scan_split(spark: SparkSession, path: str, column: str, schema: str | StructType = RECORD_SCHEMA) -> DataFrame:
     """What ``write_partitioned`` has written: the records, ``rest`` and ``column``."""
-    return scan_records(spark, [path], schema, partitions=[column]).drop("source_file")
+    return scan_records(spark, [path], schema, WRITTEN, partitions=[column]).drop("source_file")
 
 
 def _literal(text: str) -> str:
@@ -269,10 +270,11 @@ def scan_systems(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return out
 
 
-def write_lines_in_order(lines: DataFrame, order_by: str, path: str) -> None:
-    """A column ``value`` as a folder of text files whose name order is the row order."""
+def write_lines_in_order(lines: DataFrame, order_by: str, path: str, compression: str = "none") -> None:
+    """A column ``value`` as a folder of text files whose name order is the row order.
+    ``compression`` is a codec of Spark's text source; a compressed file is read by one task."""
     ranged = lines.repartitionByRange(order_by).sortWithinPartitions(order_by)
-    ranged.select("value").write.mode("overwrite").text(path)
+    ranged.select("value").write.mode("overwrite").text(path, compression=compression)
 
 
 def _whole_records(df: DataFrame, rest: str, apart: Sequence[str] = ()) -> DataFrame:
@@ -294,23 +296,29 @@ def _whole_records(df: DataFrame, rest: str, apart: Sequence[str] = ()) -> DataF
     return df.select(*apart, F.when(extra.isNull(), known).otherwise(both).alias("value"))
 
 
-def write_jsonl(df: DataFrame, path: str, rest: str = "rest") -> None:
+def write_jsonl(df: DataFrame, path: str, rest: str = "rest", compression: str = "none") -> None:
     """Replace whatever is at ``path``. The keys of a VARIANT column ``rest`` become keys of
-    the records, in part files that end in ``.txt``; without one they end in ``.json``."""
+    the records, in part files that end in ``.txt``; without one they end in ``.json``. With a
+    ``compression`` (a codec of Spark's text source) its suffix follows, such as ``.json.gz``."""
     if _has_rest(df, rest):
-        _whole_records(df, rest).write.mode("overwrite").text(path)
+        _whole_records(df, rest).write.mode("overwrite").text(path, compression=compression)
     else:
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def _has_rest(df: DataFrame, rest: str) -> bool:
     return rest in df.columns and isinstance(df.schema[rest].dataType, VariantType)
 
 
-def write_partitioned(df: DataFrame, path: str, column: str, rest: str = "rest") -> None:
+def write_partitioned(
+    df: DataFrame, path: str, column: str, rest: str = "rest", compression: str = "none"
+) -> None:
     """One sub-folder per value of ``column`` (``split`` or ``system``); every task writes
-    its own rows, so a large group is not gathered first. ``rest`` as in ``write_jsonl``."""
+    its own rows, so a large group is not gathered first. ``rest`` and ``compression`` as in
+    ``write_jsonl``."""
     if _has_rest(df, rest):
-        _whole_records(df, rest, [column]).write.mode("overwrite").partitionBy(column).text(path)
+        whole = _whole_records(df, rest, [column]).write.mode("overwrite").partitionBy(column)
+        whole.text(path, compression=compression)
         return
-    df.write.mode("overwrite").partitionBy(column).option("ignoreNullFields", "false").json(path)
+    rows = df.write.mode("overwrite").partitionBy(column).option("ignoreNullFields", "false")
+    rows.json(path, compression=compression)

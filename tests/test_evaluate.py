@@ -377,3 +377,19 @@ def test_word_match_needs_no_search_per_word(spark):
     ]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan and "sort_array" not in plan
+
+
+def test_writers_compress(spark, tmp_path):
+    from gradeloom.streaming import clean as stream
+
+    good = json.dumps({t: {"score": 5, "feedback": "x" * 500} for t in CRITERIA})
+    rows = spark.createDataFrame([(i, good if i % 2 else "none", "a" if i < 5 else "b") for i in range(9)], "id long, label string, split string")
+    jsonl.write_partitioned(rows, f"{tmp_path}/parts", "split", compression="gzip")
+    got = jsonl.scan_split(spark, f"{tmp_path}/parts", "split")
+    assert {(r.id, r.label, r.split) for r in got.collect()} == {tuple(r) for r in rows.collect()}
+    jsonl.write_jsonl(rows.drop("split"), f"{tmp_path}/in", compression="gzip")
+    sinks = [f"{tmp_path}/{x}" for x in ("in", "valid", "rejected", "checkpoint")]
+    stream.clean_with_rejects(spark, *sinks, pattern="*.json.gz", compression="gzip").awaitTermination()
+    found = [{r.id for r in stream.scan_batches(spark, s).collect()} for s in sinks[1:3]]
+    assert found == [{1, 3, 5, 7}, {0, 2, 4, 6, 8}]
+    assert not list(tmp_path.rglob("part-*.json")) and not list(tmp_path.rglob("part-*.txt"))
