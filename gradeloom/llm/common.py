@@ -134,7 +134,7 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def native_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """The same filter as one row ``words``, for use inside a plan through ``maybe_in``."""
+    """The same filter as a table of one row ``words``, for use inside a plan through ``split``."""
     slot = F.col(column).bitwiseAND(F.lit(bits - 1))
     words = keys.where(F.col(column).isNotNull()).select(
         F.shiftright(slot, 6).cast("bigint").alias("w"),
@@ -152,8 +152,15 @@ def dense_words(words: DataFrame, n: int) -> DataFrame:
     )
 
 
-def maybe_in(words: DataFrame, column: str, bits: int = BITMAP_BITS) -> Column:
-    """Whether a key may be in a ``native_bitmap``; a null key is not."""
-    word = F.get(words.scalar(), F.expr(f"int(shiftrightunsigned({column} & {bits - 1}L, 6))"))
+def split(rows: DataFrame, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``column`` is surely not among that of ``keys``, and the others; a null is not.
+
+    The filter is broadcast as a table of one row. As a value in the plan it would be in the code
+    of every task, which the driver holds several times over.
+    """
+    words = native_bitmap(keys, column, bits)
+    word = F.get(words["words"], F.expr(f"int(shiftrightunsigned({column} & {bits - 1}L, 6))"))
     hit = word.bitwiseAND(F.expr(f"shiftleft(1L, int({column} & 63))")) != 0
-    return F.coalesce(hit, F.lit(False))
+    maybe = F.coalesce(hit, F.lit(False))
+    words = F.broadcast(words)
+    return rows.join(words, maybe, "left_anti"), rows.join(words, maybe, "left_semi")

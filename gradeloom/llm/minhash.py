@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
 from gradeloom.llm.common import (
-    Scratch, bitmap, bucket_count, in_bitmap, maybe_in, native_bitmap, save,
+    Scratch, bitmap, bucket_count, in_bitmap, save, split,
 )
 from gradeloom.llm.components import components
 
@@ -338,10 +338,9 @@ def deduplicate(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     best = found.where("kept").groupBy("root").agg(F.min("place").alias("best"))
     doubtful = found.join(best, "root").select("place", "n", (F.col("place") == F.col("best")).alias("stays"))
     doubtful = save(doubtful.where("n > 1 OR NOT stays").groupBy("place").agg(F.max("stays").alias("stays")), "near-doubtful")
-    possible = maybe_in(native_bitmap(doubtful, "place"), "place")
-    sure = packed.where(~possible).select("_row.*")
-    rest = packed.where(possible).join(doubtful, "place", "left").where("stays IS NULL OR stays")
+    sure, possible = split(packed, doubtful, "place")
+    rest = possible.join(doubtful, "place", "left").where("stays IS NULL OR stays")
     # Of rows that are repeats of one another, one stays.
     number = F.row_number().over(Window.partitionBy("place").orderBy(F.lit(0)))
     rest = rest.withColumn("_n", number).where("stays IS NULL OR _n = 1").select("_row.*")
-    return sure.unionByName(rest)
+    return sure.select("_row.*").unionByName(rest)

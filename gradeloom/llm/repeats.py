@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as W
 from gradeloom.llm.common import (
-    Scratch, bitmap, bucket_count, in_bitmap, maybe_in, native_bitmap, save, with_columns,
+    Scratch, bitmap, bucket_count, in_bitmap, save, split, with_columns,
 )
 from gradeloom.llm.lyndon import suffix_array
 
@@ -353,12 +353,9 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     others with ``spans``. Only texts that may be in the second part are shuffled."""
     cover = covered(docs)
     key = F.xxhash64("doc", "place")
-    bits = native_bitmap(cover.select(key.alias("k")), "k")
-    placed = _placed(docs).withColumn("k", key)
-    possible = maybe_in(bits, "k")
-    rest = placed.where(~possible).drop("k", "doc", "place")
-    other = placed.where(possible).join(cover, ["doc", "place"], "left").drop("k", "doc", "place")
-    return rest, other
+    sure, possible = split(_placed(docs).withColumn("k", key), cover.select(key.alias("k")), "k")
+    other = possible.join(cover, ["doc", "place"], "left").drop("k", "doc", "place")
+    return sure.drop("k", "doc", "place"), other
 
 
 def keep(raw: bytes, spans) -> bytes:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradeloom.llm import mixing, quality
+from gradeloom.llm.common import split
 
 CLASHES = ("text_hash", "_n", "rows", "copies", "copy", "_row", "place", "root", "kept", "score", "predicted", "bucket", "_copy")
 
@@ -103,3 +104,15 @@ def test_learning_does_not_depend_on_repeated_rows(spark):
     once = quality.train(docs, labels)
     many = quality.train(docs.unionByName(docs.where("doc_id < 20")), labels)
     assert np.array_equal(once["weights"], many["weights"]) and once["curve"] == many["curve"]
+
+
+def test_the_filter_of_changed_rows_is_no_value_in_a_plan(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"row {i}") for i in range(200)], "k long, words string")
+    sure, possible = split(rows, rows.where("k % 5 = 0").select("k"), "k")
+    for part in (sure, possible):
+        assert part.columns == ["k", "words"]
+        assert "ubquery" not in part._jdf.queryExecution().executedPlan().toString()
+    listed = {i for i in range(200) if i % 7 and i % 5 == 0}
+    assert {r.k for r in possible.collect()} == listed
+    left = [r.k for r in sure.collect()]
+    assert len(left) == 200 - len(listed) and left.count(None) == sum(i % 7 == 0 for i in range(200))
