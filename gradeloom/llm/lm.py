@@ -159,58 +159,80 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([line[at + r] for r in REACH])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Down the columns, in place: sums along the first axis run over whole rows."""
-    x -= x.max(0)
-    x -= np.log(np.exp(x).sum(0))
-    return x
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """The logarithms of the sums of exponentials down the columns of ``x``, from which the
+    greatest are taken away in place: sums along the first axis run over whole rows."""
+    x -= np.maximum.reduce(x, 0)
+    return np.log(np.add.reduce(np.exp(x), 0))
 
 
-def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn: bool = False):
-    """The log-probability of each word; with ``learn`` also the gradients of their negative mean."""
+def _passed(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn: bool):
+    """As ``forward``, but of the embeddings only the rows that have a gradient, and theirs."""
     n, classes, per_class = len(ids), len(p["word_bias"]), p["word_bias"].shape[1]
     cls, word = ids // per_class, ids % per_class
     # Words in order of their class, so that a class is a slice.
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    border = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+    border = np.searchsorted(cls[order], np.arange(classes + 1))
     around, cls, word, column = around[:, order], cls[order], word[order], np.arange(n)
-    hidden = p["embed"][0][around[0]]
+    hidden = p["embed"][0].take(around[0], 0)
     for k in range(1, len(REACH)):
-        hidden += p["embed"][k][around[k]]
-    hidden = np.tanh(hidden + p["shift"])
-    of_class = _log_softmax(p["class"].T @ hidden.T + p["class_bias"][:, None])
-    found = of_class[cls, column]
-    if learn:
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        d = np.exp(of_class, out=of_class)
-        d[cls, column] -= 1
-        grad["class"], grad["class_bias"] = (d @ hidden).T, d.sum(1)
-        back = (p["class"] @ d).T
-    for c in range(classes):
-        i, j = border[c], border[c + 1]
-        if i == j:
-            continue
-        h = hidden[i:j]
-        d = _log_softmax(p["word"][c].T @ h.T + p["word_bias"][c][:, None])
-        found[i:j] += d[word[i:j], column[: j - i]]
-        if learn:
-            np.exp(d, out=d)
-            d[word[i:j], column[: j - i]] -= 1
-            grad["word"][c], grad["word_bias"][c] = (d @ h).T, d.sum(1)
-            back[i:j] += (p["word"][c] @ d).T
+        hidden += p["embed"][k].take(around[k], 0)
+    hidden += p["shift"]
+    np.tanh(hidden, out=hidden)
+    of_class = p["class"].T @ hidden.T
+    of_class += p["class_bias"][:, None]
+    logs = _shifted(of_class)
+    found = of_class[cls, column] - logs
+    # One block per class, words of the class by places of the text, and where each word is in it.
+    flat = np.empty(n * per_class, hidden.dtype)
+    at = border[cls] * per_class + word * np.diff(border)[cls] + column - border[cls]
+    word_logs, blocks = np.empty(n, hidden.dtype), []
+    for c, (i, j) in enumerate(zip(border[:-1].tolist(), border[1:].tolist())):
+        if i < j:
+            d = flat[i * per_class : j * per_class].reshape(per_class, j - i)
+            np.matmul(p["word"][c].T, hidden[i:j].T, out=d)
+            d += p["word_bias"][c][:, None]
+            word_logs[i:j] = _shifted(d)
+            blocks.append((c, i, j, d))
+    found += flat[at] - word_logs
     out = np.empty(n, found.dtype)
     out[order] = found
     if not learn:
         return out
+    grad = {k: np.zeros_like(v) for k, v in p.items() if k != "embed"}
+    of_class -= logs
+    d = np.exp(of_class, out=of_class)
+    d[cls, column] -= 1
+    grad["class"], grad["class_bias"] = (d @ hidden).T, d.sum(1)
+    back = (p["class"] @ d).T
+    for c, i, j, d in blocks:
+        d -= word_logs[i:j]
+        np.exp(d, out=d)
+    flat[at] -= 1
+    for c, i, j, d in blocks:
+        grad["word"][c], grad["word_bias"][c] = (d @ hidden[i:j]).T, np.add.reduce(d, 1)
+        back[i:j] += (p["word"][c] @ d).T
     back = back * (1 - hidden * hidden)
     grad["shift"] = back.sum(0)
     narrow = np.int16 if classes * per_class < 1 << 15 else np.int32  # 16 bits sort faster
+    rows = []
     for k in range(len(REACH)):
         by = np.argsort(around[k].astype(narrow), kind="stable")
         own = around[k][by]
         start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        grad["embed"][k][own[start]] = np.add.reduceat(back[by], start, axis=0)
-    return out, {k: g / n for k, g in grad.items()}
+        rows.append((own[start], np.add.reduceat(back.take(by, 0), start, axis=0) / n))
+    return out, {k: g / n for k, g in grad.items()}, rows
+
+
+def forward(p: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, learn: bool = False):
+    """The log-probability of each word; with ``learn`` also the gradients of their negative mean."""
+    if not learn:
+        return _passed(p, around, ids, False)
+    out, grad, rows = _passed(p, around, ids, True)
+    embed = np.zeros_like(p["embed"])
+    for k, (own, g) in enumerate(rows):
+        embed[k][own] = g
+    return out, grad | {"embed": embed}
 
 
 def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -230,13 +252,24 @@ def learn(p: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray
     """One pass of steps over ``(contexts, ids)``, in place; rates shrink per parameter with
     the gradients it has had. The number of words seen."""
     had = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+
+    def step(x: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
+        squares += g * g
+        g *= rate
+        g /= np.sqrt(squares)
+        x -= g
+
     seen = 0
     for around, ids in parts:
         for i in range(0, len(ids), LEARN_STEP):
-            _, grad = forward(p, around[:, i : i + LEARN_STEP], ids[i : i + LEARN_STEP], learn=True)
+            _, grad, rows = _passed(p, around[:, i : i + LEARN_STEP], ids[i : i + LEARN_STEP], True)
+            # A row without a gradient stays as it is.
+            for x, squares, (own, g) in zip(p["embed"], had["embed"], rows):
+                new, sums = x.take(own, 0), squares.take(own, 0)
+                step(new, sums, g)
+                x[own], squares[own] = new, sums
             for k, g in grad.items():
-                had[k] += g * g
-                p[k] -= rate * g / np.sqrt(had[k])
+                step(p[k], had[k], g)
         seen += len(ids)
     return seen
 

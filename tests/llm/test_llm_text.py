@@ -225,6 +225,23 @@ def test_network_gradient():
             assert abs(-(up - down) / (2 * h) - g[i]) < 1e-6
 
 
+def test_only_embeddings_with_a_gradient_are_stepped():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, lm.WORDS, 300)
+    around = lm.contexts(ids, np.array([0, 200, 200, 300]))
+    p = lm.start_parameters()
+    _, grad, rows = lm._passed(p, around, ids, True)
+    _, dense = lm.forward(p, around, ids, learn=True)
+    for k, (own, g) in enumerate(rows):
+        assert own.tolist() == sorted(set(around[k].tolist())) and len(own) < len(dense["embed"][k]) / 3
+        assert (dense["embed"][k][own] == g).all()
+    stepped = {k: v.copy() for k, v in p.items()}
+    assert lm.learn(stepped, iter([(around, ids)])) == len(ids)
+    for k, g in dense.items():
+        had = np.full_like(g, 1e-6) + g * g
+        assert (stepped[k] == p[k] - lm.RATE * g / np.sqrt(had)).all()
+
+
 def test_contexts_stay_inside_texts():
     around = lm.contexts(np.array([1, 2, 3, 4]), np.array([0, 3, 3, 4]))
     e = lm.EDGE
