@@ -26,7 +26,7 @@ from gradeloom.operators import (
 )
 from gradeloom.operators import labels as O
 from gradeloom.operators import split as S
-from gradeloom.session import materialize, prepare, scratch_path
+from gradeloom.session import Scratch, materialize, prepare, scratch_path
 from gradeloom.settings import CRITERIA, THRESHOLD
 from gradeloom.sources import jsonl, report, store, views
 from gradeloom.streaming import clean as stream
@@ -508,8 +508,11 @@ def feedback_match_prf(spark, sf_dir):
 
 @query
 def feedback_match_embedding(spark, sf_dir):
-    traits = A.compared_traits(_aligned(spark, sf_dir, with_feedback=True))
-    matched = match.embedding_match(traits, stubs.letter_encoder)
+    with Scratch(spark) as tables:
+        preds, truth = views.label_pred(spark, sf_dir), views.label_gt(spark, sf_dir)
+        aligned, texts = A.align_with_texts(preds, truth, views.SYSTEMS, tables)
+        traits = A.compared_traits(aligned)
+        matched = match.embedding_match(traits, stubs.letter_encoder, texts=texts, encoded=tables.clear)
     return metrics.feedback_match(matched).select(
         "system", "trait", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
     )

@@ -16,3 +16,8 @@ def seeded_hash(key: Sequence[str], seed: int) -> Column:
 
 def hex_to_long(hex_text: Column, digits: int) -> Column:
     return F.conv(F.left(hex_text, F.lit(digits)), 16, 10).cast("bigint")
+
+
+def text_hash(text: Column) -> Column:
+    """What a text is known by: the first 16 bytes of its SHA-256. A null text counts as empty."""
+    return F.unhex(F.left(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(32)))

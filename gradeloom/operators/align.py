@@ -6,7 +6,7 @@ map-side combining: a key that a faulty input repeats millions of times becomes
 task. The group's row holds a count and the scores of every system, packed into whole
 numbers, so aggregation buffers have a fixed width and nothing is sorted. No join of
 labels, so repeated keys never multiply. Feedback texts stay out of it; they are joined to the
-comparable keys afterwards.
+comparable keys afterwards, or only their hashes are (``align_with_texts``).
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import labels as L
+from gradeloom.functions.hashing import text_hash
 from gradeloom.operators.labels import parse_label, quoted, with_reason
-from gradeloom.session import materialize
+from gradeloom.session import Scratch, materialize
 from gradeloom.settings import CRITERIA
 
 
@@ -88,14 +89,64 @@ def align(
     arrays, ``feedback`` and ``gt_feedback``, for comparable rows. Then parsed labels are written
     once, and both the scores and the texts are read from there.
     """
-    key, n = list(key), len(criteria)
+    key = list(key)
     preds = preds.where(F.col("system").isin(*systems))
-    packs = _packs(criteria)
     scored = score_predictions(preds, key, criteria, with_feedback)
     told = score_truth(truth, key, criteria, with_feedback)
     if with_feedback:
         scored, told = materialize(scored, "scored"), materialize(told, "scored-truth")
-    rows = scored.drop("feedback").unionByName(told.drop("gt_feedback"), allowMissingColumns=True)
+    aligned = _line_up(scored.drop("feedback"), told.drop("gt_feedback"), systems, key, criteria, nullable)
+    if with_feedback:
+        return _join_feedback(aligned, scored, told, key, "feedback", "gt_feedback")
+    return aligned
+
+
+def align_with_texts(
+    preds: DataFrame,
+    truth: DataFrame,
+    systems: Sequence[str],
+    tables: Scratch,
+    key: Sequence[str] = ("id",),
+    criteria: Sequence[str] = CRITERIA,
+    nullable: Sequence[str] = ("trait",),
+) -> tuple[DataFrame, DataFrame]:
+    """``align`` with the hashes of the feedback, ``feedback_hash`` and ``gt_feedback_hash``, in
+    place of the texts, and the texts of all usable inputs apart: ``text_hash, text``, a row for
+    every time a text occurs.
+
+    The texts stay where they were written with the parsed labels and do not move with the
+    alignment. Both results read ``tables``.
+    """
+    key = list(key)
+    preds = preds.where(F.col("system").isin(*systems))
+
+    def hashed(df: DataFrame, texts: str) -> DataFrame:
+        return df.withColumn(f"{texts}_hash", F.transform(texts, text_hash))
+
+    scored = tables.save(hashed(score_predictions(preds, key, criteria, True), "feedback"), "scored")
+    told = tables.save(hashed(score_truth(truth, key, criteria, True), "gt_feedback"), "scored-truth")
+    scores = scored.drop("feedback", "feedback_hash"), told.drop("gt_feedback", "gt_feedback_hash")
+    aligned = _line_up(*scores, systems, key, criteria, nullable)
+    aligned = _join_feedback(aligned, scored, told, key, "feedback_hash", "gt_feedback_hash")
+
+    def texts(df: DataFrame, name: str) -> DataFrame:
+        each = df.where("ok").selectExpr(name, f"posexplode({name}_hash) AS (i, text_hash)")
+        return each.selectExpr("text_hash", f"{name}[i] AS text")
+
+    return aligned, texts(scored, "feedback").unionByName(texts(told, "gt_feedback"))
+
+
+def _line_up(
+    scored: DataFrame,
+    told: DataFrame,
+    systems: Sequence[str],
+    key: list[str],
+    criteria: Sequence[str],
+    nullable: Sequence[str],
+) -> DataFrame:
+    """``align`` of scored inputs, without feedback."""
+    n, packs = len(criteria), _packs(criteria)
+    rows = scored.unionByName(told, allowMissingColumns=True)
     truths = [f"g{i}" for i in range(n)]
     aggregates, parts = [], []
     for j, name in enumerate(systems):
@@ -123,25 +174,25 @@ def align(
         f"{complete} AS complete", f"{complete} AND {once} AS comparable",
     )
     names = [f"s{i}" for i in range(n)]
-    aligned = flagged.selectExpr(*quoted(key), *truths, "complete", "comparable", "inline(_rows)").selectExpr(
+    return flagged.selectExpr(*quoted(key), *truths, "complete", "comparable", "inline(_rows)").selectExpr(
         *quoted(key), "system", "ok", *names, *truths, "complete", "comparable"
     )
-    if with_feedback:
-        return _join_feedback(aligned, scored, told, key)
-    return aligned
 
 
-def _join_feedback(aligned: DataFrame, scored: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
-    """Bring the texts to the comparable rows. Their keys are unique in every input."""
-    own = scored.where("ok").select(*key, "system", "feedback").alias("p")
-    told = told.select(*key, "gt_feedback").alias("t")
+def _join_feedback(
+    aligned: DataFrame, scored: DataFrame, told: DataFrame, key: list[str], feedback: str, gt_feedback: str
+) -> DataFrame:
+    """Bring the texts, or their hashes, to the comparable rows. Their keys are unique in every
+    input."""
+    own = scored.where("ok").select(*key, "system", feedback).alias("p")
+    told = told.select(*key, gt_feedback).alias("t")
 
     def same(side: str) -> str:
         return " AND ".join(f"a.{k} <=> {side}.{k}" for k in quoted(key)) + " AND a.comparable"
 
     joined = aligned.alias("a").join(own, F.expr(f"{same('p')} AND a.system = p.system"), "left")
     joined = joined.join(told, F.expr(same("t")), "left")
-    return joined.select("a.*", "p.feedback", "t.gt_feedback")
+    return joined.select("a.*", f"p.{feedback}", f"t.{gt_feedback}")
 
 
 def align_by_id(aligned: DataFrame) -> DataFrame:
@@ -169,14 +220,18 @@ def compare_coverage(aligned: DataFrame) -> DataFrame:
 
 
 def compared_traits(aligned: DataFrame, criteria: Sequence[str] = CRITERIA) -> DataFrame:
-    """Comparable rows as one row per key, system and trait."""
+    """Comparable rows as one row per key, system and trait, with the two texts or hashes of
+    texts if ``aligned`` has them."""
     texts = ""
     if "feedback" in aligned.columns:
         texts = ", feedback[{0}] AS pred_text, gt_feedback[{0}] AS gt_text"
+    elif "feedback_hash" in aligned.columns:
+        texts = ", feedback_hash[{0}] AS pred_hash, gt_feedback_hash[{0}] AS gt_hash"
     rows = ", ".join(
         f"struct({L.literal(t)} AS trait, s{i} AS score, g{i} AS gt_score{texts.format(i)})"
         for i, t in enumerate(criteria)
     )
-    drop = {f"{p}{i}" for p in "sg" for i in range(len(criteria))} | {"feedback", "gt_feedback"}
+    drop = {f"{p}{i}" for p in "sg" for i in range(len(criteria))}
+    drop |= {"feedback", "gt_feedback", "feedback_hash", "gt_feedback_hash"}
     keep = [c for c in aligned.columns if c not in drop]
     return valid_in_all_systems(aligned).selectExpr(*quoted(keep), f"inline(array({rows}))")

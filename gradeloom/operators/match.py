@@ -6,30 +6,56 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.session import materialize
+from gradeloom.functions.hashing import text_hash
+from gradeloom.operators.labels import quoted
+from gradeloom.session import Scratch, materialize
 
 # texts -> one (tokens x width) array per text
 Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 
+# The filters of text hashes have at most 2 ** 28 bits (32 MB) each, in rows of 2 ** 12 words.
+MAX_FILTER_DIGITS = 28
+ROW_DIGITS = 12
 
-def _best(a: np.ndarray, b: np.ndarray, chunk: int = 1024) -> float:
-    """Mean over the rows of ``a`` of the best cosine with a row of ``b``."""
+
+def _unit(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+
+
+def _best(a: np.ndarray, b: np.ndarray, chunk: int = 1024) -> tuple[float, float]:
+    """Mean over the rows of ``a`` of the best cosine with a row of ``b``, and the reverse."""
     if len(a) == 0 or len(b) == 0:
-        return 0.0
-    a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-    b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-    best = [(a[i : i + chunk] @ b.T).max(axis=1) for i in range(0, len(a), chunk)]
-    return float(np.concatenate(best).mean())
+        return 0.0, 0.0
+    a, b = _unit(a), _unit(b)
+    own, other = [], np.full(len(b), -np.inf)
+    for i in range(0, len(a), chunk):
+        cosines = a[i : i + chunk] @ b.T
+        own.append(cosines.max(axis=1))
+        np.maximum(other, cosines.max(axis=0), out=other)
+    return float(np.concatenate(own).mean()), float(other.mean())
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """Doubles byte by byte, all first bytes first, compressed: vectors are much larger than
+    their text, and are moved to each text they are compared with."""
+    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(vectors: bytes, tokens: int, width: int) -> np.ndarray:
+    if not tokens * width:
+        return np.empty((0, 0))
+    planes = np.frombuffer(pa.decompress(vectors, tokens * width * 8, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.float64).reshape(tokens, width)
 
 
 def encode_texts(
     texts: DataFrame, encoder_factory: Callable[[], Encoder], batch: int = 64
 ) -> DataFrame:
-    """``text_hash, vectors, width`` of every row of ``texts(text_hash, text)``: the token
-    vectors as doubles, row by row. The encoder is built once per task."""
+    """``text_hash, vectors, tokens, width`` of every row of ``texts(text_hash, text)``: the token
+    vectors as doubles, packed. The encoder is built once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_factory()
@@ -39,30 +65,28 @@ def encode_texts(
                 got = list(encode(part.column(1).to_pylist()))
                 if len(got) != part.num_rows:
                     raise ValueError(f"the encoder gave {len(got)} results for {part.num_rows} texts")
-                got = [np.asarray(v, np.float64) for v in got]
+                got = [np.ascontiguousarray(v, np.float64) for v in got]
+                got = [v if v.ndim == 2 else np.empty((0, 0)) for v in got]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([v.tobytes() for v in got], pa.binary()),
-                        pa.array([v.shape[1] if v.ndim == 2 else 0 for v in got], pa.int32()),
+                        pa.array([_packed(v) if v.size else b"" for v in got], pa.binary()),
+                        pa.array([v.shape[0] for v in got], pa.int32()),
+                        pa.array([v.shape[1] for v in got], pa.int32()),
                     ],
-                    ["text_hash", "vectors", "width"],
+                    ["text_hash", "vectors", "tokens", "width"],
                 )
 
-    return texts.select("text_hash", "text").mapInArrow(run, "text_hash string, vectors binary, width int")
-
-
-def _tokens(vectors: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(vectors, np.float64).reshape(-1, width) if width else np.empty((0, 0))
+    return texts.select("text_hash", "text").mapInArrow(
+        run, "text_hash binary, vectors binary, tokens int, width int"
+    )
 
 
 def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own in batches:
         ph, gh, *columns = own.columns
-        scores = []
-        for p, pw, g, gw in zip(*[c.to_pylist() for c in columns]):
-            p, g = _tokens(p, pw), _tokens(g, gw)
-            scores.append((_best(p, g), _best(g, p)))
+        sides = zip(*[c.to_pylist() for c in columns])
+        scores = [_best(_unpacked(*row[:3]), _unpacked(*row[3:])) for row in sides]
         yield pa.RecordBatch.from_arrays(
             [
                 ph, gh,
@@ -73,38 +97,112 @@ def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _place(bits: int) -> dict[str, Column]:
+    """Where the bit of ``key`` is among so many: its row, its word in the row, the word's value."""
+    word = F.shiftright(F.col("key").bitwiseAND(F.lit(bits - 1)), 6)
+    return {
+        "row": F.shiftright(word, ROW_DIGITS),
+        "at": word.bitwiseAND(F.lit((1 << ROW_DIGITS) - 1)).cast("int"),
+        "bit": F.expr("shiftleft(1L, int(key & 63))"),
+    }
+
+
+def _filters(needed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
+    """Two filters of ``bits`` bits, of the ``key`` of either table, as rows of ``needed`` and
+    ``repeated`` words. Each passes its own keys and by chance some others."""
+    place = _place(bits)
+    none = needed.sparkSession.range(bits >> 6).select(
+        F.shiftright("id", ROW_DIGITS).alias("row"),
+        F.col("id").bitwiseAND(F.lit((1 << ROW_DIGITS) - 1)).cast("int").alias("at"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("needed", "repeated")],
+    )
+
+    def words(keys: DataFrame, name: str) -> DataFrame:
+        own = keys.select(place["row"].alias("row"), place["at"].alias("at"), place["bit"].alias(name))
+        return none.where("false").unionByName(own, allowMissingColumns=True)
+
+    each = none.unionByName(words(needed, "needed")).unionByName(words(repeated, "repeated"))
+    each = each.groupBy("row", "at").agg(F.bit_or("needed").alias("needed"), F.bit_or("repeated").alias("repeated"))
+    rows = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "needed", "repeated"))).alias("x"))
+    return rows.selectExpr("row", "x.needed AS needed", "x.repeated AS repeated")
+
+
+def each_once(texts: DataFrame, needed: DataFrame, tables: Scratch) -> list[DataFrame]:
+    """The texts whose ``text_hash`` is in ``needed``, each one once, and by chance some others,
+    none of them twice: two parts of ``text_hash, text``.
+
+    Only hashes are counted. Two filters tell which texts are needed and which may occur more than
+    once. The first part are those that may, which meet by their hash; a text that surely occurs
+    once is taken where it is. More than 8 million hashes make the filters pass more by chance;
+    then more is moved and encoded, nothing is lost.
+    """
+    key = F.xxhash64("text_hash").alias("key")
+    needed = tables.save(needed.select(key).distinct(), "needed")
+    repeated = tables.save(texts.groupBy(key).count().where("count > 1").select("key"), "repeated")
+    most = max(needed.count(), repeated.count())
+    bits = 1 << min(max((32 * most).bit_length(), 20), MAX_FILTER_DIGITS)
+    words = F.broadcast(tables.save(_filters(needed, repeated, bits), "filters"))
+    place = _place(bits)
+
+    def passes(name: str) -> Column:
+        return F.get(words[name], place["at"]).bitwiseAND(place["bit"]) != 0
+
+    texts = texts.select("text_hash", F.coalesce("text", F.lit("")).alias("text"), key)
+    own = (place["row"] == words["row"]) & passes("needed")
+    several = texts.join(words, own & passes("repeated"), "left_semi")
+    single = texts.join(words, own & ~passes("repeated"), "left_semi")
+    # Equal texts have equal hashes, so the group is the text.
+    several = several.groupBy("text_hash").agg(F.first("text").alias("text"))
+    return [several, single.select("text_hash", "text")]
+
+
 def embedding_match(
-    traits: DataFrame, encoder_factory: Callable[[], Encoder], batch: int = 64
+    traits: DataFrame,
+    encoder_factory: Callable[[], Encoder],
+    batch: int = 64,
+    texts: DataFrame | None = None,
+    encoded: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Add ``precision``, ``recall`` and ``f1`` of ``pred_text`` against ``gt_text``.
 
     Every distinct text is encoded once, however many systems are compared with it: texts are
     known by their SHA-256, one pass of the encoder fills a table of vectors, and pairs of
     texts, each scored once, read that table. A null text counts as an empty one.
+
+    With ``texts`` (``text_hash, text``, any number of rows for a text) the rows have ``pred_hash``
+    and ``gt_hash``, as of ``hashing.text_hash``, in place of the texts. ``encoded`` is called when
+    neither ``traits`` nor ``texts`` will be read again.
     """
-    names = traits.columns
-    hashes = {
-        out: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
-        for out, c in (("_ph", "pred_text"), ("_gh", "gt_text"))
-    }
-    rows = materialize(traits.withColumns(hashes), "texts-to-match")
-    both = rows.select(F.col("_ph").alias("text_hash"), F.coalesce("pred_text", F.lit("")).alias("text")).unionByName(
-        rows.select(F.col("_gh").alias("text_hash"), F.coalesce("gt_text", F.lit("")).alias("text"))
-    )
-    # Equal texts have equal hashes, so the group is the text.
-    texts = materialize(both.groupBy("text_hash").agg(F.first("text").alias("text")), "distinct-texts")
-    vectors = materialize(encode_texts(texts, encoder_factory, batch), "vectors")
-    pairs = rows.select("_ph", "_gh").distinct()
-    for side in ("_ph", "_gh"):
-        own = vectors.select(
-            F.col("text_hash").alias(side), F.col("vectors").alias(f"{side}v"), F.col("width").alias(f"{side}w")
+    names = [c for c in traits.columns if c not in ("precision", "recall", "f1")]
+    with Scratch(traits.sparkSession) as tables:
+        if texts is None:
+            hashes = {out: text_hash(F.col(c)) for out, c in (("_ph", "pred_text"), ("_gh", "gt_text"))}
+            rows = materialize(traits.select(*quoted(names)).withColumns(hashes), "texts-to-match")
+            ph, gh = "_ph", "_gh"
+            texts = rows.selectExpr("_ph AS text_hash", "pred_text AS text").unionByName(
+                rows.selectExpr("_gh AS text_hash", "gt_text AS text")
+            )
+        else:
+            rows = materialize(traits.select(*quoted(names)), "pairs-to-match")
+            ph, gh = "pred_hash", "gt_hash"
+        pairs = tables.save(rows.select(F.col(ph).alias("_ph"), F.col(gh).alias("_gh")).distinct(), "pairs")
+        needed = pairs.select(F.explode(F.array("_ph", "_gh")).alias("text_hash"))
+        # One part after the other, as the first one's shuffle is gone before the second is written.
+        parts = each_once(texts, needed, tables)
+        several, single = [tables.save(encode_texts(own, encoder_factory, batch), "vectors") for own in parts]
+        vectors = several.unionByName(single)
+        if encoded:
+            encoded()
+        for side in ("_ph", "_gh"):
+            own = [F.col(c).alias(f"{side}_{c}") for c in ("vectors", "tokens", "width")]
+            pairs = pairs.join(vectors.select(F.col("text_hash").alias(side), *own), side)
+        columns = [f"{side}_{c}" for side in ("_ph", "_gh") for c in ("vectors", "tokens", "width")]
+        scored = pairs.select("_ph", "_gh", *columns).mapInArrow(
+            _pair_scores, "_ph binary, _gh binary, precision double, recall double"
         )
-        pairs = pairs.join(own, side)
-    scored = pairs.select("_ph", "_gh", "_phv", "_phw", "_ghv", "_ghw").mapInArrow(
-        _pair_scores, "_ph string, _gh string, precision double, recall double"
-    )
-    out = rows.drop("precision", "recall", "f1").join(materialize(scored, "pair-scores"), ["_ph", "_gh"])
+        scored = materialize(scored, "pair-scores")
+    same = (rows[ph] == scored["_ph"]) & (rows[gh] == scored["_gh"])
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    kept = [F.col(f"`{c}`") for c in names if c not in ("precision", "recall", "f1")]
-    return out.select(*kept, "precision", "recall", f1.alias("f1"))
+    kept = [rows[c] for c in quoted(names)]
+    return rows.join(scored, same).select(*kept, "precision", "recall", f1.alias("f1"))

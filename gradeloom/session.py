@@ -52,3 +52,37 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Intermediate tables that are of use for a while only: ``clear``, or leaving the block,
+    removes their files. The shuffle files of the job that writes a table go with its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.clear()
+
+    def save(self, df, name: str):
+        """Write once, read back, as ``materialize``."""
+        before = self.spark.conf.get(_REMOVE_SHUFFLES, "false")
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        self.spark.conf.set(_REMOVE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_REMOVE_SHUFFLES, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
