@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 # The filters of text hashes have at most 2 ** 28 bits (32 MB) each, in rows of 2 ** 12 words.
 MAX_FILTER_DIGITS = 28
 ROW_DIGITS = 12
+# Texts that may occur more than once are shuffled in so many shares.
+SHARES = 2
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -97,28 +100,30 @@ def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _place(bits: int) -> dict[str, Column]:
-    """Where the bit of ``key`` is among so many: its row, its word in the row, the word's value."""
-    word = F.shiftright(F.col("key").bitwiseAND(F.lit(bits - 1)), 6)
-    return {
-        "row": F.shiftright(word, ROW_DIGITS),
-        "at": word.bitwiseAND(F.lit((1 << ROW_DIGITS) - 1)).cast("int"),
-        "bit": F.expr("shiftleft(1L, int(key & 63))"),
-    }
+def _places(bits: int) -> tuple[Column, list[Column]]:
+    """The row of a filter of so many bits that ``key`` belongs to, and its two bits in the row."""
+    width = 6 + ROW_DIGITS
+    row = F.col("key").bitwiseAND(F.lit((bits >> width) - 1))
+    return row, [F.shiftrightunsigned("key", n).bitwiseAND(F.lit((1 << width) - 1)) for n in (28, 46)]
+
+
+def _word(place: Column) -> Column:
+    return F.shiftright(place, 6).cast("int")
 
 
 def _filters(needed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """Two filters of ``bits`` bits, of the ``key`` of either table, as rows of ``needed`` and
     ``repeated`` words. Each passes its own keys and by chance some others."""
-    place = _place(bits)
     none = needed.sparkSession.range(bits >> 6).select(
         F.shiftright("id", ROW_DIGITS).alias("row"),
         F.col("id").bitwiseAND(F.lit((1 << ROW_DIGITS) - 1)).cast("int").alias("at"),
         *[F.lit(0).cast("bigint").alias(c) for c in ("needed", "repeated")],
     )
+    row, places = _places(bits)
 
     def words(keys: DataFrame, name: str) -> DataFrame:
-        own = keys.select(place["row"].alias("row"), place["at"].alias("at"), place["bit"].alias(name))
+        own = keys.select(row.alias("row"), F.explode(F.array(*places)).alias("place"))
+        own = own.select("row", _word(F.col("place")).alias("at"), F.expr("shiftleft(1L, int(place & 63))").alias(name))
         return none.where("false").unionByName(own, allowMissingColumns=True)
 
     each = none.unionByName(words(needed, "needed")).unionByName(words(repeated, "repeated"))
@@ -129,31 +134,35 @@ def _filters(needed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
 
 def each_once(texts: DataFrame, needed: DataFrame, tables: Scratch) -> list[DataFrame]:
     """The texts whose ``text_hash`` is in ``needed``, each one once, and by chance some others,
-    none of them twice: two parts of ``text_hash, text``.
+    none of them twice: several parts of ``text_hash, text``, to be written one after the other.
 
     Only hashes are counted. Two filters tell which texts are needed and which may occur more than
-    once. The first part are those that may, which meet by their hash; a text that surely occurs
-    once is taken where it is. More than 8 million hashes make the filters pass more by chance;
-    then more is moved and encoded, nothing is lost.
+    once. A text that surely occurs once is taken where it is, in the last part; the others meet by
+    their hash, a share of them in each part before, so that only that share is shuffled at a time.
+    More than 16 million hashes make the filters pass more by chance; then more is moved and
+    encoded, nothing is lost.
     """
     key = F.xxhash64("text_hash").alias("key")
     needed = tables.save(needed.select(key).distinct(), "needed")
     repeated = tables.save(texts.groupBy(key).count().where("count > 1").select("key"), "repeated")
     most = max(needed.count(), repeated.count())
-    bits = 1 << min(max((32 * most).bit_length(), 20), MAX_FILTER_DIGITS)
+    digits = max((16 * most).bit_length(), 6 + ROW_DIGITS)
+    bits = 1 << min(digits, MAX_FILTER_DIGITS)
     words = F.broadcast(tables.save(_filters(needed, repeated, bits), "filters"))
-    place = _place(bits)
+    row, places = _places(bits)
 
     def passes(name: str) -> Column:
-        return F.get(words[name], place["at"]).bitwiseAND(place["bit"]) != 0
+        first, second = [F.getbit(F.get(words[name], _word(p)), p.bitwiseAND(F.lit(63)).cast("int")) for p in places]
+        return (first == 1) & (second == 1)
 
     texts = texts.select("text_hash", F.coalesce("text", F.lit("")).alias("text"), key)
-    own = (place["row"] == words["row"]) & passes("needed")
+    own = (row == words["row"]) & passes("needed")
     several = texts.join(words, own & passes("repeated"), "left_semi")
-    single = texts.join(words, own & ~passes("repeated"), "left_semi")
+    shares = [several.where(F.pmod("key", F.lit(SHARES)) == i) for i in range(SHARES)]
     # Equal texts have equal hashes, so the group is the text.
-    several = several.groupBy("text_hash").agg(F.first("text").alias("text"))
-    return [several, single.select("text_hash", "text")]
+    parts = [share.groupBy("text_hash").agg(F.first("text").alias("text")) for share in shares]
+    single = texts.join(words, own & ~passes("repeated"), "left_semi")
+    return [*parts, single.select("text_hash", "text")]
 
 
 def embedding_match(
@@ -187,10 +196,9 @@ def embedding_match(
             ph, gh = "pred_hash", "gt_hash"
         pairs = tables.save(rows.select(F.col(ph).alias("_ph"), F.col(gh).alias("_gh")).distinct(), "pairs")
         needed = pairs.select(F.explode(F.array("_ph", "_gh")).alias("text_hash"))
-        # One part after the other, as the first one's shuffle is gone before the second is written.
         parts = each_once(texts, needed, tables)
-        several, single = [tables.save(encode_texts(own, encoder_factory, batch), "vectors") for own in parts]
-        vectors = several.unionByName(single)
+        parts = [tables.save(encode_texts(own, encoder_factory, batch), "vectors") for own in parts]
+        vectors = reduce(DataFrame.unionByName, parts)
         if encoded:
             encoded()
         for side in ("_ph", "_gh"):
