@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -20,8 +21,8 @@ Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 # The filters of text hashes have at most 2 ** 28 bits (32 MB) each, in rows of 2 ** 12 words.
 MAX_FILTER_DIGITS = 28
 ROW_DIGITS = 12
-# Texts that may occur more than once are shuffled in so many shares.
-SHARES = 2
+# Texts that occur more than once are shuffled in shares of about 1 / SHARES of all texts.
+SHARES = 6
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -139,16 +140,22 @@ def each_once(texts: DataFrame, needed: DataFrame, tables: Scratch) -> list[Data
     Only hashes are counted. Two filters tell which texts are needed and which may occur more than
     once. A text that surely occurs once is taken where it is, in the last part; the others meet by
     their hash, a share of them in each part before, so that only that share is shuffled at a time.
+    The more texts have to move, the more shares there are.
     More than 16 million hashes make the filters pass more by chance; then more is moved and
     encoded, nothing is lost.
     """
     key = F.xxhash64("text_hash").alias("key")
     needed = tables.save(needed.select(key).distinct(), "needed")
-    repeated = tables.save(texts.groupBy(key).count().where("count > 1").select("key"), "repeated")
+    in_task = texts.groupBy(key, F.spark_partition_id().alias("task")).count()
+    counts = in_task.groupBy("key").agg(F.sum("count").alias("n"), F.count("*").alias("tasks"))
+    counts = tables.save(counts, "counts")
+    repeated = counts.where("n > 1")
+    moved = repeated.join(needed, "key", "left_semi").agg(F.sum("tasks")).first()[0] or 0
+    shares = max(1, math.ceil(SHARES * moved / (counts.agg(F.sum("tasks")).first()[0] or 1)))
     most = max(needed.count(), repeated.count())
     digits = max((16 * most).bit_length(), 6 + ROW_DIGITS)
     bits = 1 << min(digits, MAX_FILTER_DIGITS)
-    words = F.broadcast(tables.save(_filters(needed, repeated, bits), "filters"))
+    words = F.broadcast(tables.save(_filters(needed, repeated.select("key"), bits), "filters"))
     row, places = _places(bits)
 
     def passes(name: str) -> Column:
@@ -158,9 +165,9 @@ def each_once(texts: DataFrame, needed: DataFrame, tables: Scratch) -> list[Data
     texts = texts.select("text_hash", F.coalesce("text", F.lit("")).alias("text"), key)
     own = (row == words["row"]) & passes("needed")
     several = texts.join(words, own & passes("repeated"), "left_semi")
-    shares = [several.where(F.pmod("key", F.lit(SHARES)) == i) for i in range(SHARES)]
+    several = [several.where(F.pmod("key", F.lit(shares)) == i) for i in range(shares)]
     # Equal texts have equal hashes, so the group is the text.
-    parts = [share.groupBy("text_hash").agg(F.first("text").alias("text")) for share in shares]
+    parts = [share.groupBy("text_hash").agg(F.first("text").alias("text")) for share in several]
     single = texts.join(words, own & ~passes("repeated"), "left_semi")
     return [*parts, single.select("text_hash", "text")]
 
